@@ -116,20 +116,20 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes each, or of one row."""
+def slices(offsets: np.ndarray, limit: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``rows`` rows and ``limit`` bytes each, or of one row."""
     low, n = 0, len(offsets) - 1
     while low < n:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
+        high = min(low + rows, max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1))
         yield low, high
         low = high
 
 
-def doc_slices(batches, limit: int = 1 << 20, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def doc_slices(batches, limit: int = 1 << 20, rows: int = 1 << 30, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes of their texts, offsets) for runs of rows of a bounded size."""
     for batch in batches:
         data, offsets = buffers(batch.column(text))
-        for low, high in slices(offsets, limit):
+        for low, high in slices(offsets, limit, rows):
             yield batch.slice(low, high - low), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
 
 
@@ -181,8 +181,9 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(before - starts, lengths)
 
 
-def column(values, kind) -> pa.Array:
-    return pa.array(values, type=kind)
+def hash_share(column_: str, seed: int) -> Column:
+    """A number in [0, 1) that depends on the value and the seed alone; it picks the same sample everywhere."""
+    return F.xxhash64(F.col(column_), F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5)
 
 
 def ids_of(column_: pa.Array) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .common import read
+from .common import crc_part, read
 
 
 def op2_bpe(spark, sf_dir):
@@ -13,6 +13,14 @@ def op2_bpe(spark, sf_dir):
     return encode_decode_digest(read(spark, sf_dir, "documents"), load(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_langid(spark, sf_dir):
+    from .langid import fit, predict
+
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", (crc_part(3) == 1).alias("held_out"))
+    return predict(rows, fit(docs, crc_part(3) != 1), ("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op6_simhash(spark, sf_dir):
     from .simhash import near_duplicate_digest
 
@@ -25,6 +33,14 @@ def op8_decontaminate(spark, sf_dir):
     return decontamination_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), width=10)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op6_simhash, op8_decontaminate)}
+def op9_quality(spark, sf_dir):
+    from .quality import fit, score
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rows = docs.select("doc_id", "text", (crc_part(5) == 0).alias("held_out"))
+    return score(rows, fit(docs, labels, crc_part(5) != 0), ("doc_id", "held_out"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_langid, op6_simhash, op8_decontaminate, op9_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
