@@ -27,6 +27,12 @@ def op6_simhash(spark, sf_dir):
     return near_duplicate_digest(read(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def op7_html(spark, sf_dir):
+    from .html_text import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op8_decontaminate(spark, sf_dir):
     from .decontaminate import decontamination_digest
 
@@ -41,6 +47,6 @@ def op9_quality(spark, sf_dir):
     return score(rows, fit(docs, labels, crc_part(5) != 0), ("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_langid, op6_simhash, op8_decontaminate, op9_quality)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_langid, op6_simhash, op7_html, op8_decontaminate, op9_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
