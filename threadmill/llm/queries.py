@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import crc_part, read
 
 
+def op1_hnsw(spark, sf_dir):
+    from .hnsw import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -47,6 +55,6 @@ def op9_quality(spark, sf_dir):
     return score(rows, fit(docs, labels, crc_part(5) != 0), ("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_langid, op6_simhash, op7_html, op8_decontaminate, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_hnsw, op2_bpe, op4_langid, op6_simhash, op7_html, op8_decontaminate, op9_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
