@@ -21,6 +21,14 @@ def op2_bpe(spark, sf_dir):
     return encode_decode_digest(read(spark, sf_dir, "documents"), load(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_suffix_tree(spark, sf_dir):
+    from .suffix_tree import remove_repeated_words
+
+    out = remove_repeated_words(read(spark, sf_dir, "documents"), width=13)
+    n_removed = F.expr("aggregate(spans, 0L, (acc, x) -> acc + x[1] - x[0])")
+    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_langid(spark, sf_dir):
     from .langid import fit, predict
 
@@ -29,6 +37,14 @@ def op4_langid(spark, sf_dir):
     return predict(rows, fit(docs, crc_part(3) != 1), ("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op5_suffix_array(spark, sf_dir):
+    from .suffix_array import remove_repeated_bytes
+
+    out = remove_repeated_bytes(read(spark, sf_dir, "documents"), width=50)
+    n_removed = F.expr("aggregate(spans, 0L, (acc, x) -> acc + x[1] - x[0])")
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark, sf_dir):
     from .simhash import near_duplicate_digest
 
@@ -55,6 +71,6 @@ def op9_quality(spark, sf_dir):
     return score(rows, fit(docs, labels, crc_part(5) != 0), ("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hnsw, op2_bpe, op4_langid, op6_simhash, op7_html, op8_decontaminate, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_hnsw, op2_bpe, op3_suffix_tree, op4_langid, op5_suffix_array, op6_simhash, op7_html, op8_decontaminate, op9_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
