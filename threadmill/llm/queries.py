@@ -71,6 +71,13 @@ def op9_quality(spark, sf_dir):
     return score(rows, fit(docs, labels, crc_part(5) != 0), ("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hnsw, op2_bpe, op3_suffix_tree, op4_langid, op5_suffix_array, op6_simhash, op7_html, op8_decontaminate, op9_quality)}
+def op10_kneser_ney(spark, sf_dir):
+    from .kneser_ney import score
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_part(7) == 2).alias("held_out"))
+    return score(docs, ~F.col("held_out"), ("doc_id", "held_out"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hnsw, op2_bpe, op3_suffix_tree, op4_langid, op5_suffix_array, op6_simhash, op7_html, op8_decontaminate, op9_quality, op10_kneser_ney)}
 
 ORACLE_SQL: dict[str, str] = {}
