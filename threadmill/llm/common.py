@@ -7,7 +7,7 @@ operator that acts on equality of texts compares the texts themselves.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,19 @@ def schema_with(frame: DataFrame, names, more: str) -> StructType:
     return StructType([*frame.select(*names).schema.fields, *StructType.fromDDL(more).fields])
 
 
+def set_aside(frame: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with all but the needed columns in one struct, so that no name clashes with those an operator
+    adds, and a function that gives a frame with these columns the first frame's columns back, and drops others.
+    """
+    rest = [c for c in frame.columns if c not in needed]
+    packed = frame.select(*(c for c in frame.columns if c in needed), *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_aside")] if rest else []))
+
+    def restore(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(f"_aside.`{c}`").alias(c) if c in rest else F.col(c) for c in frame.columns))
+
+    return packed, restore
+
+
 def crc_part(modulus: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

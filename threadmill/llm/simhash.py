@@ -15,10 +15,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SOLID, U64, doc_slices, schema_with, words
+from .common import BASE, LOWER, NO_ID, SOLID, U64, doc_slices, mixed, schema_with, words
 from .components import components, ensure_checkpoint_dir
 
 _SPACED = LOWER.copy()
@@ -26,13 +26,16 @@ _SPACED[~SOLID] = 0x20
 PAIRWISE = 24  # groups up to this size are compared all at once
 
 
-def fingerprint_arrays(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = 42) -> np.ndarray:
-    """The 64-bit SimHash of each document over its word shingles, repeats included; 0 without words."""
+def fingerprint_arrays(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = 42, parts: int = 1) -> np.ndarray:
+    """Documents x parts: the SimHash of each over its word shingles, repeats included, in parts of 64 bits; 0 without words.
+
+    The first part is over the shingles' XXH64, each other over a mix of it.
+    """
     data = _SPACED[data]
     starts, ends, first = words(data, offsets)
     n_words = np.diff(first)
     n = np.where(n_words >= shingle, n_words - shingle + 1, (n_words > 0).astype(np.int64))
-    out = np.zeros(len(n), U64)
+    out = np.zeros((len(n), parts), U64)
     if not n.sum():
         return out
     before = np.cumsum(n) - n
@@ -46,10 +49,12 @@ def fingerprint_arrays(data: np.ndarray, offsets: np.ndarray, shingle: int, seed
     hashes = np.array([digest(raw[a:b], seed) for a, b in zip(s.tolist(), e.tolist())], U64)
     for i in odd.tolist():
         hashes[i] = digest(b" ".join(raw[s[i] : e[i]].split()), seed)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     some = np.flatnonzero(n)
-    counts = np.add.reduceat(bits, before[some], axis=0, dtype=np.int32)
-    out[some] = np.packbits(counts * 2 > n[some, None], axis=1, bitorder="little").view(U64)[:, 0]
+    for part in range(parts):
+        own = mixed(hashes + U64(part * int(BASE) % (1 << 64))) if part else hashes
+        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, before[some], axis=0, dtype=np.int32)
+        out[some, part] = np.packbits(counts * 2 > n[some, None], axis=1, bitorder="little").view(U64)[:, 0]
     return out
 
 
@@ -59,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ("do
 
     def run(batches):
         for rows, data, offsets in doc_slices(batches):
-            fp = fingerprint_arrays(data, offsets, shingle).view(np.int64)
+            fp = fingerprint_arrays(data, offsets, shingle)[:, 0].view(np.int64)
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
@@ -75,26 +80,31 @@ def block_masks(n: int, distance: int) -> list[int]:
     return [sum(some) for some in combinations(parts, blocks - distance)]
 
 
-def _forest(fp: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, whose parts lie along the last axis."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
+
+def _forest(fp: np.ndarray, index: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     """Links of a spanning forest among the fingerprints of one key: each is compared with those not yet reached."""
-    rest, a, b = fp, [], []
+    rest, a, b = index, [], []
     while len(rest):
-        todo, rest = [rest[0]], rest[1:]
+        todo, rest = [int(rest[0])], rest[1:]
         while todo and len(rest):
             here = todo.pop()
-            close = np.bitwise_count(rest ^ here) <= distance
+            close = _differing(fp[rest], fp[here]) <= distance
             if close.any():
-                found = rest[close]
-                a += [int(here)] * len(found)
-                b += found.tolist()
-                todo += list(found)
+                found = rest[close].tolist()
+                a += [here] * len(found)
+                b += found
+                todo += found
                 rest = rest[~close]
     return a, b
 
 
 def linked(keys: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among the fingerprints under each key, each verified."""
-    order = np.lexsort((fp, keys))
+    """Spanning links (indices) among the fingerprints (n x parts) under each key, each verified."""
+    order = np.lexsort((fp[:, 0], keys))
     keys, fp = keys[order], fp[order]
     heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((heads, [len(keys)])))
@@ -105,21 +115,21 @@ def linked(keys: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray,
         at = np.flatnonzero(small[:-step] & (group[step:] == group[:-step])) if step < len(fp) else np.zeros(0, np.int64)
         if not len(at):
             break
-        close = np.bitwise_count(fp[at] ^ fp[at + step]) <= distance
-        out_a.append(fp[at[close]])
-        out_b.append(fp[at[close] + step])
+        close = at[_differing(fp[at], fp[at + step]) <= distance]
+        out_a.append(close)
+        out_b.append(close + step)
     for h in np.flatnonzero(sizes > PAIRWISE).tolist():
-        a, b = _forest(fp[heads[h] : heads[h] + sizes[h]], distance)
-        out_a.append(np.array(a, U64))
-        out_b.append(np.array(b, U64))
+        a, b = _forest(fp, np.arange(heads[h], heads[h] + sizes[h]), distance)
+        out_a.append(np.array(a, np.int64))
+        out_b.append(np.array(b, np.int64))
     if not out_a:
-        return np.zeros(0, U64), np.zeros(0, U64)
-    return np.concatenate(out_a), np.concatenate(out_b)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return order[np.concatenate(out_a)], order[np.concatenate(out_b)]
 
 
-def _thinned(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+def _thinned(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
     """Of these links those that join two trees."""
-    parent: dict[int, int] = {}
+    parent: dict = {}
 
     def root(x):
         top = x
@@ -151,8 +161,8 @@ def close_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
         if not parts:
             return
         keys, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        a, b = _thinned(*linked(keys, fp.view(U64), distance))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, U64).view(np.int64)) for x in (a, b)], names=["a", "b"])
+        a, b = linked(keys, fp.view(U64)[:, None], distance)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in _thinned(fp[a], fp[b])], names=["a", "b"])
 
     return keyed.mapInArrow(run, "a long, b long")
 
@@ -176,3 +186,75 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 4, distance: int = 4)
 def near_duplicate_digest(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """near_duplicate_groups with the fingerprint as 16 lowercase hexadecimal digits."""
     return near_duplicate_groups(docs, shingle, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Groups by a similarity: fingerprints of several parts, whose share of differing bits measures the angle between shingle counts.
+
+
+def sampled_keys(fp: np.ndarray, choices: np.ndarray) -> np.ndarray:
+    """n x keys: for each row of ``choices`` (bit numbers) the bits there and the row's number, as one mixed hash."""
+    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+    weight = U64(1) << np.arange(choices.shape[1], dtype=U64)
+    return np.stack([mixed((bits[:, c].astype(U64) * weight).sum(1, dtype=U64) + U64((i + 1) * int(BASE) % (1 << 64))) for i, c in enumerate(choices)], axis=1)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, parts: int = 4, miss: float = 0.01, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns of each row with root, the same for rows that links of at least ``similarity`` connect.
+
+    The share of differing bits of a link is at most that of two texts whose
+    sets of shingles have this Jaccard similarity, as measured on 64 x
+    ``parts`` bits. So many differing bits leave no block whole for certain;
+    the keys are samples of the bits instead, as many and as long as the
+    number of texts asks for, and a pair at the limit misses all of them with
+    probability ``miss`` (nearer pairs far more seldom). Equal texts always
+    meet.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    cosine = 2 * similarity / (1 + similarity)
+    share = float(np.arccos(min(cosine, 1.0)) / np.pi)
+    distance = int(64 * parts * share)
+    schema = schema_with(docs, keep, "fp binary")
+
+    def mark(batches):
+        for rows, data, offsets in doc_slices(batches):
+            fp = fingerprint_arrays(data, offsets, shingle, parts=parts)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array([x.tobytes() for x in fp], pa.binary())], names=[*keep, "fp"])
+
+    marked = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(mark, schema).checkpoint()
+    distinct = marked.select("fp").distinct()
+    length = int(min(max(round(np.log2(max(distinct.count(), 2))) - 2, 16), 32))
+    n_keys = int(np.ceil(np.log(miss) / np.log(1 - (1 - share) ** length))) if share else 1
+    rng = np.random.default_rng(6)
+    choices = np.stack([rng.choice(64 * parts, length, replace=False) for _ in range(n_keys)])
+
+    def spread(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2048):
+                column = batch.column("fp").slice(low, 2048)
+                fp = np.frombuffer(b"".join(column.to_pylist()), U64).reshape(len(column), parts)
+                keys = sampled_keys(fp, choices)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), column.take(pa.array(np.repeat(np.arange(len(column)), n_keys)))], names=["key", "fp"])
+
+    def link(batches):
+        got = [(b.column("key").to_numpy(), np.frombuffer(b"".join(b.column("fp").to_pylist()), U64).reshape(b.num_rows, parts)) for b in batches]
+        if not got:
+            return
+        keys, fp = (np.concatenate(x) for x in zip(*got, strict=True))
+        a, b = _thinned(*(np.ascontiguousarray(fp[i]).view(np.dtype((np.void, 8 * parts)))[:, 0] for i in linked(keys, fp, distance)))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    edges = distinct.mapInArrow(spread, "key long, fp binary").repartition("key").mapInArrow(link, "a binary, b binary")
+    roots = components(edges)
+    return marked.join(roots, marked.fp == roots.node, "left").select(*keep, F.coalesce("root", "fp").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
+    """One row of each group of ``similar_groups``: that of the smallest doc_id (null last), once if it is repeated.
+
+    ``docs`` has no columns named _key, _doc, _root or _turn.
+    """
+    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = similar_groups(keyed, shingle, similarity, parts, keep=("_doc", "_key"))
+    stay = groups.groupBy("root").agg(F.min(F.struct("_doc", "_key")).alias("s")).select("s._doc", "s._key")
+    turn = F.row_number().over(Window.partitionBy("_doc", "_key").orderBy(F.lit(0)))
+    return keyed.join(stay, ["_doc", "_key"]).withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
