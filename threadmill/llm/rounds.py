@@ -68,10 +68,10 @@ def letters(table: pa.Table, by: str) -> list[tuple[int, dict[str, np.ndarray]]]
 class Rounds:
     """docs dealt into batches of about ``batch_bytes``; texts of one batch are together in one task."""
 
-    def __init__(self, docs: DataFrame, batch_bytes: int = 4 << 20, least: int = 24):
+    def __init__(self, docs: DataFrame, batch_bytes: int = 2 << 20, least: int = 24):
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.batches = max(least, -(-total // batch_bytes))
-        self.shards = max(16, self.batches // 2)
+        self.shards = max(16, self.batches // 4)
         self.columns = docs.columns
         self.batch = next(n for n in ("batch", *(f"batch_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
         key = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(self.batches)).cast("int")

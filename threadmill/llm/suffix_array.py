@@ -146,7 +146,7 @@ def _equal_spans(s: Segments, begin: np.ndarray, head: np.ndarray) -> np.ndarray
     return same
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = 50, gram: int = 18, keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = 50, gram: int = 18, keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 2 << 20) -> DataFrame:
     """The ``keep`` columns with n_bytes, spans (removed byte ranges, maximal) and kept (the remaining bytes).
 
     Removed is each byte covered by a string of ``width`` bytes that also

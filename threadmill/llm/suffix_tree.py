@@ -89,7 +89,7 @@ def resolve(s: Segments, width: int) -> np.ndarray:
     return out
 
 
-def remove_repeated_words(docs: DataFrame, width: int = 13, gram: int = 5, keep: tuple[str, ...] = ("doc_id",), cut: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, width: int = 13, gram: int = 5, keep: tuple[str, ...] = ("doc_id",), cut: bool = False, batch_bytes: int = 2 << 20) -> DataFrame:
     """The ``keep`` columns with n_words, spans (removed word ranges, maximal) and kept.
 
     Removed is each word covered by a window of ``width`` words that also
