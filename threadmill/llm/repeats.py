@@ -61,7 +61,8 @@ def anchors(symbols: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple[n
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:] - 1, [len(starts) - 1])) if len(first) else first
     place = place[first]
-    return place, starts[first], starts[last], grams[place]
+    # least hashes crowd the low end of the range; mixed once more they spread over all shards
+    return place, starts[first], starts[last], mixed(grams[place] + U64(1))
 
 
 class Batch:
@@ -174,7 +175,7 @@ class Segments:
 Resolver = Callable[[Segments, int], np.ndarray]
 
 
-def repeated(docs: DataFrame, scheme: Scheme, resolve: Resolver, finish: Callable[[pa.Table, Batch, np.ndarray], pa.Table], schema, batch_bytes: int = 4 << 20, chunk: int = 2 << 20) -> DataFrame:
+def repeated(docs: DataFrame, scheme: Scheme, resolve: Resolver, finish: Callable[[pa.Table, Batch, np.ndarray], pa.Table], schema, batch_bytes: int = 2 << 20, chunk: int = 1 << 20) -> DataFrame:
     """finish(rows, batch, covered) for each batch, where covered marks the symbols of repeated windows.
 
     A null doc_id counts as larger than any other; equal ids are one document
