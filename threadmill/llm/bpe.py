@@ -135,10 +135,14 @@ class ForcedBoundaryBpe:
                 self.words[s] = array("I", ids).tobytes(), self.decode(ids)
         return self.words
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        found = [self.segments(t) for t in texts]
+        known = self.learn(found)
+        return [np.frombuffer(b"".join([known[s][0] for s in some]), "<u4") for some in found]
+
     def encode(self, text: str) -> list[int]:
-        found = self.segments(text)
-        known = self.learn([found])
-        return np.frombuffer(b"".join([known[s][0] for s in found]), "<u4").tolist()
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids) -> str:
         """As the library does for a file without a decoder: the pieces joined by one space."""
@@ -205,9 +209,11 @@ def encode(docs: DataFrame, definition: str) -> DataFrame:
 
     def run(batches):
         bpe = tokenizer_of(shared.value)
-        for batch in batches:
-            ids = [bpe.encode(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*rest, "ids"])
+        for batch, _, _ in doc_slices(batches):
+            ids = bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])
+            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, packed], names=[*rest, "ids"])
 
     return docs.select(*rest).mapInArrow(run, schema)
 
@@ -221,7 +227,7 @@ def decode(frame: DataFrame, definition: str) -> DataFrame:
     def run(batches):
         bpe = tokenizer_of(shared.value)
         for batch in batches:
-            out = [None if x is None else bpe.decode(x) for x in batch.column("ids").to_pylist()]
+            out = [None if not x.is_valid else bpe.decode(x.as_py()) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*rest, "decoded"])
 
     return frame.select(*rest).mapInArrow(run, schema)
