@@ -118,7 +118,7 @@ def token_scores(bigram: np.ndarray, context: dict[str, np.ndarray], before: np.
     return np.where(known, np.maximum(bigram - d2[np.minimum(bigram, 3)], 0) / mass + rest * low, low)
 
 
-def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 4 << 20) -> DataFrame:
+def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 6 << 20) -> DataFrame:
     """The ``keep`` columns with n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Tokens are the words (ASCII white space between them, A-Z lower-cased) and
