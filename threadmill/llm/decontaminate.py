@@ -10,7 +10,6 @@ is dropped.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 
@@ -19,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, U64, doc_slices, gram_hashes, owners, schema_with, word_hashes, words
+from .common import ALNUM, LOWER, U64, doc_slices, gram_hashes, owners, schema_with, set_aside, word_hashes, words
+from .components import ensure_checkpoint_dir
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -101,11 +101,12 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_wind
     ignored; equal items all count.
     """
     spark = docs.sparkSession
-    schema = schema_with(docs, keep, "n_words long, hit array<array<long>>, span array<array<long>>, items array<string>")
-    names = list(keep)
+    carried = list(dict.fromkeys([*keep, "text"]))
+    pairs = pa.list_(pa.list_(pa.int64()))
 
-    def scan(block):
+    def scan(frame, block, names):
         shared = spark.sparkContext.broadcast(block)
+        again = "items" in frame.columns[len(carried) :]
 
         def run(batches):
             known = WindowSet(shared.value)
@@ -114,42 +115,39 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_wind
                 by_doc = defaultdict(list)
                 for i, n, items in at:
                     by_doc[int(np.searchsorted(first, i, "right")) - 1].append((i, n, items))
+                before = [rows.column(len(carried) + k).to_pylist() for k in (1, 2, 3)] if again else [[[]] * rows.num_rows] * 3
                 hit, span, found = [], [], []
                 for d in range(rows.num_rows):
-                    runs: list[list[int]] = []
-                    for i, n, _ in sorted(by_doc.get(d, ()), key=lambda x: x[0]):
-                        if runs and i <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], i + n)
-                        else:
-                            runs.append([i, i + n])
-                    base = int(offsets[d])
-                    hit.append([[a - int(first[d]), b - int(first[d])] for a, b in runs])
-                    span.append([[int(starts[a]) - base, int(ends[b - 1]) - base] for a, b in runs])
-                    found.append(sorted({x for _, _, items in by_doc.get(d, ()) for x in items}))
-                pairs = pa.list_(pa.list_(pa.int64()))
+                    base, own = int(offsets[d]), by_doc.get(d, ())
+                    hit.append(merged([[i - int(first[d]), i + n - int(first[d])] for i, n, _ in own] + before[0][d]))
+                    span.append(merged([[int(starts[i]) - base, int(ends[i + n - 1]) - base] for i, n, _ in own] + before[1][d]))
+                    found.append(sorted({x for _, _, items in own for x in items} | set(before[2][d])))
                 arrays = [rows.column(c) for c in names] + [pa.array(np.diff(first), pa.int64()), pa.array(hit, pairs), pa.array(span, pairs), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "hit", "span", "items"])
 
-        return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
+        return frame.mapInArrow(run, schema_with(docs, names, HITS))
 
-    blocks = [scan(b) for b in _blocks(benchmark, width, max_windows)]
-    if len(blocks) == 1:
-        return blocks[0]
-    union = blocks[0]
-    for other in blocks[1:]:
-        union = union.unionByName(other)
-    rest = [c for c in keep if c != "doc_id"]
-    parts = union.groupBy("doc_id", *rest, "n_words").agg(F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("span")).alias("span"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return parts.withColumn("hit", _merged("hit")).withColumn("span", _merged("span")).select(*keep, "n_words", "hit", "span", "items")
+    out, waiting = docs.select(*carried), None
+    for block in _blocks(benchmark, width, max_windows):
+        if waiting is not None:  # written, so that no more than one block is in memory
+            ensure_checkpoint_dir(spark)
+            out = scan(out, waiting, carried).checkpoint()
+        waiting = block
+    return scan(out, waiting, list(keep))
 
 
-def _merged(name: str):
-    """Ranges united where they overlap or touch (touching byte ranges never arise from different words)."""
-    empty = "cast(array() as array<array<bigint>>)"
-    return F.expr(
-        f"aggregate(array_sort({name}), {empty}, (acc, x) -> CASE WHEN size(acc) > 0 AND x[0] <= acc[size(acc) - 1][1] "
-        f"THEN concat(slice(acc, 1, size(acc) - 1), array(array(acc[size(acc) - 1][0], greatest(acc[size(acc) - 1][1], x[1])))) ELSE concat(acc, array(x)) END)"
-    )
+HITS = "n_words long, hit array<array<long>>, span array<array<long>>, items array<string>"
+
+
+def merged(ranges: list[list[int]]) -> list[list[int]]:
+    """Sorted ranges, united where they overlap or touch."""
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_windows: int = 2_000_000) -> DataFrame:
@@ -166,8 +164,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     """Documents without the benchmark's passages: the spans of hit words are cut out of the text, and a document
     of which more than ``max_share`` of the words are hit goes as a whole. Other columns stay; untouched documents are unchanged.
     """
-    keep = tuple(docs.columns)
-    schema = docs.schema
+    packed, restore = set_aside(docs, ("doc_id", "text"))
+    keep = tuple(packed.columns)
 
     def cut(batches):
         for batch in batches:
@@ -183,8 +181,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
             cols = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(cols, names=list(keep)).filter(pa.array(share <= max_share))
 
-    return window_hits(docs, benchmark, width, max_windows, keep).mapInArrow(cut, schema)
-
-
-def digest_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return restore(window_hits(packed, benchmark, width, max_windows, keep).mapInArrow(cut, packed.schema))

@@ -80,4 +80,36 @@ def op10_kneser_ney(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_hnsw, op2_bpe, op3_suffix_tree, op4_langid, op5_suffix_array, op6_simhash, op7_html, op8_decontaminate, op9_quality, op10_kneser_ney)}
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Only where SQL can express the operator; tests/llm holds the others against brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_tree": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+        f AS (SELECT x, min(doc_id) AS m FROM v GROUP BY x),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM v JOIN f USING (x) WHERE doc_id > m),
+        words AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+        kept AS (SELECT words.doc_id, string_agg(t, ' ' ORDER BY words.i) AS k, count(*) AS c FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i GROUP BY words.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(c, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op5_suffix_array": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        v AS (SELECT doc_id, i, substring(h, 2 * i - 1, 100) AS x FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM d WHERE len(h) >= 100)),
+        f AS (SELECT x, min(doc_id) AS m FROM v GROUP BY x),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM v JOIN f USING (x) WHERE doc_id > m),
+        spans AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before IS NULL OR before < i - 1) AS s FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id),
+        bytes AS (SELECT doc_id, substring(h, 2 * i - 1, 2) AS t, i FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS i FROM d)),
+        kept AS (SELECT bytes.doc_id, string_agg(t, '' ORDER BY bytes.i) AS k FROM bytes ANTI JOIN gone ON bytes.doc_id = gone.doc_id AND bytes.i = gone.i GROUP BY bytes.doc_id)
+        SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(s, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)""",
+    "op8_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+        b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_ALNUM} AS w FROM benchmark) WHERE len(w) > 0),
+        bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+        dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+        hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, x)),
+        words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) FROM hit) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}

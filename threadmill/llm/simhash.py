@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, NO_ID, SOLID, U64, doc_slices, mixed, schema_with, words
+from .common import BASE, LOWER, NO_ID, SOLID, U64, doc_slices, mixed, schema_with, set_aside, words
 from .components import components, ensure_checkpoint_dir
 
 _SPACED = LOWER.copy()
@@ -251,10 +251,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, p
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
     """One row of each group of ``similar_groups``: that of the smallest doc_id (null last), once if it is repeated.
 
-    ``docs`` has no columns named _key, _doc, _root or _turn.
+    Rows keep all their columns, whatever their names.
     """
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64("doc_id", "text"))
+    packed, restore = set_aside(docs, ("doc_id", "text"))
+    keyed = packed.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64("doc_id", "text"))
     groups = similar_groups(keyed, shingle, similarity, parts, keep=("_doc", "_key"))
     stay = groups.groupBy("root").agg(F.min(F.struct("_doc", "_key")).alias("s")).select("s._doc", "s._key")
     turn = F.row_number().over(Window.partitionBy("_doc", "_key").orderBy(F.lit(0)))
-    return keyed.join(stay, ["_doc", "_key"]).withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    return restore(keyed.join(stay, ["_doc", "_key"]).withColumn("_turn", turn).where("_turn = 1"))
