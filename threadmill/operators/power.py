@@ -17,7 +17,7 @@ def normal_cdf(x: Column) -> Column:
     def cdf(values: pd.Series) -> pd.Series:
         return values.map(_Z.cdf, na_action="ignore")
 
-    return F.pandas_udf(cdf, "double", F.PandasUDFType.SCALAR)(x)
+    return F.pandas_udf(cdf, "double")(x)
 
 
 def bonferroni(alpha: float, tests: int) -> float:
