@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +24,7 @@ from tokenizers import models
 from .common import doc_slices, schema_with
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-MAX_ENTRIES = 400_000
+MAX_ENTRIES = 150_000  # words of each of two generations, and fragments
 
 
 @lru_cache(1)
@@ -72,11 +71,11 @@ class ForcedBoundaryBpe:
         if not self.suffix:
             self.joinable[1] = self.joinable[0]
         self.pieces = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.fragments: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str | int, tuple[bytes, str]] = {}
+        self.id_bytes = {i: i.to_bytes(4, "little") for i in self.pieces}
+        self.forget()
 
-    def fragments_of(self, some: list[str]) -> list[list[str]]:
-        """For each word its fragments, cut wherever two bytes stand side by side in no token; all but a word's last end in a space."""
+    def fragments_of(self, some: list[str]) -> tuple[list[str], list[int]]:
+        """The words' fragments, cut wherever two bytes stand side by side in no token, and how many each word has; all but a word's last end in a space."""
         raw = [w.encode() for w in some]
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum([len(r) for r in raw])
@@ -86,22 +85,26 @@ class ForcedBoundaryBpe:
         cut[1:-1] = ~self.joinable[final[1:], data[:-1], data[1:]]
         cut[ends] = True
         cuts = np.flatnonzero(cut)
+        last = np.searchsorted(cuts, ends) - 1  # each word's last fragment
         text = data.tobytes().decode("latin-1").translate(self.letters)
-        flat = [text[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        out, at = [], 0
-        for n in np.diff(np.searchsorted(cuts, np.concatenate(([0], ends)))).tolist():
-            out.append([f + " " for f in flat[at : at + n - 1]] + [flat[at + n - 1]])
-            at += n
-        return out
-
-    def encode_fragment(self, fragment: str) -> tuple[int, ...]:
-        ids = self.fragments.get(fragment)
-        if ids is None:
-            if len(self.fragments) >= MAX_ENTRIES:
-                self.fragments.clear()
-            found = self.inner.tokenize(fragment[:-1]) if fragment[-1] == " " else self.last.tokenize(fragment)
-            ids = self.fragments[fragment] = tuple([t.id for t in found])
-        return ids
+        at = cuts.tolist()
+        flat = [text[a:b] for a, b in zip(at, at[1:])]
+        inner = np.ones(len(flat), bool)
+        inner[last] = False
+        for i in np.flatnonzero(inner).tolist():
+            flat[i] += " "
+        return flat, np.diff(last, prepend=-1).tolist()
+
+    def encode_fragments(self, some: list[str]) -> list[tuple[bytes, str]]:
+        """Each fragment's ids as little-endian bytes and its decoded text, from the table or the model."""
+        known = self.fragments
+        if len(known) > MAX_ENTRIES:
+            known.clear()
+        inner, last, id_bytes, pieces = self.inner.tokenize, self.last.tokenize, self.id_bytes, self.pieces
+        for f in set(some).difference(known):
+            ids = [t.id for t in (inner(f[:-1]) if f[-1] == " " else last(f))]
+            known[f] = b"".join([id_bytes[i] for i in ids]), " ".join([pieces[i] for i in ids])
+        return [known[f] for f in some]
 
     def normalise(self, text: str) -> str:
         return text.lower() if text.isascii() else _lower(unicodedata.normalize("NFC", text))
@@ -118,28 +121,45 @@ class ForcedBoundaryBpe:
                 out += self.word.findall(self.normalise(part))
         return out
 
-    def learn(self, found: list[list[str | int]]) -> dict[str | int, tuple[bytes, str]]:
-        """The table of known words, with all of ``found`` in it: ids as little-endian bytes and the decoded text."""
-        needed = {s for some in found for s in some}
-        missing = [s for s in needed if s not in self.words]
-        if missing and len(self.words) + len(missing) > MAX_ENTRIES:
-            self.words.clear()
-            missing = list(needed)
-        for s in missing:
-            if isinstance(s, int):
-                self.words[s] = np.array([s], "<u4").tobytes(), self.decode([s])
-        missing = [s for s in missing if not isinstance(s, int)]
-        if missing:
-            for s, fragments in zip(missing, self.fragments_of(missing), strict=True):
-                ids = [i for f in fragments for i in self.encode_fragment(f)]
-                self.words[s] = array("I", ids).tobytes(), self.decode(ids)
-        return self.words
+    def learn(self, found: list[list[str | int]]) -> None:
+        """Brings all words of ``found`` into the tables; words not used for a generation are forgotten."""
+        if len(self.ids) > MAX_ENTRIES:
+            self.ids, self.texts, self.old_ids, self.old_texts = {}, {}, self.ids, self.texts
+        ids, texts = self.ids, self.texts
+        missing = set().union(*found).difference(ids)
+        again = [s for s in missing if s in self.old_ids]
+        ids.update((s, self.old_ids[s]) for s in again)
+        texts.update((s, self.old_texts[s]) for s in again)
+        missing.difference_update(again)
+        for s in [s for s in missing if s.__class__ is int]:  # special tokens
+            ids[s], texts[s] = self.id_bytes[s], self.pieces[s]
+            missing.remove(s)
+        if not missing:
+            return
+        some = list(missing)
+        flat, counts = self.fragments_of(some)
+        done, at = self.encode_fragments(flat), 0
+        for s, n in zip(some, counts, strict=True):
+            if n == 1:
+                ids[s], texts[s] = done[at]
+            else:
+                parts = done[at : at + n]
+                ids[s], texts[s] = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
+            at += n
+
+    def forget(self) -> None:
+        """Empties the tables; workers live on after a task, and other operators need the memory."""
+        self.ids: dict[str | int, bytes] = {}
+        self.texts: dict[str | int, str] = {}
+        self.old_ids: dict[str | int, bytes] = {}
+        self.old_texts: dict[str | int, str] = {}
+        self.fragments: dict[str, tuple[bytes, str]] = {}
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         found = [self.segments(t) for t in texts]
-        known = self.learn(found)
-        return [np.frombuffer(b"".join([known[s][0] for s in some]), "<u4") for some in found]
+        self.learn(found)
+        return [np.frombuffer(b"".join(map(self.ids.__getitem__, some)), "<u4") for some in found]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
@@ -151,11 +171,10 @@ class ForcedBoundaryBpe:
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text the number of ids, and the digests of the ids and of their decoding."""
         found = [self.segments(t) for t in texts]
-        known = self.learn(found)
+        self.learn(found)
         for some in found:
-            pairs = [known[s] for s in some]
-            ids = b"".join([p[0] for p in pairs])
-            decoded = " ".join([p[1] for p in pairs if p[1]])
+            ids = b"".join(map(self.ids.__getitem__, some))
+            decoded = " ".join(filter(None, map(self.texts.__getitem__, some)))
             yield len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
     def digest(self, text: str) -> tuple[int, str, str]:
@@ -197,6 +216,7 @@ def encode_decode_digest(docs: DataFrame, definition: str) -> DataFrame:
         for batch, _, _ in doc_slices(batches):
             n, ids, decoded = zip(*bpe.digests([t or "" for t in batch.column("text").to_pylist()]), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -214,6 +234,7 @@ def encode(docs: DataFrame, definition: str) -> DataFrame:
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, packed], names=[*rest, "ids"])
+        bpe.forget()
 
     return docs.select(*rest).mapInArrow(run, schema)
 

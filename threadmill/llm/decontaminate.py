@@ -90,6 +90,51 @@ def _blocks(benchmark: DataFrame, width: int, max_windows: int):
     yield dict(block)
 
 
+def _scan(frame: DataFrame, carried: list[str], block: dict[bytes, list[str]], schema, make) -> DataFrame:
+    """make(rows, bytes, offsets, n_words, hit, span, items) gives the batch to return; hits of earlier blocks, which the frame holds after the carried columns, are joined in."""
+    shared = frame.sparkSession.sparkContext.broadcast(block)
+    again = len(frame.columns) > len(carried)
+
+    def run(batches):
+        known = WindowSet(shared.value)
+        for rows, data, offsets in doc_slices(batches):
+            first, starts, ends, at = known.hits(data, offsets)
+            by_doc = defaultdict(list)
+            for i, n, items in at:
+                by_doc[int(np.searchsorted(first, i, "right")) - 1].append((i, n, items))
+            before = [rows.column(len(carried) + k).to_pylist() for k in (1, 2, 3)] if again else [[[]] * rows.num_rows] * 3
+            hit, span, found = [], [], []
+            for d in range(rows.num_rows):
+                base, own = int(offsets[d]), by_doc.get(d, ())
+                hit.append(merged([[i - int(first[d]), i + n - int(first[d])] for i, n, _ in own] + before[0][d]))
+                span.append(merged([[int(starts[i]) - base, int(ends[i + n - 1]) - base] for i, n, _ in own] + before[1][d]))
+                found.append(sorted({x for _, _, items in own for x in items} | set(before[2][d])))
+            yield make(rows, data, offsets, np.diff(first), hit, span, found)
+
+    return frame.mapInArrow(run, schema)
+
+
+def _facts(names: list[str]):
+    pairs = pa.list_(pa.list_(pa.int64()))
+
+    def make(rows, data, offsets, n_words, hit, span, found):
+        arrays = [rows.column(c) for c in names] + [pa.array(n_words, pa.int64()), pa.array(hit, pairs), pa.array(span, pairs), pa.array(found, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "hit", "span", "items"])
+
+    return make
+
+
+def _scan_all(docs: DataFrame, benchmark: DataFrame, carried: list[str], width: int, max_windows: int, schema, make) -> DataFrame:
+    """The last block's scan makes the result; those before it are written, so that no more than one block is in memory."""
+    out, waiting = docs.select(*carried), None
+    for block in _blocks(benchmark, width, max_windows):
+        if waiting is not None:
+            ensure_checkpoint_dir(docs.sparkSession)
+            out = _scan(out, carried, waiting, schema_with(docs, carried, HITS), _facts(carried)).checkpoint()
+        waiting = block
+    return _scan(out, carried, waiting, schema, make)
+
+
 def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_windows: int = 2_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """For each document the words that lie in a benchmark window and the items found.
 
@@ -100,40 +145,8 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_wind
     texts have no words; items that are null, empty or without an id are
     ignored; equal items all count.
     """
-    spark = docs.sparkSession
-    carried = list(dict.fromkeys([*keep, "text"]))
-    pairs = pa.list_(pa.list_(pa.int64()))
-
-    def scan(frame, block, names):
-        shared = spark.sparkContext.broadcast(block)
-        again = "items" in frame.columns[len(carried) :]
-
-        def run(batches):
-            known = WindowSet(shared.value)
-            for rows, data, offsets in doc_slices(batches):
-                first, starts, ends, at = known.hits(data, offsets)
-                by_doc = defaultdict(list)
-                for i, n, items in at:
-                    by_doc[int(np.searchsorted(first, i, "right")) - 1].append((i, n, items))
-                before = [rows.column(len(carried) + k).to_pylist() for k in (1, 2, 3)] if again else [[[]] * rows.num_rows] * 3
-                hit, span, found = [], [], []
-                for d in range(rows.num_rows):
-                    base, own = int(offsets[d]), by_doc.get(d, ())
-                    hit.append(merged([[i - int(first[d]), i + n - int(first[d])] for i, n, _ in own] + before[0][d]))
-                    span.append(merged([[int(starts[i]) - base, int(ends[i + n - 1]) - base] for i, n, _ in own] + before[1][d]))
-                    found.append(sorted({x for _, _, items in own for x in items} | set(before[2][d])))
-                arrays = [rows.column(c) for c in names] + [pa.array(np.diff(first), pa.int64()), pa.array(hit, pairs), pa.array(span, pairs), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "hit", "span", "items"])
-
-        return frame.mapInArrow(run, schema_with(docs, names, HITS))
-
-    out, waiting = docs.select(*carried), None
-    for block in _blocks(benchmark, width, max_windows):
-        if waiting is not None:  # written, so that no more than one block is in memory
-            ensure_checkpoint_dir(spark)
-            out = scan(out, waiting, carried).checkpoint()
-        waiting = block
-    return scan(out, waiting, list(keep))
+    names = list(keep)
+    return _scan_all(docs, benchmark, list(dict.fromkeys([*names, "text"])), width, max_windows, schema_with(docs, names, HITS), _facts(names))
 
 
 HITS = "n_words long, hit array<array<long>>, span array<array<long>>, items array<string>"
@@ -165,20 +178,20 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     of which more than ``max_share`` of the words are hit goes as a whole. Other columns stay; untouched documents are unchanged.
     """
     packed, restore = set_aside(docs, ("doc_id", "text"))
-    keep = tuple(packed.columns)
-
-    def cut(batches):
-        for batch in batches:
-            share = np.array([(sum(b - a for a, b in h) / n) if n else 0.0 for h, n in zip(batch.column("hit").to_pylist(), batch.column("n_words").to_pylist(), strict=True)])
-            texts = batch.column("text").to_pylist()
-            for d, spans in enumerate(batch.column("span").to_pylist()):
-                if spans and share[d] <= max_share:
-                    raw, at, out = texts[d].encode(), 0, []
-                    for a, b in spans:
-                        out.append(raw[at:a])
-                        at = b
-                    texts[d] = b"".join([*out, raw[at:]]).decode()
-            cols = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(cols, names=list(keep)).filter(pa.array(share <= max_share))
-
-    return restore(window_hits(packed, benchmark, width, max_windows, keep).mapInArrow(cut, packed.schema))
+    names = packed.columns
+
+    def cut(rows, data, offsets, n_words, hit, span, found):
+        share = np.array([sum(b - a for a, b in h) / n if n else 0.0 for h, n in zip(hit, n_words.tolist(), strict=True)])
+        texts = rows.column("text").to_pylist() if any(span) else None
+        for d, spans in enumerate(span):
+            if spans and share[d] <= max_share:
+                raw, at, out = data[offsets[d] : offsets[d + 1]].tobytes(), 0, []
+                for a, b in spans:
+                    out.append(raw[at:a])
+                    at = b
+                texts[d] = b"".join([*out, raw[at:]]).decode()
+        kind = rows.schema.field("text").type
+        columns = [pa.array(texts, kind) if c == "text" and texts is not None else rows.column(c) for c in names]
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(share <= max_share))
+
+    return restore(_scan_all(packed, benchmark, names, width, max_windows, packed.schema, cut))
