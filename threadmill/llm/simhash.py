@@ -26,18 +26,14 @@ _SPACED[~SOLID] = 0x20
 PAIRWISE = 24  # groups up to this size are compared all at once
 
 
-def fingerprint_arrays(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = 42, parts: int = 1) -> np.ndarray:
-    """Documents x parts: the SimHash of each over its word shingles, repeats included, in parts of 64 bits; 0 without words.
-
-    The first part is over the shingles' XXH64, each other over a mix of it.
-    """
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all word shingles in order, repeats included, and how many each document has."""
     data = _SPACED[data]
     starts, ends, first = words(data, offsets)
     n_words = np.diff(first)
     n = np.where(n_words >= shingle, n_words - shingle + 1, (n_words > 0).astype(np.int64))
-    out = np.zeros((len(n), parts), U64)
     if not n.sum():
-        return out
+        return np.zeros(0, U64), n
     before = np.cumsum(n) - n
     low = np.arange(int(n.sum())) - np.repeat(before - first[:-1], n)
     high = np.minimum(low + shingle, np.repeat(first[1:], n)) - 1
@@ -49,22 +45,56 @@ def fingerprint_arrays(data: np.ndarray, offsets: np.ndarray, shingle: int, seed
     hashes = np.array([digest(raw[a:b], seed) for a, b in zip(s.tolist(), e.tolist())], U64)
     for i in odd.tolist():
         hashes[i] = digest(b" ".join(raw[s[i] : e[i]].split()), seed)
+    return hashes, n
+
+
+def fingerprint_arrays(hashes: np.ndarray, n: np.ndarray, parts: int = 1) -> np.ndarray:
+    """Documents x parts: the SimHash of each document's n hashes in parts of 64 bits, 0 without any.
+
+    The first part is over the hashes themselves, each other over a mix of them.
+    """
+    out = np.zeros((len(n), parts), U64)
     some = np.flatnonzero(n)
+    if not len(some):
+        return out
+    heads = (np.cumsum(n) - n)[some]
     for part in range(parts):
         own = mixed(hashes + U64(part * int(BASE) % (1 << 64))) if part else hashes
         bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, before[some], axis=0, dtype=np.int32)
+        counts = np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
         out[some, part] = np.packbits(counts * 2 > n[some, None], axis=1, bitorder="little").view(U64)[:, 0]
     return out
 
 
+def bottom_sketches(hashes: np.ndarray, n: np.ndarray, size: int) -> list[bytes]:
+    """For each document the least ``size`` of its distinct hashes, as sorted 32-bit numbers."""
+    owner = np.repeat(np.arange(len(n)), n)
+    short = (hashes >> U64(32)).astype(np.uint32)
+    order = np.lexsort((short, owner))
+    owner, short = owner[order], short[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (short[1:] != short[:-1])
+    owner, short = owner[new], short[new]
+    first = np.searchsorted(owner, np.arange(len(n) + 1))
+    return [short[a : min(b, a + size)].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def resemblance(x: np.ndarray, y: np.ndarray, size: int) -> float:
+    """Jaccard similarity of two sketched sets: exact if both are whole, else over the least ``size`` of their union."""
+    union = np.union1d(x, y)
+    if len(x) >= size or len(y) >= size:
+        union = union[:size]
+    both = np.intersect1d(x, y, assume_unique=True)
+    return float(np.searchsorted(both, union[-1], "right") / len(union)) if len(union) else 1.0
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of each row with fp, its fingerprint as a signed long; a null text has no words."""
     schema = schema_with(docs, keep, "fp long")
 
     def run(batches):
         for rows, data, offsets in doc_slices(batches):
-            fp = fingerprint_arrays(data, offsets, shingle)[:, 0].view(np.int64)
+            fp = fingerprint_arrays(*shingle_hashes(data, offsets, shingle))[:, 0].view(np.int64)
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
@@ -198,27 +228,29 @@ def sampled_keys(fp: np.ndarray, choices: np.ndarray) -> np.ndarray:
     return np.stack([mixed((bits[:, c].astype(U64) * weight).sum(1, dtype=U64) + U64((i + 1) * int(BASE) % (1 << 64))) for i, c in enumerate(choices)], axis=1)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, parts: int = 4, miss: float = 0.01, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, parts: int = 4, slack: float = 0.08, miss: float = 0.01, size: int = 384, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of each row with root, the same for rows that links of at least ``similarity`` connect.
 
-    The share of differing bits of a link is at most that of two texts whose
-    sets of shingles have this Jaccard similarity, as measured on 64 x
-    ``parts`` bits. So many differing bits leave no block whole for certain;
-    the keys are samples of the bits instead, as many and as long as the
-    number of texts asks for, and a pair at the limit misses all of them with
-    probability ``miss`` (nearer pairs far more seldom). Equal texts always
-    meet.
+    Candidates are fingerprints of 64 x ``parts`` bits whose differing bits
+    are at most those of a similarity ``slack`` lower. So many differing bits
+    leave no block whole for certain; the keys are samples of the bits
+    instead, as many and as long as the number of texts asks for, and a pair
+    at the limit misses all of them with probability ``miss`` (nearer pairs
+    far more seldom). A candidate is a link if the Jaccard similarity of the
+    sets of shingles is enough: exact for texts of fewer than ``size``
+    distinct shingles, else by the least ``size`` of their hashes (standard
+    error 0.02 at 0.8). Equal fingerprints are always linked.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    cosine = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(min(cosine, 1.0)) / np.pi)
-    distance = int(64 * parts * share)
-    schema = schema_with(docs, keep, "fp binary")
+    angle = lambda j: float(np.arccos(2 * j / (1 + j)) / np.pi)
+    share, distance = angle(similarity), int(64 * parts * angle(similarity - slack))
+    schema = schema_with(docs, keep, "fp binary, sketch binary")
 
     def mark(batches):
         for rows, data, offsets in doc_slices(batches):
-            fp = fingerprint_arrays(data, offsets, shingle, parts=parts)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array([x.tobytes() for x in fp], pa.binary())], names=[*keep, "fp"])
+            hashes, n = shingle_hashes(data, offsets, shingle)
+            fp = fingerprint_arrays(hashes, n, parts)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(bottom_sketches(hashes, n, size), pa.binary())], names=[*keep, "fp", "sketch"])
 
     marked = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(mark, schema).checkpoint()
     distinct = marked.select("fp").distinct()
@@ -240,11 +272,22 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, p
         if not got:
             return
         keys, fp = (np.concatenate(x) for x in zip(*got, strict=True))
-        a, b = _thinned(*(np.ascontiguousarray(fp[i]).view(np.dtype((np.void, 8 * parts)))[:, 0] for i in linked(keys, fp, distance)))
+        whole = np.ascontiguousarray(fp).view(np.dtype((np.void, 8 * parts)))[:, 0]
+        pairs = {(x, y) if x < y else (y, x) for x, y in zip(*(whole[i].tolist() for i in linked(keys, fp, distance)), strict=True)}
+        a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    edges = distinct.mapInArrow(spread, "key long, fp binary").repartition("key").mapInArrow(link, "a binary, b binary")
-    roots = components(edges)
+    def verify(batches):
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))
+            ok = [resemblance(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), size) >= similarity - 1e-9 for p, q in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = distinct.mapInArrow(spread, "key long, fp binary").repartition("key").mapInArrow(link, "a binary, b binary").distinct().checkpoint()
+    involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    sketches = marked.select("fp", "sketch").join(involved, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch"))
+    known = pairs.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    roots = components(known.mapInArrow(verify, "a binary, b binary"))
     return marked.join(roots, marked.fp == roots.node, "left").select(*keep, F.coalesce("root", "fp").alias("root"))
 
 
