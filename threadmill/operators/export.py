@@ -46,6 +46,18 @@ def combined_records(posts: DataFrame, replies: DataFrame, arms: DataFrame) -> D
     return own.join(real, "submission_id").join(arms.drop("n_top_level_comments"), "submission_id")
 
 
+def arms_long(records: DataFrame, arms: tuple[str, ...]) -> DataFrame:
+    """Checkpoint records with one array of replies for each arm, as rows: submission_id, strategy, pos, author_type, body."""
+    cells = F.array(*(F.struct(F.lit(a).alias("strategy"), F.col(a).alias("comments")) for a in arms))
+    one = records.select("submission_id", F.explode(cells).alias("x")).select("submission_id", "x.strategy", F.posexplode("x.comments").alias("pos", "c"))
+    return one.select("submission_id", "strategy", "pos", F.col("c.author_type").alias("author_type"), F.col("c.body").alias("body"))
+
+
+def first_replies(records: DataFrame, n: int = 3, column: str = "real_comments") -> DataFrame:
+    """Records with the first n replies of their ordered array, removed ones included."""
+    return records.withColumn(column, F.slice(column, 1, n))
+
+
 def sheet_name(number: Column, title: Column, width: int = 26, strip_illegal: bool = True) -> Column:
     """"number. title", at most 31 characters; the early rounds kept 28 of the title and did not strip."""
     name = F.concat(number.cast("string"), F.lit(". "), F.left(title, F.lit(width)))
@@ -84,3 +96,17 @@ def sheet_rows(threads: DataFrame, real: DataFrame, generated: DataFrame, order:
 def previews(threads: DataFrame, width: int = 300, n: int = 3, order: str = "submission_id") -> DataFrame:
     """The first n threads with squeezed and shortened texts."""
     return threads.orderBy(order).limit(n).select("submission_id", "title", preview("selftext", width).alias("selftext"))
+
+
+def write_workbook(rows: DataFrame, path: str) -> None:
+    """An .xlsx of sheet_rows where openpyxl is installed; a workbook is small enough to be read row by row."""
+    from openpyxl import Workbook
+
+    book = Workbook()
+    book.remove(book.active)
+    sheet, current = None, None
+    for r in rows.orderBy("sheet_idx", "section_ord", "row_ord").toLocalIterator():
+        if r["sheet_idx"] != current:
+            current, sheet = r["sheet_idx"], book.create_sheet(title=r["sheet_name"])
+        sheet.append([r["col_a"], r["col_b"]])
+    book.save(path)

@@ -47,6 +47,11 @@ def classify(lines: DataFrame, match: Match, raw: str = "value") -> DataFrame:
     return lines.withColumn("observed", observed).withColumn("status", status)
 
 
+def counted(classified: DataFrame, observation) -> DataFrame:
+    """The same rows; the pyspark Observation gets lines, errors and matches once an action has run over them."""
+    return classified.observe(observation, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "matched").alias("matches"))
+
+
 def matching(classified: DataFrame, kind: Column | None = None) -> DataFrame:
     """Matched lines as raw, observed, value_lc, kind and their order."""
     rows = classified.where("status = 'matched'")

@@ -68,6 +68,24 @@ def read_if_present(spark: SparkSession, path: str, schema: StructType, required
     return spark.createDataFrame([], StructType(schema.fields + StructType.fromDDL("file_name string, file_block bigint, seq bigint").fields))
 
 
+def read_generated_files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All {model}_{strategy}.jsonl of a folder; model and strategy come from the file name where a record lacks them. Later records of a key win."""
+    rows = read_jsonl(spark, path, schema, strict=False, glob="*_*.jsonl").where("submission_id IS NOT NULL")
+    pattern = r"^(.+)_([^_]+)\.jsonl$"
+    named = rows.withColumn("model", F.coalesce("model", F.regexp_extract("file_name", pattern, 1))).withColumn("strategy", F.coalesce("strategy", F.regexp_extract("file_name", pattern, 2)))
+    order = F.struct("file_name", "file_block", "seq")
+    rest = [c for c in schema.names if c not in ("submission_id", "model", "strategy")]
+    return named.groupBy("submission_id", "model", "strategy").agg(F.max_by(F.struct(*rest), order).alias("r")).select("submission_id", "model", "strategy", "r.*")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A status file's file list as rows: input_path, output_path, complete, lines_processed, error_lines, lines_matched."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "files array<array<string>>")["files"]).alias("f"))
+    names = ("input_path", "output_path", "complete", "lines_processed", "error_lines", "lines_matched")
+    kinds = ("string", "string", "boolean", "bigint", "bigint", "bigint")
+    return rows.select(*(F.get("f", F.lit(i)).try_cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True))))
+
+
 def head(records: DataFrame, n: int = 5) -> DataFrame:
     """The first n records in reading order."""
     return records.orderBy("file_name", "file_block", "seq").limit(n)
