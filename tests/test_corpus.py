@@ -197,3 +197,22 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     (tmp_path / "in/b.txt").write_text('{"k":"a"}\n')
     run()
     assert sorted(r["observed"] for r in spark.read.json(str(tmp_path / "out")).collect()) == ["A", "a"]
+
+
+def test_generated_files_and_manifest(spark, tmp_path):
+    record = {"submission_id": "a", "comments": [{"body": "x", "author_type": "c"}]}
+    write(tmp_path / "g/my_model_dg.jsonl", [record | {"n_comments": 1}, record | {"n_comments": 2}, '{"subm'])
+    write(tmp_path / "g/grok_sag.jsonl", [record | {"model": "grok", "strategy": "sag"}])
+    got = {(r["submission_id"], r["model"], r["strategy"]): r["n_comments"] for r in ndjson.read_generated_files(spark, str(tmp_path / "g"), schemas.GENERATED).collect()}
+    assert got == {("a", "my_model", "dg"): 2, ("a", "grok", "sag"): None}
+    (tmp_path / "status.json").write_text(json.dumps({"args": "f:v", "type": "x", "completed_prefixes": [], "files": [["in", "out", True, 10, 1, 3], ["i2", "o2", False, 0, 0, 0]]}, indent=1))
+    assert [tuple(r) for r in ndjson.read_manifest(spark, str(tmp_path / "status.json")).collect()] == [("in", "out", True, 10, 1, 3), ("i2", "o2", False, 0, 0, 0)]
+
+
+def test_counts_in_flight(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    lines = spark.createDataFrame([('{"k":"a"}',), ("{",), ('{"k":"b"}',)], "value string")
+    match.counted(match.classify(lines, match.Match("k", ("a",))), seen).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"lines": 3, "errors": 1, "matches": 1}

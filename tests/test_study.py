@@ -215,3 +215,9 @@ def test_power(spark):
 
 def test_schemas_parse():
     assert "removal_type" in schemas.REPLY.simpleString() and len(schemas.REPLIES) == 13
+
+
+def test_arms_and_first_replies(spark):
+    rows = spark.createDataFrame([("a", [("x", "c"), ("y", "l")], [])], "submission_id string, dg array<struct<body: string, author_type: string>>, sag array<struct<body: string, author_type: string>>")
+    assert sorted(map(tuple, export.arms_long(rows, ("dg", "sag")).collect())) == [("a", "dg", 0, "c", "x"), ("a", "dg", 1, "l", "y")]
+    assert [c["body"] for c in export.first_replies(rows, 1, "dg").first()["dg"]] == ["x"]
