@@ -46,6 +46,8 @@ BAD_NAMES = frozenset(
     "legal links login masthead menu menus modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination paywall popup privacy promo promos promotion promotions reader readers related replies reply respond "
     "rss search share sharing sidebar signin signup sitemap skip social sponsor sponsored sponsors subscribe subscription taboola tags teaser toolbar topbar widget widgets warning alert announcement".split()
 )
+BAD_STARTS = ("advert", "sponsor", "cookie", "comment", "navig", "navbar", "sidebar", "breadcrumb", "newsletter", "popup")
+LAYOUT = re.compile(r"(?:with|without|has|no|hide|show)[-_ ][\w-]+")  # says what stands beside, not what this is
 GOOD_NAMES = frozenset("article content entry story post text body main".split())
 OPENERS = re.compile(r"(?:©|\(c\)\s|copyright\b|all rights reserved|share (?:this|on)\b|related (?:articles|posts)\b|read more\b|advertisement\b|we use cookies|sign up\b|subscribe\b|leave a (?:reply|comment)\b)", re.IGNORECASE)
 ADJACENT, SIBLING = 60, 30
@@ -181,14 +183,16 @@ class Reader:
             for name, a, b, c in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), (a or b or c).lower()
                 if name in ("class", "id"):
-                    names.update(NAMES.findall(value))
+                    names.update(NAMES.findall(LAYOUT.sub("", value)))
                 elif name == "role":
                     cost += ROLE.get(value.strip(), 0)
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                     hidden = True
             if names and tag not in ("html", "body"):
-                if names & BAD_NAMES:
+                if names & BAD_NAMES or any(n.startswith(BAD_STARTS) for n in names):
                     cost -= 1000
+                elif "header" in names and not home:
+                    cost -= 700
                 elif names & GOOD_NAMES and tag in ("div", "section", "td") and not home:
                     cost += 200
                     home = names >= {"content"} or home
