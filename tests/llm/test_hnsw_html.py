@@ -77,6 +77,10 @@ def test_boilerplate_goes():
     for extra in around:
         assert main_text(page(before=extra)) == want
         assert main_text(page(after=extra)) == want
+    for extra in ('<div class="site-header"><p>The name of the site and its motto, which is long.</p></div>', '<div class="advertBox"><p>Buy now, buy more, buy everything that we have to sell to you.</p></div>'):
+        assert main_text(page(before=extra)) == want
+    wrapped = page().replace("<body>", '<body class="no-sidebar"><div class="content has-sidebar with-comments">').replace("</body>", "</div></body>")
+    assert main_text(wrapped) == want and main_text(wrapped.replace("<article>", "<div>").replace("</article>", "</div>")) == want
     comments = '<section class="comments"><h2>Comments</h2><div class="comment"><p>I read this with joy and want to say that it is all true, every word of it.</p></div></section>'
     assert main_text(page(after=comments)) == want and main_text(page(inside=comments)) == want
 
