@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .prompts import GUIDELINES, Templates
+from .prompts import Templates
 
 STRATEGIES = ("dg", "sag", "sagii")
 EFFORTS = ("minimal", "low", "medium", "high")
@@ -127,7 +127,11 @@ def _thread(row, strategy: str, calls: Calls, pool: ThreadPoolExecutor) -> tuple
     return replies, [e for _, e in got if e]
 
 
-GENERATED = "submission_id string, model string, model_id string, strategy string, n_comments bigint, comments array<struct<body: string, author_type: string>>, calls bigint, failures bigint, status string, error string"
+FIELDS = {
+    "submission_id": "string", "model": "string", "model_id": "string", "strategy": "string", "n_comments": "bigint", "comments": "array<struct<body: string, author_type: string>>",
+    "calls": "bigint", "failures": "bigint", "status": "string", "error": "string",
+}
+GENERATED = ", ".join(f"{n} {t}" for n, t in FIELDS.items())
 
 
 def generate(threads: DataFrame, provider: Provider, strategy: str, calls: Calls = Calls(), partitions: int | None = None) -> DataFrame:
@@ -150,7 +154,8 @@ def generate(threads: DataFrame, provider: Provider, strategy: str, calls: Calls
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(calls.concurrency) as pool, ThreadPoolExecutor(calls.concurrency) as threads_pool:
             for frame in frames:
-                yield pd.DataFrame(list(threads_pool.map(partial(_record, provider=provider, strategy=strategy, calls=calls, pool=pool), frame.itertuples(index=False))), columns=[f.split()[0] for f in GENERATED.replace("array<struct<body: string, author_type: string>>", "a").split(", ")])
+                made = threads_pool.map(partial(_record, provider=provider, strategy=strategy, calls=calls, pool=pool), frame.itertuples(index=False))
+                yield pd.DataFrame(list(made), columns=list(FIELDS))
 
     return rows.mapInPandas(run, GENERATED)
 
@@ -213,6 +218,3 @@ def cost(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of each model's tokens_in and tokens_out, and of all in a row TOTAL."""
     priced = tokens.join(prices, "model").withColumn("cost", F.col("tokens_in") / 1e6 * F.col("price_in") + F.col("tokens_out") / 1e6 * F.col("price_out"))
     return priced.rollup("model").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").alias("cost")).withColumn("model", F.coalesce("model", F.lit("TOTAL")))
-
-
-__all__ = ["GUIDELINES", "Calls", "Provider", "generate"]

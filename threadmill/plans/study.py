@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis, corpus, export, generation, sampling, threads
 from ..operators.prompts import role_mix
 from ..sources import schemas
-from ..sources.ndjson import read_if_present, read_jsonl
+from ..sources.ndjson import read_if_present
 from ..sources.sinks import append_checkpoint, write_jsonl, write_metadata_csv
 
 
@@ -87,6 +87,3 @@ def statistics(real: DataFrame, generated: DataFrame, needle: str = "?") -> dict
         "coverage": analysis.coverage(ids, generated), "incomplete": analysis.incomplete(ids, generated), "lengths": dimension.join(analysis.length_stats(replies), "group", "left"), "boxes": analysis.box_inputs(replies),
         "rates": analysis.needle_rates(replies, dimension), "bands": analysis.needle_rates_by_band(replies), "patterns": analysis.pattern_threads(replies),
     }
-
-
-__all__ = ["build_corpus", "read_jsonl", "sample_threads", "statistics"]
