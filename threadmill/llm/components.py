@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS = 200_000
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the folder named in spark.checkpoint.dir; only where that is unset (local tests) a temporary one."""
     context = spark.sparkContext
@@ -33,6 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Null ends and loops are ignored, repeated edges and either direction are
     the same. Each round is written to the checkpoint folder, so a lost
     executor costs one round at most; hot nodes are joined, never collected.
+    A round's files are as many as its edges need (``ROWS`` each).
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -43,6 +47,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == signature or not state[0]:
             break
         signature = state
-        now = _star(_star(now, True), False).checkpoint()
+        now = _star(_star(now, True), False).coalesce(max(1, -(-state[0] // ROWS))).checkpoint()
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
