@@ -18,14 +18,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round over edges (a, b) with a > b: each neighbour is hung on the smallest node it is known to reach."""
+def _star(edges: DataFrame, large: bool, files: int) -> DataFrame:
+    """One round over edges (a, b) with a > b: each neighbour is hung on the smallest node it is known to reach.
+
+    The minima are written before they are joined: Spark can then split the
+    rows of a hot node over tasks, or broadcast the minima if they are small.
+    """
     if large:  # neighbours on both sides; those larger than the node move to its minimum
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).coalesce(files).checkpoint()
         moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # smaller neighbours move to the smallest of them, as does the node itself
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = edges.groupBy("a").agg(F.min("b").alias("m")).coalesce(files).checkpoint()
         moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return moved.where("a > b").distinct()
 
@@ -47,6 +51,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == signature or not state[0]:
             break
         signature = state
-        now = _star(_star(now, True), False).coalesce(max(1, -(-state[0] // ROWS))).checkpoint()
+        files = max(1, -(-state[0] // ROWS))
+        for large in (True, False):
+            now = _star(now, large, files).coalesce(files).checkpoint()
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
