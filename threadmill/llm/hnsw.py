@@ -217,7 +217,7 @@ def build_shards(vectors: DataFrame, shard_rows: int = 4096, least: int = 8, m:
     return dealt.groupBy("dim", "shard").applyInArrow(run, SHARD), shards
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 4096, m: int = 12, ef_build: int = 64, ef_search: int = 96, block: int = 1024) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 4096, m: int = 12, ef_build: int = 64, ef_search: int = 160, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance in double precision) of each query's k nearest found.
 
     Vectors as in ``valid_vectors``; only vectors of the query's dimension are
