@@ -38,6 +38,7 @@ class Provider:
     reasoning_effort: str | None = None
 
 
+#: The study's models and their prices.
 PROVIDERS = {p.name: p for p in (Provider("gemini", "gemini-2.5-pro", 1.25, 10.0), Provider("openai", "gpt-5", 1.25, 15.0), Provider("grok", "x-ai/grok-4.6", 1.5, 5.0))}
 
 
