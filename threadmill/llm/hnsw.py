@@ -214,7 +214,8 @@ def build_shards(vectors: DataFrame, shard_rows: int = 4096, least: int = 8, m:
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "first": [first.astype(np.int64).tobytes()], "vectors": [x.tobytes()], "sizes": pa.array([[len(a) for a in graph.near]], pa.list_(pa.int32())), "near": [b"".join(a.tobytes() for a in graph.near)]})
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
-    return dealt.groupBy("dim", "shard").applyInArrow(run, SHARD), shards
+    # a set number of partitions: few bytes make long work here, so small ones must not be joined into one task
+    return dealt.repartition(2 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(run, SHARD), shards
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 4096, m: int = 12, ef_build: int = 64, ef_search: int = 160, block: int = 1024) -> DataFrame:
