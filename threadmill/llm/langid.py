@@ -150,13 +150,14 @@ def fit(docs: DataFrame, train: Column, per_language: int = 1500, clusters: int
     return model
 
 
-def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("doc_id",), least_grams: int = 100) -> DataFrame:
     """The ``keep`` columns with lang_pred, score (cosine, 0 to 1) and rejected.
 
     A text that is null or has no letter, and every text under a model without
     languages, gives ``und``, score 0, and is rejected. A text that is too far
-    from all centroids keeps the nearest one's language and is rejected. Ties
-    go to the language that sorts first.
+    from all centroids keeps the nearest one's language and is rejected, unless
+    it has fewer than ``least_grams`` grams (about 50 letters): too few to
+    judge by distance. Ties go to the language that sorts first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = schema_with(docs, keep, "lang_pred string, score double, rejected boolean")
@@ -168,12 +169,13 @@ def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("
             if known is None:
                 lang, score, out = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
             else:
-                cosine = known.vectors(gram_counts(data, offsets)) @ known.matrix.T
+                counts = gram_counts(data, offsets)
+                cosine = known.vectors(counts) @ known.matrix.T
                 best = cosine.argmax(1)
                 letters = has_letter(data, offsets)
                 score = np.where(letters, np.clip(cosine[np.arange(n), best].astype(float), 0, 1), 0)
                 lang = [known.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-                out = ~letters | (score < known.floor[best])
+                out = ~letters | ((score < known.floor[best]) & (counts.sum(1) >= least_grams))
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=[*keep, "lang_pred", "score", "rejected"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
