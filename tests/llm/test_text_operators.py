@@ -87,6 +87,13 @@ def test_language_of_held_out_texts(languages):
     assert not any(r["rejected"] for r in held)
 
 
+def test_far_texts_are_rejected_and_short_ones_kept(spark, languages):
+    model = langid.fit(languages, F.lit(True), per_language=60)
+    rows = [(1, "我们今天去公园散步天气很好" * 20), (2, "qxz wvk jjx " * 40), (3, "qxz"), (4, "thing tion and the ering " * 10)]
+    got = {r["doc_id"]: r["rejected"] for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False}
+
+
 def test_language_without_training_rows(languages, empty):
     assert langid.fit(empty, F.lit(True)) is None
     assert {r["lang_pred"] for r in langid.predict(languages, None).collect()} == {"und"}
