@@ -95,12 +95,11 @@ def incomplete(ids: DataFrame, generated: DataFrame, models=MODELS, strategies=S
 
 
 def _grid(ids, generated, models, strategies):
-    spark = ids.sparkSession
-    cells = spark.createDataFrame([(m, s) for m in models for s in strategies], "model string, strategy string")
+    cells = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(s).alias("strategy")) for m in models for s in strategies))
     n = F.size(F.coalesce("comments", F.array()))
     blank = F.size(F.filter(F.coalesce("comments", F.array()), lambda c: is_blank(c["body"])))
     sets = generated.groupBy("submission_id", "model", "strategy").agg(F.last("comments").alias("comments")).select("submission_id", "model", "strategy", n.alias("n"), blank.alias("blank"))
-    every = ids.select("submission_id").distinct().crossJoin(F.broadcast(cells))  # as many rows as the study has cells
+    every = ids.select("submission_id").distinct().select("submission_id", F.inline(cells))
     return every.join(sets, ["submission_id", "model", "strategy"], "left").select("submission_id", "model", "strategy", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("blank", F.lit(0)).alias("blank"))
 
 
