@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from tokenizers import models
+from tokenizers import Tokenizer, models
 
 from .common import doc_slices, schema_with
 
@@ -27,6 +27,16 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 MAX_ENTRIES = 150_000  # words of each of two generations, and fragments
 
 
+@lru_cache(1)
+def disputed() -> regex.Pattern:
+    """Characters that are letters or numbers in one version of Unicode and not in another: the installed libraries' tables are of several."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = set()
+    for kind in "LN":
+        out |= set(regex.findall(rf"\p{{{kind}}}", every)) ^ {c for c in every if unicodedata.category(c)[0] == kind}
+    return regex.compile("[" + "".join(map(regex.escape, sorted(out))) + "]") if out else regex.compile(r"(?!)")
+
+
 @lru_cache(1)
 def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the others follow from U+0100."""
@@ -60,6 +70,7 @@ class ForcedBoundaryBpe:
         self.any_special = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         letters = byte_letters()
         self.letters = dict(letters)
+        self.definition, self.library = definition, None  # the whole tokenizer is made only for texts that need its table
         bytes_of = {c: b for b, c in letters.items()}
         #: joinable[0][a, b]: a and b stand side by side inside a token; joinable[1]: with the suffix glued to b.
         self.joinable = np.zeros((2, 256, 256), bool)
@@ -109,16 +120,28 @@ class ForcedBoundaryBpe:
     def normalise(self, text: str) -> str:
         return text.lower() if text.isascii() else _lower(unicodedata.normalize("NFC", text))
 
+    def words_of(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if disputed().search(text):  # the library's own table decides
+                bytes_of = {c: b for b, c in self.letters.items()}
+                library = self.library = self.library or Tokenizer.from_str(self.definition)
+                pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
+                return [bytes(bytes_of[c] for c in piece).decode() for piece, _ in pieces]
+        return self.word.findall(self.normalise(text))
+
     def segments(self, text: str) -> list[str | int]:
         """The text's words, and the ids of special tokens in it."""
         if self.any_special is None or not self.any_special.search(text):
-            return self.word.findall(self.normalise(text))
+            return self.words_of(text)
         out: list[str | int] = []
         for i, part in enumerate(self.any_special.split(text)):
             if i % 2:
                 out.append(self.special[part])
             else:
-                out += self.word.findall(self.normalise(part))
+                out += self.words_of(part)
         return out
 
     def learn(self, found: list[list[str | int]]) -> None:
