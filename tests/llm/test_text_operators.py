@@ -31,7 +31,7 @@ def key(x):
 # 2
 
 
-TEXTS = ["Hello  World's <|endoftext|> it's 123", "ΟΔΟΣ Σ İstanbul ﬁ", "日本語🎉🎉👍", "\x00\x1c\x1dx\x85　y", "don'T WE'LL ''s", "Ⅷ ½²", "é", "<|startoftext|>", "a" * 300, "zq" * 40]
+TEXTS = ["Hello  World's <|endoftext|> it's 123", "ΟΔΟΣ Σ İstanbul ﬁ", "日本語🎉🎉👍", "\x00\x1c\x1dx\x85　y", "don'T WE'LL ''s", "Ⅷ ½²", "é", "<|startoftext|>", "a" * 300, "zq" * 40, "\u0558a \U00010940b x\ua7cby 1\u208f2"]
 
 
 def test_bpe_equals_the_library(docs, corpus):
