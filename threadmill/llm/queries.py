@@ -8,12 +8,14 @@ from .common import crc_part, read
 
 
 def op1_hnsw(spark, sf_dir):
+    """The 10 nearest vectors of every vec_id divisible by 100, against all rows of embeddings."""
     from .hnsw import nearest
 
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op2_bpe(spark, sf_dir):
+    """Ids and decoding of every whole text, as digests."""
     import public_tokenizers
 
     from .bpe import encode_decode_digest, load
@@ -22,6 +24,7 @@ def op2_bpe(spark, sf_dir):
 
 
 def op3_suffix_tree(spark, sf_dir):
+    """Words left when windows of 13 words that start in a smaller doc_id are removed."""
     from .suffix_tree import remove_repeated_words
 
     out = remove_repeated_words(read(spark, sf_dir, "documents"), width=13)
@@ -30,6 +33,7 @@ def op3_suffix_tree(spark, sf_dir):
 
 
 def op4_langid(spark, sf_dir):
+    """Languages of all texts by a model that learns from two thirds of the ids."""
     from .langid import fit, predict
 
     docs = read(spark, sf_dir, "documents")
@@ -38,6 +42,7 @@ def op4_langid(spark, sf_dir):
 
 
 def op5_suffix_array(spark, sf_dir):
+    """Bytes left when strings of 50 bytes that start in a smaller doc_id are removed."""
     from .suffix_array import remove_repeated_bytes
 
     out = remove_repeated_bytes(read(spark, sf_dir, "documents"), width=50)
@@ -46,24 +51,28 @@ def op5_suffix_array(spark, sf_dir):
 
 
 def op6_simhash(spark, sf_dir):
+    """Fingerprints of four-word shingles, linked at four or fewer differing bits."""
     from .simhash import near_duplicate_digest
 
     return near_duplicate_digest(read(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
 def op7_html(spark, sf_dir):
+    """Main text of every page."""
     from .html_text import extract
 
     return extract(read(spark, sf_dir, "pages"))
 
 
 def op8_decontaminate(spark, sf_dir):
+    """Words of every document inside ten-word windows of the benchmark."""
     from .decontaminate import decontamination_digest
 
     return decontamination_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), width=10)
 
 
 def op9_quality(spark, sf_dir):
+    """Quality scores of all texts by a ranking that learns from four fifths of the ids."""
     from .quality import fit, score
 
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -72,6 +81,7 @@ def op9_quality(spark, sf_dir):
 
 
 def op10_kneser_ney(spark, sf_dir):
+    """Log10 probabilities of all texts under a model that learns from six sevenths of the ids."""
     from .kneser_ney import score
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_part(7) == 2).alias("held_out"))
