@@ -66,28 +66,6 @@ def fingerprint_arrays(hashes: np.ndarray, n: np.ndarray, parts: int = 1) -> np.
     return out
 
 
-def bottom_sketches(hashes: np.ndarray, n: np.ndarray, size: int) -> list[bytes]:
-    """For each document the least ``size`` of its distinct hashes, as sorted 32-bit numbers."""
-    owner = np.repeat(np.arange(len(n)), n)
-    short = (hashes >> U64(32)).astype(np.uint32)
-    order = np.lexsort((short, owner))
-    owner, short = owner[order], short[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (short[1:] != short[:-1])
-    owner, short = owner[new], short[new]
-    first = np.searchsorted(owner, np.arange(len(n) + 1))
-    return [short[a : min(b, a + size)].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-
-
-def resemblance(x: np.ndarray, y: np.ndarray, size: int) -> float:
-    """Jaccard similarity of two sketched sets: exact if both are whole, else over the least ``size`` of their union."""
-    union = np.union1d(x, y)
-    if len(x) >= size or len(y) >= size:
-        union = union[:size]
-    both = np.intersect1d(x, y, assume_unique=True)
-    return float(np.searchsorted(both, union[-1], "right") / len(union)) if len(union) else 1.0
-
-
 def fingerprints(docs: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of each row with fp, its fingerprint as a signed long; a null text has no words."""
     schema = schema_with(docs, keep, "fp long")
@@ -218,87 +196,225 @@ def near_duplicate_digest(docs: DataFrame, shingle: int = 4, distance: int = 4)
     return near_duplicate_groups(docs, shingle, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Groups by a similarity: fingerprints of several parts, whose share of differing bits measures the angle between shingle counts.
+# Groups by a similarity of shingle sets: an exact join by prefixes, without fingerprints.
+
+
+def shingle_sets(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each document in ascending order, one document after the other, and n+1 offsets."""
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(n) + 1))
+
+
+def set_digests(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of each set."""
+    raw = sets.tobytes()
+    return [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two ascending sets; 1 if both are empty."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _at_least(x) -> np.ndarray:
+    """The least whole number that is x, but for rounding errors, or more."""
+    return np.ceil(np.asarray(x) - 1e-9).astype(np.int64)
 
 
-def sampled_keys(fp: np.ndarray, choices: np.ndarray) -> np.ndarray:
-    """n x keys: for each row of ``choices`` (bit numbers) the bits there and the row's number, as one mixed hash."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-    weight = U64(1) << np.arange(choices.shape[1], dtype=U64)
-    return np.stack([mixed((bits[:, c].astype(U64) * weight).sum(1, dtype=U64) + U64((i + 1) * int(BASE) % (1 << 64))) for i, c in enumerate(choices)], axis=1)
+def prefixes(sets: np.ndarray, first: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set of n hashes the first n - ceil(similarity x n) + 1, rare hashes first: (hash, owner, place).
+
+    The order is by the counts in ``common`` (ascending hashes, their counts;
+    0 for others), then by the hash, so it is the same for all sets. Two sets
+    of at least that similarity share a hash of both prefixes in any such order.
+    """
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    known, counts = common
+    count = np.zeros(len(sets), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, sets), len(known) - 1)
+        count = np.where(known[at] == sets, counts[at], 0)
+    order = np.lexsort((sets, count, owner))
+    n = np.diff(first)
+    place = np.arange(len(sets)) - first[owner]
+    take = place <= (n - _at_least(similarity * n))[owner]
+    return sets[order][take], owner[take], place[take]
+
+
+def _possible(n_a, p_a, n_b, p_b, similarity: float):
+    """Whether sets of these sizes whose first common hash is at these places can be similar enough."""
+    overlap = _at_least(similarity / (1 + similarity) * (n_a + n_b))
+    return np.minimum(n_a - p_a, n_b - p_b) >= overlap
+
+
+def possible_pairs(keys: np.ndarray, n: np.ndarray, place: np.ndarray, same: np.ndarray, similarity: float, first_round: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (indices) of rows under a key that can be similar enough; rows of equal ``same`` are known to be linked.
+
+    The first round gives all pairs of small groups, and in large ones each
+    row's pair with the last that it can be paired with in order of size; it
+    only saves work. The second gives all others whose rows are not linked yet.
+    """
+    order = np.lexsort((place, n, keys))
+    keys, n, place, same = keys[order], n[order], place[order], same[order]
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.concatenate((heads, [len(keys)])))
+    group = np.repeat(np.arange(len(heads)), sizes)
+    small = np.repeat(sizes <= PAIRWISE, sizes)
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if first_round:
+        for step in range(1, min(PAIRWISE, len(keys))):
+            at = np.flatnonzero((group[step:] == group[:-step]) & small[:-step])
+            if not len(at):
+                break
+            at = at[_possible(n[at], place[at], n[at + step], place[at + step], similarity) & (same[at] != same[at + step])]
+            out_a.append(at)
+            out_b.append(at + step)
+    for h in np.flatnonzero(sizes > PAIRWISE).tolist():
+        low, high = int(heads[h]), int(heads[h] + sizes[h])
+        for i in range(low + 1, high):
+            start = max(low, int(low + np.searchsorted(n[low:i], _at_least(similarity * n[i]))))
+            ok = np.flatnonzero(_possible(n[start:i], place[start:i], n[i], place[i], similarity) & (same[start:i] != same[i])) + start
+            if first_round:
+                ok = ok[-1:]
+            out_a.append(ok)
+            out_b.append(np.full(len(ok), i))
+    return order[np.concatenate(out_a)], order[np.concatenate(out_b)]
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, parts: int = 4, slack: float = 0.08, miss: float = 0.01, size: int = 384, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sample: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of each row with root, the same for rows that links of at least ``similarity`` connect.
 
-    Candidates are fingerprints of 64 x ``parts`` bits whose differing bits
-    are at most those of a similarity ``slack`` lower. So many differing bits
-    leave no block whole for certain; the keys are samples of the bits
-    instead, as many and as long as the number of texts asks for, and a pair
-    at the limit misses all of them with probability ``miss`` (nearer pairs
-    far more seldom). A candidate is a link if the Jaccard similarity of the
-    sets of shingles is enough: exact for texts of fewer than ``size``
-    distinct shingles, else by the least ``size`` of their hashes (standard
-    error 0.02 at 0.8). Equal fingerprints are always linked.
+    A link is a Jaccard similarity of the sets of shingles (64-bit hashes) of
+    that much, exact for sets of any size. Texts of equal sets are one node.
+    Candidates share a shingle of both prefixes (``prefixes``) at places that
+    allow the similarity; no link is lost, whatever the size of a group.
+    Large groups take two rounds: pairs that the first one links, directly or
+    not, are not compared again. ``sample`` texts tell the frequent shingles,
+    which stand last in the prefixes' order; they bear on speed only.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    angle = lambda j: float(np.arccos(2 * j / (1 + j)) / np.pi)
-    share, distance = angle(similarity), int(64 * parts * angle(similarity - slack))
-    schema = schema_with(docs, keep, "fp binary, sketch binary")
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    schema = schema_with(docs, keep, "node binary")
 
     def mark(batches):
         for rows, data, offsets in doc_slices(batches):
-            hashes, n = shingle_hashes(data, offsets, shingle)
-            fp = fingerprint_arrays(hashes, n, parts)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(bottom_sketches(hashes, n, size), pa.binary())], names=[*keep, "fp", "sketch"])
+            nodes = set_digests(*shingle_sets(*shingle_hashes(data, offsets, shingle)))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(nodes, pa.binary())], names=[*keep, "node"])
+
+    def hashes_only(batches):
+        for _, data, offsets in doc_slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(*shingle_hashes(data, offsets, shingle))[0].view(np.int64))], names=["h"])
 
     marked = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(mark, schema).checkpoint()
-    distinct = marked.select("fp").distinct()
-    length = int(min(max(round(np.log2(max(distinct.count(), 2))) - 2, 16), 32))
-    n_keys = int(np.ceil(np.log(miss) / np.log(1 - (1 - share) ** length))) if share else 1
-    rng = np.random.default_rng(6)
-    choices = np.stack([rng.choice(64 * parts, length, replace=False) for _ in range(n_keys)])
+    share = sample / max(marked.count(), 1)
+    texts = docs.select("text").where(F.col("text").isNotNull())
+    some = texts.where(F.xxhash64("text", F.lit(6)) / F.lit(2.0**64) + F.lit(0.5) < share).mapInArrow(hashes_only, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    top = some.where("n > 2").orderBy(F.desc("n"), "h").limit(200_000).toArrow()
+    known, counts = top.column("h").to_numpy().view(U64), top.column("n").to_numpy()
+    order = np.argsort(known)
+    common = spark.sparkContext.broadcast((known[order], counts[order]))
 
     def spread(batches):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                column = batch.column("fp").slice(low, 2048)
-                fp = np.frombuffer(b"".join(column.to_pylist()), U64).reshape(len(column), parts)
-                keys = sampled_keys(fp, choices)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), column.take(pa.array(np.repeat(np.arange(len(column)), n_keys)))], names=["key", "fp"])
-
-    def link(batches):
-        got = [(b.column("key").to_numpy(), np.frombuffer(b"".join(b.column("fp").to_pylist()), U64).reshape(b.num_rows, parts)) for b in batches]
+        seen: set = set()
+        for _, data, offsets in doc_slices(batches):
+            sets, first = shingle_sets(*shingle_hashes(data, offsets, shingle))
+            nodes = set_digests(sets, first)
+            fresh = np.array([not (x in seen or seen.add(x)) for x in nodes], bool)  # a node once a task
+            node = np.frombuffer(b"".join(nodes), np.int64).reshape(-1, 2)
+            key, owner, place = prefixes(sets, first, common.value, similarity)
+            key, owner, place = key[fresh[owner]], owner[fresh[owner]], place[fresh[owner]]
+            columns = [key.view(np.int64), node[owner, 0], node[owner, 1], np.diff(first)[owner].astype(np.int32), place.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "hi", "lo", "n", "place"])
+
+    def shared(batches):
+        """Of the rows under each key those of different nodes, where there are two at least."""
+        got = [[b.column(c).to_numpy() for c in ("key", "hi", "lo", "n", "place")] for b in batches]
         if not got:
             return
-        keys, fp = (np.concatenate(x) for x in zip(*got, strict=True))
-        whole = np.ascontiguousarray(fp).view(np.dtype((np.void, 8 * parts)))[:, 0]
-        pairs = {(x, y) if x < y else (y, x) for x, y in zip(*(whole[i].tolist() for i in linked(keys, fp, distance)), strict=True)}
-        a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        key, hi, lo, n, place = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((lo, hi, key))
+        key, hi, lo = key[order], hi[order], lo[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+        order, key = order[new], key[new]
+        node = np.stack((hi[new], lo[new]), axis=1)
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.concatenate((heads, [len(key)])))
+        size = np.repeat(sizes, sizes)
+        for at in np.array_split(np.flatnonzero(size > 1), 1 + len(key) // 65_536):
+            column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(node[at].tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), column, pa.array(n[order[at]]), pa.array(place[order[at]]), pa.array(size[at] > PAIRWISE)], names=["key", "node", "n", "place", "crowded"])
+
+    def linker(first_round):
+        def link(batches):
+            got = [(*(b.column(c).to_numpy() for c in ("key", "n", "place", "same")), np.frombuffer(b"".join(b.column("node").to_pylist()), np.dtype((np.void, 16)))) for b in batches]
+            if not got:
+                return
+            key, n, place, same, node = (np.concatenate(x) for x in zip(*got, strict=True))
+            a, b = possible_pairs(key, n.astype(np.int64), place.astype(np.int64), same, similarity, first_round)
+            _, which = np.unique(node, return_inverse=True)
+            a, b = np.minimum(which[a], which[b]), np.maximum(which[a], which[b])
+            at = np.empty(len(node), np.int64)
+            at[which] = np.arange(len(node))
+            pairs = np.unique(a * len(node) + b)
+            for some in np.array_split(pairs, 1 + len(pairs) // 65_536):
+                ends = [pa.array(node[at[x]].tolist(), pa.binary()) for x in (some // len(node), some % len(node))]
+                yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+        return link
+
+    def whole(batches):
+        for rows, data, offsets in doc_slices(batches):
+            sets, first = shingle_sets(*shingle_hashes(data, offsets, shingle))
+            raw = sets.tobytes()
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())], names=["node", "hashes"])
+
+    def with_node(batches):
+        seen: set = set()
+        for rows, data, offsets in doc_slices(batches):
+            nodes = set_digests(*shingle_sets(*shingle_hashes(data, offsets, shingle)))
+            fresh = pa.array([not (x in seen or seen.add(x)) for x in nodes], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), rows.column("text")], names=["node", "text"]).filter(fresh)
 
     def verify(batches):
         for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))
-            ok = [resemblance(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), size) >= similarity - 1e-9 for p, q in zip(x, y, strict=True)]
+            x, y = (batch.column(c).to_pylist() for c in ("set_a", "set_b"))
+            ok = [jaccard(np.frombuffer(p, U64), np.frombuffer(q, U64)) >= similarity - 1e-9 for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = distinct.mapInArrow(spread, "key long, fp binary").repartition("key").mapInArrow(link, "a binary, b binary").distinct().checkpoint()
-    involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sketches = marked.select("fp", "sketch").join(involved, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch"))
-    known = pairs.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    roots = components(known.mapInArrow(verify, "a binary, b binary"))
-    return marked.join(roots, marked.fp == roots.node, "left").select(*keep, F.coalesce("root", "fp").alias("root"))
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
+    def verified(pairs):
+        involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        held = texts.mapInArrow(with_node, "node binary, text string").join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        sets = held.mapInArrow(whole, "node binary, hashes binary").checkpoint()
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
+        return both.mapInArrow(verify, "a binary, b binary").checkpoint()
+
+    edge = "a binary, b binary"
+    keyed = texts.mapInArrow(spread, "key long, hi long, lo long, n int, place int").repartition("key")
+    rows = keyed.mapInArrow(shared, "key long, node binary, n int, place int, crowded boolean").checkpoint()
+    links = verified(rows.withColumn("same", F.xxhash64("node")).repartition("key").mapInArrow(linker(True), edge).distinct().checkpoint())
+    roots = components(links)
+    crowded = rows.where("crowded")
+    if not crowded.isEmpty():
+        known_roots = crowded.join(roots, "node", "left").withColumn("same", F.xxhash64(F.coalesce("root", "node")))
+        more = verified(known_roots.repartition("key").mapInArrow(linker(False), edge).distinct().checkpoint())
+        roots = components(links.unionByName(more))
+    return marked.join(roots, "node", "left").select(*keep, F.coalesce("root", "node").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of ``similar_groups``: that of the smallest doc_id (null last), once if it is repeated.
 
     Rows keep all their columns, whatever their names.
     """
     packed, restore = set_aside(docs, ("doc_id", "text"))
     keyed = packed.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = similar_groups(keyed, shingle, similarity, parts, keep=("_doc", "_key"))
+    groups = similar_groups(keyed, shingle, similarity, keep=("_doc", "_key"))
     stay = groups.groupBy("root").agg(F.min(F.struct("_doc", "_key")).alias("s")).select("s._doc", "s._key")
     turn = F.row_number().over(Window.partitionBy("_doc", "_key").orderBy(F.lit(0)))
     return restore(keyed.join(stay, ["_doc", "_key"]).withColumn("_turn", turn).where("_turn = 1"))
