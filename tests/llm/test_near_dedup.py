@@ -61,3 +61,11 @@ def test_crowded_keys_are_searched_whole(spark):
     groups = simhash.similar_groups(frame, sample=0)
     least = sorted(r["m"] for r in groups.groupBy("root").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "m").collect())
     assert least == survivors(rows)
+
+
+def test_a_repeated_line_does_not_merge_texts(spark):
+    """Two texts of other words around one line repeated 20 times have an equal fingerprint and stay both."""
+    rng = random.Random(2)
+    line = " ".join(draw(rng, 6))
+    rows = [(i, " ".join([*draw(rng, 12), *[line] * 20, *draw(rng, 13)])) for i in range(6)]
+    assert kept(spark, rows) == survivors(rows) == list(range(6))
