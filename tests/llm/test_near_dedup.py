@@ -69,3 +69,14 @@ def test_a_repeated_line_does_not_merge_texts(spark):
     line = " ".join(draw(rng, 6))
     rows = [(i, " ".join([*draw(rng, 12), *[line] * 20, *draw(rng, 13)])) for i in range(6)]
     assert kept(spark, rows) == survivors(rows) == list(range(6))
+
+
+def test_long_texts_are_compared_whole(spark):
+    """Pairs of long texts at similarities around 0.8 go by their whole sets."""
+    rng, rows = random.Random(3), []
+    for i in range(60):
+        base = draw(rng, 1200)
+        cut = 1200 - (120 + i // 2)  # 0.79 to 0.83
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(base[:cut] + draw(rng, 1200 - cut)))]
+    want = survivors(rows)
+    assert 60 < len(want) < 120 and kept(spark, rows) == want
