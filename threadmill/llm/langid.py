@@ -9,6 +9,7 @@ even that is too far away. Document frequencies come from all training rows.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, doc_slices, hash_share, mixed, schema_with
+from .common import U64, doc_slices, hash_share, mixed, schema_with, slices
 
 BITS = 12
 SIZE = 1 << BITS
 UNKNOWN = "und"
 ROWS = 256  # rows whose dense vectors are held at once
+#: Classes of length, each up to the next: about so many letters, half the number of grams. Shorter texts are not judged by distance.
+LADDER = 2 ** np.arange(4, 14)
 
 _SPACE = 0x20
 _LETTER = np.full(256, _SPACE, np.uint8)
@@ -70,7 +73,7 @@ class Centroids:
     languages: list[str]  # of each centroid
     matrix: np.ndarray  # centroids x SIZE, unit length
     idf: np.ndarray
-    floor: np.ndarray  # of each centroid: the cosine below which a text is rejected
+    floor: np.ndarray  # centroids x classes of length: the cosine below which a text is rejected
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts.astype(np.float32)) * self.idf
@@ -93,13 +96,37 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, train: Column, per_language: int = 1500, clusters: int = 4, slack: float = 0.25, seed: int = 4) -> Centroids | None:
+def length_class(grams: np.ndarray) -> np.ndarray:
+    """The class in LADDER of texts with so many grams; -1 for those too short to judge."""
+    return np.searchsorted(LADDER, grams / 2, "right") - 1
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From each text one piece for each class of length that it reaches, of a length and at a place that look random: bytes, offsets, owners."""
+    out, owner = [], []
+    for d, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        draw = np.random.default_rng([high - low, int(data[low:high].sum())])
+        for size in LADDER.tolist():
+            if high - low < size:
+                break
+            n = int(draw.integers(size, min(2 * size, high - low) + 1))
+            at = low + int(draw.integers(0, high - low - n + 1))
+            out.append(data[at : at + n])
+            owner.append(d)
+    sizes = np.array([len(x) for x in out], np.int64)
+    return np.concatenate([np.zeros(0, np.uint8), *out]), np.concatenate(([0], np.cumsum(sizes))), np.array(owner, np.int64)
+
+
+def fit(docs: DataFrame, train: Column, per_language: int = 1500, clusters: int = 4, slack: float = 1.0, seed: int = 4) -> Centroids | None:
     """Learns from the rows where ``train`` holds and lang is not null; None if there are none.
 
     Document frequencies are over all those rows. ``per_language`` bounds the
     sample (by a hash of doc_id) that the centroids are fitted on; a language
     with fewer rows gives all. A text is rejected below ``slack`` times the
-    cosine that all but a thousandth of its language's sample reach.
+    cosine that all but a thousandth of its language's held-out pieces of its
+    class of length reach: each half of the sample is measured by centroids of
+    the other half. A class of fewer than 1,000 pieces, too few to show a
+    thousandth, is judged with those of the next shorter classes.
     """
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -120,44 +147,76 @@ def fit(docs: DataFrame, train: Column, per_language: int = 1500, clusters: int
 
     def sample(batches):
         for some, data, offsets in doc_slices(batches, rows=ROWS):
-            counts = gram_counts(data, offsets)
-            at = [np.flatnonzero(c) for c in counts]
-            yield pa.RecordBatch.from_arrays([some.column("lang"), pa.array([i.tolist() for i in at], pa.list_(pa.int16())), pa.array([c[i].tolist() for c, i in zip(counts, at, strict=True)], pa.list_(pa.int32()))], names=["lang", "at", "n"])
+            half = np.array([zlib.crc32(data[a:b].tobytes()) & 1 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int8)
+            part, bounds, owner = pieces(data, offsets)
+            todo = [(data, offsets, np.arange(some.num_rows), True)]
+            todo += [(part[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], owner[a:b], False) for a, b in slices(bounds, 1 << 20, ROWS)]
+            for own, ends, row, whole in todo:
+                counts = gram_counts(own, ends)
+                at = [np.flatnonzero(c) for c in counts]
+                columns = [some.column("lang").take(pa.array(row)), pa.array(half[row]), pa.array([whole] * len(row), pa.bool_()), pa.array([i.tolist() for i in at], pa.list_(pa.int16())), pa.array([c[i].tolist() for c, i in zip(counts, at, strict=True)], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "half", "whole", "at", "n"])
 
     share = F.create_map(*(x for lang, n in per.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))))
     picked = rows.where(hash_share("doc_id", seed) < share[F.col("lang")]).select("lang", "text")
-    table = picked.mapInArrow(sample, "lang string, at array<smallint>, n array<int>").toArrow()
+    table = picked.mapInArrow(sample, "lang string, half byte, whole boolean, at array<smallint>, n array<int>").toArrow()
     langs = np.array(table.column("lang").to_pylist(), object)
-    model = Centroids([], np.zeros((0, SIZE), np.float32), idf, np.zeros(0))
+    half, whole = (table.column(c).to_numpy() for c in ("half", "whole"))
+    model = Centroids([], np.zeros((0, SIZE), np.float32), idf, np.zeros((0, len(LADDER))))
     at, n = table.column("at").combine_chunks(), table.column("n").combine_chunks()
+
+    def vectors(rows):
+        counts = np.zeros((len(rows), SIZE), np.float32)
+        for i, r in enumerate(rows.tolist()):
+            counts[i, np.asarray(at[r].values, np.int64)] = np.asarray(n[r].values)
+        return model.vectors(counts), counts.sum(1)
+
+    def floor_of(own, c):
+        """Floors by class of length, from pieces that the centroids were not fitted on."""
+        got = [[] for _ in LADDER]
+        for h in (0, 1):
+            x = vectors(own[whole[own] & (half[own] != h)])[0]
+            x = x[x.any(1)]
+            far = _clusters(x, clusters) if len(x) else c
+            rows = own[~whole[own] & (half[own] == h)]
+            for low in range(0, len(rows), 1024):
+                x, grams = vectors(rows[low : low + 1024])
+                for score, k in zip((x @ far.T).max(1).tolist(), length_class(grams).tolist(), strict=True):
+                    if k >= 0:
+                        got[k].append(score)
+        floor = []
+        for k in range(len(got)):
+            pool, low = list(got[k]), k
+            while len(pool) < 1000 and low:
+                low -= 1
+                pool += got[low]
+            floor.append(slack * float(np.quantile(pool, 0.001)) if pool else 0.0)
+        return floor
+
     parts, floors = [], []
     for lang in sorted(per):
         own = np.flatnonzero(langs == lang)
-        counts = np.zeros((len(own), SIZE), np.float32)
-        for i, r in enumerate(own.tolist()):
-            counts[i, np.asarray(at[r].values, np.int64)] = np.asarray(n[r].values)
-        x = model.vectors(counts)
+        x = vectors(own[whole[own]])[0]
         x = x[x.any(1)]
         if not len(x):
             continue
         c = _clusters(x, clusters)
         parts.append(c)
         model.languages += [lang] * len(c)
-        floors += [slack * float(np.quantile((x @ c.T).max(1), 0.001))] * len(c)
+        floors += [floor_of(own, c)] * len(c)
     if not parts:
         return None
     model.matrix, model.floor = np.concatenate(parts).astype(np.float32), np.array(floors)
     return model
 
 
-def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("doc_id",), least_grams: int = 100) -> DataFrame:
+def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with lang_pred, score (cosine, 0 to 1) and rejected.
 
     A text that is null or has no letter, and every text under a model without
     languages, gives ``und``, score 0, and is rejected. A text that is too far
     from all centroids keeps the nearest one's language and is rejected, unless
-    it has fewer than ``least_grams`` grams (about 50 letters): too few to
-    judge by distance. Ties go to the language that sorts first.
+    it has fewer than about 16 letters: too few to judge by distance. Ties go to the language that sorts first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = schema_with(docs, keep, "lang_pred string, score double, rejected boolean")
@@ -175,7 +234,8 @@ def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("
                 letters = has_letter(data, offsets)
                 score = np.where(letters, np.clip(cosine[np.arange(n), best].astype(float), 0, 1), 0)
                 lang = [known.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-                out = ~letters | ((score < known.floor[best]) & (counts.sum(1) >= least_grams))
+                size = length_class(counts.sum(1))
+                out = ~letters | ((score < known.floor[best, np.maximum(size, 0)]) & (size >= 0))
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=[*keep, "lang_pred", "score", "rejected"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
