@@ -181,10 +181,10 @@ SHARD = "dim int, shard int, ids binary, first binary, vectors binary, sizes arr
 
 
 def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, embedding, dim) of the vectors that take part: not null, empty or zero, without null or non-finite components, with an id."""
+    """Distinct (vec_id, embedding, dim) of the vectors that take part: not null, empty or zero, without null or non-finite components, with an id."""
     bad = F.expr(f"exists({embedding}, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
     some = F.expr(f"exists({embedding}, x -> x <> 0)")
-    return table.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).where(~bad & some).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.size(embedding).alias("dim"))
+    return table.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).where(~bad & some).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.size(embedding).alias("dim")).distinct()
 
 
 def build_shards(vectors: DataFrame, shard_rows: int = 4096, least: int = 8, m: int = 12, ef: int = 64, k: int = 10) -> tuple[DataFrame, int]:
