@@ -24,6 +24,7 @@ from .components import components, ensure_checkpoint_dir
 _SPACED = LOWER.copy()
 _SPACED[~SOLID] = 0x20
 PAIRWISE = 24  # groups up to this size are compared all at once
+NODE_BITS = 22  # of a node's digest, that tell which texts may be in a candidate pair
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -374,13 +375,6 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
             raw = sets.tobytes()
             yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())], names=["node", "hashes"])
 
-    def with_node(batches):
-        seen: set = set()
-        for rows, data, offsets in doc_slices(batches):
-            nodes = set_digests(*shingle_sets(*shingle_hashes(data, offsets, shingle)))
-            fresh = pa.array([not (x in seen or seen.add(x)) for x in nodes], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), rows.column("text")], names=["node", "text"]).filter(fresh)
-
     def verify(batches):
         for batch in batches:
             x, y = (batch.column(c).to_pylist() for c in ("set_a", "set_b"))
@@ -389,6 +383,21 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
 
     def verified(pairs):
         involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        # texts whose bit is not set cannot be involved and need not be dealt out; the join decides on the rest
+        place = F.conv(F.substring(F.hex("node"), 1, 7), 16, 10).cast("long").bitwiseAND((1 << NODE_BITS) - 1)
+        marks = involved.select(place.alias("bit")).distinct().toArrow().column("bit").to_numpy()
+        bits = np.zeros(1 << NODE_BITS, bool)
+        bits[marks] = True
+        wanted = spark.sparkContext.broadcast(np.packbits(bits))
+
+        def with_node(batches):
+            seen: set = set()
+            chosen = np.unpackbits(wanted.value).astype(bool)
+            for rows, data, offsets in doc_slices(batches):
+                nodes = set_digests(*shingle_sets(*shingle_hashes(data, offsets, shingle)))
+                fresh = pa.array([bool(chosen[int.from_bytes(x[:4], "big") >> 4 & (1 << NODE_BITS) - 1]) and not (x in seen or seen.add(x)) for x in nodes], pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), rows.column("text")], names=["node", "text"]).filter(fresh)
+
         held = texts.mapInArrow(with_node, "node binary, text string").join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
         sets = held.mapInArrow(whole, "node binary, hashes binary").checkpoint()
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
