@@ -35,18 +35,26 @@ def test_entry_has_rows(spark):
 @pytest.mark.skipif(not SF.exists(), reason="no test tables here")
 def test_queries_agree_with_sql(spark):
     duckdb = pytest.importorskip("duckdb")
-    from threadmill import queries
+    from threadmill import queries, record_queries
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "conversations", "events"):
+    for t in ("documents", "pages", "labels", "conversations", "events", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     plain = lambda v: round(v, 6) if isinstance(v, float) else v
     order = lambda r: tuple((v is None, str(v)) for v in r)
-    for name, sql in queries.ORACLE_SQL.items():
-        frame, relation = queries.QUERIES[name](spark, str(SF)), con.sql(sql)
+    known = queries.QUERIES | record_queries.QUERIES
+    for name, sql in (queries.ORACLE_SQL | record_queries.ORACLE_SQL).items():
+        frame, relation = known[name](spark, str(SF)), con.sql(sql)
         columns = sorted(frame.columns)
         assert columns == sorted(relation.columns), name
         got = sorted((tuple(map(plain, r)) for r in frame.select(columns).collect()), key=order)
         want = sorted((tuple(plain(r[relation.columns.index(c)]) for c in columns) for r in relation.fetchall()), key=order)
         assert got == want, name
-    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"two_proportion_power"}
+    assert set(known) == set(queries.ORACLE_SQL | record_queries.ORACLE_SQL)
+
+
+def test_only_missing_parts_are_left_out(tmp_path):
+    """A part that is there but fails to import is an error."""
+    code = "import sys\nclass Block:\n    def find_spec(self, name, path=None, target=None):\n        if name == 'xxhash':\n            raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, Block())\nimport __spark_entry__\n"
+    if (ROOT / "threadmill" / "llm").exists():
+        assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).returncode

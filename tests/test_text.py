@@ -62,3 +62,9 @@ def test_random_texts_have_python_length(spark):
     rng = random.Random(1)
     texts = ["".join(chr(rng.choice([0x41, 0xE9, 0x1F600, 0x20])) for _ in range(30)) for _ in range(50)]
     assert [r["l"] for r in evaluate(spark, texts, l=t.strip_length("x"))] == [len(x.strip()) for x in texts]
+
+
+def test_one_pass_filling():
+    from threadmill.operators.generation import _fill
+
+    assert _fill("{title}: {body} {n} {x}", {"title": "{body} {n}", "body": "b", "n": 3}) == "{body} {n}: b 3 {x}"

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_needle, is_blank, word_count
 
+#: Names of models and strategies, and half-open bands of words; longer replies are in none.
 MODELS = ("gemini", "openai", "grok")
 STRATEGIES = ("dg", "sag", "sagii")
 REAL = "real"
-#: Half-open bands of words; longer replies are in none.
 BANDS = ((0, 25), (25, 50), (50, 100), (100, 10_000))
 
 
@@ -64,8 +64,8 @@ def needle_rates(replies: DataFrame, dimension: DataFrame | None = None, by: str
     rates = replies.groupBy(by).agg(F.count("*").alias("n"), (100.0 * F.count_if("has_needle") / F.nullif(F.count("*"), F.lit(0))).alias("rate"))
     if dimension is not None:
         rates = dimension.select(by).distinct().join(rates, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    base = rates.where(F.col(by) == baseline).agg(F.first("rate").alias("_base"))
-    return rates.crossJoin(F.broadcast(base)).select(by, "n", "rate", F.try_divide("_base", "rate").alias("ratio"))  # one row
+    base = F.max(F.when(F.col(by) == baseline, F.col("rate"))).over(Window.partitionBy())  # over one row a group
+    return rates.select(by, "n", "rate", F.try_divide(base, "rate").alias("ratio"))
 
 
 def band_name(low: int, high: int) -> str:
@@ -94,11 +94,17 @@ def incomplete(ids: DataFrame, generated: DataFrame, models=MODELS, strategies=S
     return per.agg(F.count("*").alias("threads"), F.count_if("gap").alias("incomplete"))
 
 
+def _last_of(generated: DataFrame):
+    """The order by which the last of several sets wins: reading order where it is known, else the fuller set."""
+    reading = [F.col(c) for c in ("file_name", "file_block", "seq") if c in generated.columns]
+    return F.struct(*reading, F.size("comments"), F.to_json("comments"))
+
+
 def _grid(ids, generated, models, strategies):
     cells = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(s).alias("strategy")) for m in models for s in strategies))
     n = F.size(F.coalesce("comments", F.array()))
     blank = F.size(F.filter(F.coalesce("comments", F.array()), lambda c: is_blank(c["body"])))
-    sets = generated.groupBy("submission_id", "model", "strategy").agg(F.last("comments").alias("comments")).select("submission_id", "model", "strategy", n.alias("n"), blank.alias("blank"))
+    sets = generated.groupBy("submission_id", "model", "strategy").agg(F.max_by("comments", _last_of(generated)).alias("comments")).select("submission_id", "model", "strategy", n.alias("n"), blank.alias("blank"))
     every = ids.select("submission_id").distinct().select("submission_id", F.inline(cells))
     return every.join(sets, ["submission_id", "model", "strategy"], "left").select("submission_id", "model", "strategy", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("blank", F.lit(0)).alias("blank"))
 

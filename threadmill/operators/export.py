@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import falsy_to, preview, without_characters
-from .analysis import MODELS, STRATEGIES
+from .analysis import MODELS, STRATEGIES, _last_of
 from .threads import is_real
 
 #: The sheets' section titles and labels, and characters that sheet names must not hold.
@@ -25,7 +25,8 @@ def analysis_records(posts: DataFrame, replies: DataFrame, generated: DataFrame,
     real = ordered_replies(replies.where(is_real()).select("*", F.coalesce("body", F.lit("")).alias("_body")).drop("body").withColumnRenamed("_body", "body"), "body", "author_flair_text", "score", name="real_comments")
     counts = replies.groupBy("submission_id").agg(F.count("*").alias("n_comments"))
     empty = F.array().cast("array<struct<body: string, author_type: string>>")
-    cells = [F.last(F.when((F.col("model") == m) & (F.col("strategy") == s), F.col("comments")), ignorenulls=True).alias(f"{m}_{s}") for m in models for s in strategies]
+    here = lambda m, s, c: F.when((F.col("model") == m) & (F.col("strategy") == s), c)
+    cells = [F.max_by(here(m, s, F.col("comments")), here(m, s, _last_of(generated))).alias(f"{m}_{s}") for m in models for s in strategies]
     sets = generated.groupBy("submission_id").agg(*cells)
     joined = sets.join(posts.withColumnRenamed("id", "submission_id"), "submission_id").join(real, "submission_id", "left").join(counts, "submission_id", "left")
     nested = F.struct(*(F.struct(*(F.coalesce(f"{m}_{s}", empty).alias(s) for s in strategies)).alias(m) for m in models))
@@ -35,6 +36,7 @@ def analysis_records(posts: DataFrame, replies: DataFrame, generated: DataFrame,
     )
 
 
+#: Fields of a post and a reply in the nested record.
 POST_FIELDS = ("id", "title", "selftext", "author", "author_flair_text", "score", "num_comments", "created_utc", "permalink", "subreddit", "total_top_level_comments", "layperson_comment_fraction")
 REPLY_FIELDS = ("id", "body", "author", "author_flair_text", "score", "created_utc", "is_submitter")
 
@@ -98,9 +100,13 @@ def previews(threads: DataFrame, width: int = 300, n: int = 3, order: str = "sub
     return threads.orderBy(order).limit(n).select("submission_id", "title", preview("selftext", width).alias("selftext"))
 
 
+WIDTHS = (28, 100)  # of a sheet's two columns, in characters
+
+
 def write_workbook(rows: DataFrame, path: str) -> None:
-    """An .xlsx of sheet_rows where openpyxl is installed; a workbook is small enough to be read row by row."""
+    """An .xlsx of sheet_rows where openpyxl is installed, headings bold and columns wide enough to read; a workbook is small enough to be read row by row."""
     from openpyxl import Workbook
+    from openpyxl.styles import Alignment, Font
 
     book = Workbook()
     book.remove(book.active)
@@ -108,5 +114,9 @@ def write_workbook(rows: DataFrame, path: str) -> None:
     for r in rows.orderBy("sheet_idx", "section_ord", "row_ord").toLocalIterator():
         if r["sheet_idx"] != current:
             current, sheet = r["sheet_idx"], book.create_sheet(title=r["sheet_name"])
+            sheet.column_dimensions["A"].width, sheet.column_dimensions["B"].width = WIDTHS
         sheet.append([r["col_a"], r["col_b"]])
+        for cell in sheet[sheet.max_row]:
+            cell.alignment = Alignment(wrap_text=True, vertical="top")
+            cell.font = Font(bold=r["row_ord"] == 0 or r["row_ord"] == 1 and r["section_ord"] > 0)
     book.save(path)

@@ -1,6 +1,8 @@
 """Reply generation through a provider: strategies, validation, checkpoint and resume, estimates and costs.
 
-A provider is a picklable function from a prompt to a response text. Retries
+A provider is a picklable function from a prompt to a response text, or to
+(text, tokens in, tokens out) where the service tells them; they are estimated
+by characters where not. Retries
 and backoff happen around each call; a failed call gives an empty reply with
 its error, is recorded as such, and can be asked for again. Results must be
 written before anything else reads them, as a plan that runs twice calls twice;
@@ -11,11 +13,13 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import partial
+from threading import Lock
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,6 +82,17 @@ def validated(response: str, n: int | None, default_role: str = "clinician") ->
     return out if n is None else out[:n]
 
 
+class Usage:
+    """Tokens of a thread's calls, which may run side by side."""
+
+    def __init__(self):
+        self._lock, self.sent, self.got = Lock(), 0, 0
+
+    def add(self, sent: int, got: int) -> None:
+        with self._lock:
+            self.sent, self.got = self.sent + sent, self.got + got
+
+
 @dataclass(frozen=True)
 class Calls:
     """How calls are made. truncate: replies beyond the number asked for are cut."""
@@ -90,11 +105,21 @@ class Calls:
     truncate: bool = True
     templates: Templates = Templates()
 
-    def call(self, prompt: str, n: int, role: str) -> tuple[list[dict[str, str]], str | None]:
+    def call(self, prompt: str, n: int, role: str, used: Usage | None = None) -> tuple[list[dict[str, str]], str | None]:
         error = None
         for attempt in range(self.tries):
             try:
-                return validated(self.provider(prompt, n, role), n if self.truncate else None, self.default_role), None
+                if used is not None and not attempt:
+                    used.add(len(prompt) // CHARS_A_TOKEN, 0)
+                answer = self.provider(prompt, n, role)
+                if isinstance(answer, tuple):
+                    answer, sent, got = answer
+                    sent -= len(prompt) // CHARS_A_TOKEN
+                else:
+                    sent, got = 0, None
+                if used is not None:
+                    used.add(sent, len(answer) // CHARS_A_TOKEN if got is None else got)
+                return validated(answer, n if self.truncate else None, self.default_role), None
             except Exception as e:  # noqa: BLE001  a provider can fail in any way
                 error = f"{type(e).__name__}: {e}"[:500]
                 if attempt + 1 < self.tries:
@@ -103,26 +128,25 @@ class Calls:
 
 
 def _fill(template: str, values: dict[str, object]) -> str:
-    for name, value in values.items():
-        template = template.replace("{" + name + "}", str(value))
-    return template
+    """Each {name} replaced in one pass: what a value holds is not filled in again."""
+    return re.sub("|".join(re.escape("{" + n + "}") for n in values), lambda m: str(values[m[0][1:-1]]), template)
 
 
-def _thread(row, strategy: str, calls: Calls, pool: ThreadPoolExecutor) -> tuple[list[dict[str, str]], list[str]]:
+def _thread(row, strategy: str, calls: Calls, pool: ThreadPoolExecutor, used: Usage) -> tuple[list[dict[str, str]], list[str]]:
     n = int(row.n_comments)
     roles = list(row.roles) if row.roles is not None and len(row.roles) == n else [calls.default_role] * n
     post = {"title": row.title or "", "body": row.selftext or ""}
     if strategy == "dg":
-        replies, error = calls.call(_fill(calls.templates.thread, post | {"n": n, "mix": row.mix or "all by clinicians"}), n, calls.default_role)
+        replies, error = calls.call(_fill(calls.templates.thread, post | {"n": n, "mix": row.mix or "all by clinicians"}), n, calls.default_role, used)
         return replies, [error] if error else []
     if strategy == "sag":
         prompts = [_fill(calls.templates.single, post | {"role": r}) for r in roles]
-        got = list(pool.map(lambda x: calls.call(x[0], 1, x[1]), zip(prompts, roles, strict=True)))
+        got = list(pool.map(lambda x: calls.call(x[0], 1, x[1], used), zip(prompts, roles, strict=True)))
     else:  # each reply sees those before it
         got, prior = [], []
         for role in roles:
             said = "".join(f"Comment {i + 1}: {c}\n\n" for i, c in enumerate(prior))
-            got.append(calls.call(_fill(calls.templates.incremental, post | {"role": role, "prior": said}), 1, role))
+            got.append(calls.call(_fill(calls.templates.incremental, post | {"role": role, "prior": said}), 1, role, used))
             prior.append(got[-1][0][0]["body"] if got[-1][0] else "")
     replies = [r[0] if r else {"body": "", "author_type": role} for (r, _), role in zip(got, roles, strict=True)]
     return replies, [e for _, e in got if e]
@@ -130,7 +154,7 @@ def _thread(row, strategy: str, calls: Calls, pool: ThreadPoolExecutor) -> tuple
 
 FIELDS = {
     "submission_id": "string", "model": "string", "model_id": "string", "strategy": "string", "n_comments": "bigint", "comments": "array<struct<body: string, author_type: string>>",
-    "calls": "bigint", "failures": "bigint", "status": "string", "error": "string",
+    "calls": "bigint", "failures": "bigint", "status": "string", "error": "string", "tokens_in": "bigint", "tokens_out": "bigint",
 }
 GENERATED = ", ".join(f"{n} {t}" for n, t in FIELDS.items())
 
@@ -163,13 +187,13 @@ def generate(threads: DataFrame, provider: Provider, strategy: str, calls: Calls
 
 def _record(row, provider: Provider, strategy: str, calls: Calls, pool: ThreadPoolExecutor):
     n = int(row.n_comments)
-    asked = 1 if strategy == "dg" else n
+    asked, used = 1 if strategy == "dg" else n, Usage()
     try:
-        replies, errors = _thread(row, strategy, calls, pool)
+        replies, errors = _thread(row, strategy, calls, pool, used)
         status, error = ("partial" if errors and len(errors) < asked else "failed" if errors else "done"), (errors[0] if errors else None)
     except Exception as e:  # noqa: BLE001  one thread must not end the others
         replies, errors, status, error = [], [str(e)], "failed", f"{type(e).__name__}: {e}"[:500]
-    return row.id, provider.name, provider.model_id, strategy, n, replies, asked, len(errors), status, error
+    return row.id, provider.name, provider.model_id, strategy, n, replies, asked, len(errors), status, error, used.sent, used.got
 
 
 def ratio_arms(threads: DataFrame, arms: dict[str, str], calls: Calls = Calls(tries=3, default_role="unknown", truncate=False)) -> DataFrame:
@@ -211,6 +235,11 @@ def usage(log: DataFrame) -> DataFrame:
     return log.groupBy("model").agg(F.count("*").alias("calls"), F.count_if("failed").alias("failures"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
 
 
+def usage_of(generated: DataFrame) -> DataFrame:
+    """Per model: calls, failures and tokens that generated sets recorded."""
+    return generated.groupBy("model").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "failures", "tokens_in", "tokens_out")))
+
+
 def price_table(spark, providers: dict[str, Provider] = PROVIDERS) -> DataFrame:
     return spark.createDataFrame([(p.name, p.price_in, p.price_out) for p in providers.values()], "model string, price_in double, price_out double")
 

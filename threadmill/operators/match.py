@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-INLINE = 200  # values beyond this are joined, not listed in the expression
-
 
 @dataclass(frozen=True)
 class Match:
@@ -69,6 +67,12 @@ def file_report(classified: DataFrame) -> DataFrame:
     return classified.groupBy("file_name").agg(F.count("*").alias("lines_processed"), F.count_if(F.col("status") == "error").alias("error_lines"), F.count_if(F.col("status") == "matched").alias("lines_matched"))
 
 
+def progress(log: DataFrame, samples: int = 40) -> DataFrame:
+    """Adds rate to a log of (file_name, at in seconds, lines read so far): lines a second over each file's last ``samples`` entries; null for the first."""
+    last = Window.partitionBy("file_name").orderBy("at").rowsBetween(1 - samples, 0)
+    return log.withColumn("rate", F.try_divide(F.col("lines") - F.first("lines").over(last), F.col("at") - F.first("at").over(last)))
+
+
 def over_error_rate(report: DataFrame, percent: float = 1.0) -> DataFrame:
     """Files with more errors than the rate allows."""
     return report.where(F.col("error_lines") > F.col("lines_processed") * F.lit(percent / 100))

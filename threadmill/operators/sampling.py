@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpoint_folder
+
 
 def hash_sample(rows: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
     """n rows by the order of a hash of key and seed, sorted by key; n <= 0 keeps all. A larger n keeps every row of a smaller one."""
@@ -19,9 +20,7 @@ def hash_sample(rows: DataFrame, n: int, seed: int = 42, key: str = "id") -> Dat
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """Adds _n, each row's 0-based place in the order of ``key``, without gathering the rows in one task."""
-    context = rows.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    checkpoint_folder(rows.sparkSession)
     # the ranges come from a sample, so they are fixed before they are numbered
     parts = rows.repartitionByRange(key).withColumn("_p", F.spark_partition_id()).checkpoint()
     before, at = {}, 0

@@ -15,7 +15,7 @@ REMOVED = ("[removed]", "[deleted]")
 IMAGE_PATTERN = r"(i\.redd\.it|preview\.redd\.it|imgur\.com|\.jpg|\.jpeg|\.png|\.gif|\.webp|\.heic)"
 TERMS_1 = ["health(y)?"]
 TERMS_2 = ["healthy", "ill", "sick", "unhealthy", "unwell", "disease", "dysfunction", "illness", "health", "disorder"]
-TERMS_3 = [*TERMS_2[:5], "well", *TERMS_2[5:]]
+TERMS_3 = ["healthy", "ill", "sick", "unhealthy", "unwell", "well", "disease", "dysfunction", "illness", "health", "disorder"]
 EMPTY_JSON = ("", "{}", "[]", '""', "false", "0", "null")
 TOP_LEVEL = "t3_"
 

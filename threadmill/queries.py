@@ -9,6 +9,9 @@ marks do not occur. Doubles are rounded to six places, costs to four.
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,9 +128,13 @@ def count_cross_check(spark, sf):
 
 
 def moderation_anti_filter(spark, sf):
-    labels = _table(spark, sf, "labels").select("doc_id", "toxic")
-    docs = _table(spark, sf, "documents").join(labels, "doc_id", "left")
-    return docs.where(~F.coalesce(F.col("toxic") == 1, F.lit(False))).select("doc_id", "lang")
+    """Documents as replies, moderated where they are labelled toxic."""
+    labels = _table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    link = F.concat(F.lit("t3_"), F.col("doc_id").cast("string"))
+    mark = F.struct(F.when(F.col("toxic") == 1, "removed").alias("removal_type"))
+    docs = _table(spark, sf, "documents").join(labels, "doc_id", "left").select("doc_id", "lang", F.lit("someone").alias("author"), mark.alias("_meta"), link.alias("link_id"), link.alias("parent_id"))
+    posts = docs.select(F.col("doc_id").cast("string").alias("id"))
+    return corpus.retained_replies(docs, posts).select("doc_id", "lang")
 
 
 def self_reply_filter(spark, sf):
@@ -235,11 +242,11 @@ def cost_rollup(spark, sf):
 
 
 def prior_context(spark, sf):
+    """What each reply's prompt shows: all replies before it, whole. Threads are short; a thread's replies are one prompt."""
     from pyspark.sql import Window
 
-    rows = _replies(spark, sf).withColumn("body", F.left("body", F.lit(20)))
     prior = F.collect_list("body").over(Window.partitionBy("submission_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("submission_id", "pos", prior_text(prior).alias("prior"))
+    return _replies(spark, sf).select("submission_id", "pos", prior_text(prior).alias("prior"))
 
 
 def sheet_layout(spark, sf):
@@ -269,7 +276,8 @@ def nested_thread_export(spark, sf):
 
 def two_proportion_power(spark, sf):
     rows = spark.createDataFrame([("a", 0.103, 0.08, 3882.0, 6475.0), ("b", 0.103, 0.095, 3882.0, 6475.0), ("c", 0.2, 0.2, 100.0, 100.0)], "name string, p1 double, p2 double, n1 double, n2 double")
-    return power.contrasts(rows, alpha=power.bonferroni(0.05, 27)).withColumn("n_needed", power.required_n(F.col("p1"), F.col("p2"), 6475 / 3882).cast("bigint"))
+    out = power.contrasts(rows, alpha=power.bonferroni(0.05, 27)).withColumn("power", _r("power"))
+    return out.withColumn("n_needed", F.coalesce(power.required_n(F.col("p1"), F.col("p2"), 6475 / 3882).cast("bigint"), F.lit(-1)))  # -1: no n is enough
 
 
 def generated_replies(spark, sf):
@@ -301,7 +309,19 @@ _BAND = "CASE WHEN count(*) FILTER (w >= {0} AND w < {1}) >= 30 THEN round(100.0
 _THREADS = "p AS (SELECT conv_id, role, text FROM conversations WHERE turn = 0), r AS (SELECT c.* FROM conversations c WHERE turn >= 1 AND conv_id IN (SELECT conv_id FROM p))"
 _SIZED = "p AS (SELECT conv_id, text FROM conversations WHERE turn = 0), n AS (SELECT conv_id, count(*) AS n FROM conversations WHERE turn >= 1 GROUP BY 1), s AS (SELECT p.conv_id, p.text, n.n, (length(p.text) + length(left(p.text, 40))) / 4 + 200 AS base FROM p JOIN n USING (conv_id))"
 
+def _two_proportion_values() -> str:
+    """The same contrasts by the error function."""
+    out = []
+    for name, p1, p2, n1, n2 in (("a", 0.103, 0.08, 3882, 6475), ("b", 0.103, 0.095, 3882, 6475), ("c", 0.2, 0.2, 100, 100)):
+        z = abs(p1 - p2) / math.sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2) - NormalDist().inv_cdf(1 - 0.05 / 54)
+        z2 = (NormalDist().inv_cdf(0.975) + NormalDist().inv_cdf(0.8)) ** 2
+        needed = math.ceil(z2 * (p1 * (1 - p1) + p2 * (1 - p2) / (6475 / 3882)) / (p1 - p2) ** 2) if p1 != p2 else -1
+        out.append(f"('{name}', {p1}::DOUBLE, {p2}::DOUBLE, {n1}::DOUBLE, {n2}::DOUBLE, {0.5 * (1 + math.erf(z / math.sqrt(2))):.6f}::DOUBLE, {needed}::BIGINT)")
+    return ", ".join(out)
+
+
 ORACLE_SQL = {
+    "two_proportion_power": f"SELECT * FROM (VALUES {_two_proportion_values()}) t(name, p1, p2, n1, n2, power, n_needed)",
     "length_stats_by_group": f'SELECT role AS "group", {_STATS} FROM ({_REPLIES}) GROUP BY role',
     "length_stats_by_language": f'SELECT lang AS "group", {_STATS} FROM (SELECT lang, {W.format("text")} AS w FROM documents) GROUP BY lang',
     "length_boxes": f"WITH r AS ({_REPLIES}), q AS (SELECT role, quantile_cont(w, 0.25) AS q1, quantile_cont(w, 0.5) AS median, quantile_cont(w, 0.75) AS q3 FROM r GROUP BY role) "
@@ -334,7 +354,7 @@ ORACLE_SQL = {
     "workload_estimate": f"WITH {_SIZED} SELECT strategy, count(*) AS threads, CAST(sum(CASE strategy WHEN 'dg' THEN 1 ELSE n END) AS BIGINT) AS calls, round(sum(CASE strategy WHEN 'dg' THEN base WHEN 'sag' THEN base * n ELSE base * n + 80 * n * (n - 1) / 2 END), 6) AS tokens_in, round(sum(80.0::DOUBLE * n), 6) AS tokens_out FROM s, (VALUES ('dg'), ('sag'), ('sagii')) t(strategy) GROUP BY strategy",
     "call_usage": f"SELECT CAST(conv_id % 3 AS VARCHAR) AS model, count(*) AS calls, count(*) FILTER (turn % 5 = 4) AS failures, CAST(sum(length(text)) AS BIGINT) AS tokens_in, CAST(sum({W.format('text')}) AS BIGINT) AS tokens_out FROM conversations GROUP BY 1",
     "cost_rollup": f"WITH p(i, model, a, b) AS (VALUES (0, 'gemini', 1.25::DOUBLE, 10.0::DOUBLE), (1, 'openai', 1.25, 15.0), (2, 'grok', 1.5, 5.0)) SELECT coalesce(model, 'TOTAL') AS model, CAST(sum(length(text)) AS BIGINT) AS tokens_in, CAST(sum({W.format('text')}) AS BIGINT) AS tokens_out, round(sum(length(text) / 1e6 * a + {W.format('text')} / 1e6 * b), 4) AS cost FROM conversations JOIN p ON conv_id % 3 = i GROUP BY ROLLUP (model)",
-    "prior_context": "WITH r AS (SELECT conv_id, turn, left(text, 20) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE turn >= 1) SELECT conv_id AS submission_id, turn AS pos, coalesce(string_agg(concat('Comment ', i, ': ', t, chr(10), chr(10)), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM r",
+    "prior_context": "WITH r AS (SELECT conv_id, turn, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE turn >= 1) SELECT conv_id AS submission_id, turn AS pos, coalesce(string_agg(concat('Comment ', i, ': ', t, chr(10), chr(10)), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM r",
     "sheet_layout": (
         f"WITH {_SIZED}, r AS (SELECT c.* FROM conversations c JOIN s USING (conv_id) WHERE turn >= 1), "
         "k AS (SELECT conv_id, count(*) FILTER (role = 'user') AS l, count(*) FILTER (role <> 'user') AS c FROM r GROUP BY 1), "

@@ -6,7 +6,7 @@ without a newline is kept, and one bad line never fails a whole file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -68,9 +68,17 @@ def read_if_present(spark: SparkSession, path: str, schema: StructType, required
     return spark.createDataFrame([], StructType(schema.fields + StructType.fromDDL("file_name string, file_block bigint, seq bigint").fields))
 
 
-def read_generated_files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All {model}_{strategy}.jsonl of a folder; model and strategy come from the file name where a record lacks them. Later records of a key win."""
-    rows = read_jsonl(spark, path, schema, strict=False, glob="*_*.jsonl").where("submission_id IS NOT NULL")
+def read_generated_files(spark: SparkSession, path: str, schema: StructType, folders: bool = False) -> DataFrame:
+    """All {model}_{strategy}.jsonl of a folder; model and strategy come from the file name where a record lacks them. Later records of a key win.
+
+    With ``folders`` these are folders of files, as Spark writes them.
+    """
+    if folders:
+        lines = read_lines(spark, path, recursive=True).withColumn("file_name", F.element_at(F.split("file_path", "/"), -2))
+        rows = parse_lines(lines.where(F.col("file_name").rlike(r"^.+_[^_]+\.jsonl$")), schema).where("NOT bad").select(*schema.names, "file_name", "file_block", "seq")
+    else:
+        rows = read_jsonl(spark, path, schema, strict=False, glob="*_*.jsonl")
+    rows = rows.where("submission_id IS NOT NULL")
     pattern = r"^(.+)_([^_]+)\.jsonl$"
     named = rows.withColumn("model", F.coalesce("model", F.regexp_extract("file_name", pattern, 1))).withColumn("strategy", F.coalesce("strategy", F.regexp_extract("file_name", pattern, 2)))
     order = F.struct("file_name", "file_block", "seq")
@@ -78,6 +86,19 @@ def read_generated_files(spark: SparkSession, path: str, schema: StructType) ->
     return named.groupBy("submission_id", "model", "strategy").agg(F.max_by(F.struct(*rest), order).alias("r")).select("submission_id", "model", "strategy", "r.*")
 
 
+def read_shard(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """The lines (raw, with kind, prefix and value_lc) of one shard of a written split: only its folders are listed and read."""
+    rows = spark.read.option("basePath", path).schema("value string, kind string, prefix string, value_lc string").text(f"{path}/kind=*/prefix={prefix}")
+    return rows.withColumnRenamed("value", "raw")
+
+
+def largest_first(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes and turn of the files below a folder, largest first, equal ones by name; a scan orders its splits by size itself, this is for schedulers outside."""
+    hidden = F.col("path").rlike(r"/[._][^/]*$")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~hidden).select("path", F.col("length").alias("bytes"))
+    return files.withColumn("turn", F.row_number().over(Window.orderBy(F.desc("bytes"), "path")).cast("bigint"))  # a listing, as long as the number of files
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A status file's file list as rows: input_path, output_path, complete, lines_processed, error_lines, lines_matched."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "files array<array<string>>")["files"]).alias("f"))
