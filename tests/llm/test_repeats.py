@@ -116,3 +116,83 @@ def test_tree_nodes_at_depth():
 def test_digest_query_matches_sql_form(docs, corpus):
     rows = {(r["doc_id"], bytes(r["kept"])) for r in remove_repeated_bytes(docs, 50).collect()}
     assert all(len(hashlib.sha256(k).hexdigest()) == 64 for _, k in rows)
+
+
+def thue_morse(a, b, n):
+    """Two words of 2**n letters whose polynomial hashes modulo 2**64 are equal, whatever the base."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    """Pairs of texts that differ in one long word of an equal hash: nothing repeats, many of them in each batch."""
+    one, other = thue_morse("a", "b", 11)
+    rows = []
+    for i in range(60):
+        left, right = " ".join(f"l{i}x{k}" for k in range(5)), " ".join(f"r{i}x{k}" for k in range(5))
+        rows += [(2 * i, f"{left} {one} {right}"), (2 * i + 1, f"{left} {other} {right}")]
+    out = remove_repeated_words(spark.createDataFrame(rows, "doc_id long, text string"), 11, 4).collect()
+    assert all(r["spans"] == [] and r["n_words"] == 11 for r in out) and len(out) == 120
+
+
+def test_equal_hashes_of_different_windows_are_not_merged(docs, corpus, monkeypatch):
+    """With a hash that is the same for all spans, only the symbols themselves tell the segments of a batch apart."""
+    from threadmill.llm import repeats
+
+    def check(table):
+        for scheme in (Scheme(13, 5, True), Scheme(50, 18, False)):
+            b = repeats.Batch(table, scheme)
+            b.segments(np.ones(len(b.unique), bool), np.zeros(len(b.unique), bool))
+            plain = len(b.rep)
+            with monkeypatch.context() as m:
+                m.setattr(repeats, "span_hash", lambda prefix, start, end: np.zeros(len(start), np.uint64))
+                b.segments(np.ones(len(b.unique), bool), np.zeros(len(b.unique), bool))
+            assert len(b.rep) >= plain
+            for i in range(len(b.start)):
+                r = b.rep[b.rep_of[i]]
+                assert b.texts(np.array([i]))[0].tobytes().split() == b.texts(np.array([r]))[0].tobytes().split() and b.windows[i] == b.windows[r]
+
+    check(docs.select("doc_id", "text").toArrow())
+
+
+def test_suffixes_of_equal_hashes_are_sorted_by_their_bytes(monkeypatch):
+    from threadmill.llm import suffix_array
+    from threadmill.llm.repeats import Segments
+
+    texts = [b"abcdefghij0123456789", b"abcdefghijKLMNOPQRST", b"abcdefghij0123456789"]
+    one = np.ones(3, np.int64)
+    s = Segments(np.zeros(3, np.uint64), one, 0 * one, np.array([5, 6, 7]), 20 * one, np.frombuffer(b"".join(texts), np.uint8))
+    monkeypatch.setattr(suffix_array, "SYMBOL", np.ones(256, np.uint64))  # all strings of a length have one hash
+    assert suffix_array.resolve(s, 20).tolist() == [0, 0, 1]
+
+
+def test_letters_grow_with_the_input(spark):
+    """Five times the input, at most about five times the letters, and none that is empty."""
+    import random
+
+    from threadmill.llm.rounds import Rounds, filled, pack, shard_cuts, unpack
+
+    rng, sent = random.Random(1), []
+    for n in (200, 1000, 5000):
+        rows = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(40))) for i in range(n)]
+        rounds = Rounds(spark.createDataFrame(rows, "doc_id long, text string"), 1 << 11, least=4, reference=1 << 15)
+
+        def ask(table, _, shards=rounds.shards):
+            keys = np.unique(np.array([hash(t) for t in table.column("text").to_pylist()], np.int64).view(np.uint64))
+            for s, part in filled(shard_cuts(keys, shards)):
+                yield s, pack(key=keys[part])
+
+        letters = rounds.ask(ask).collect()
+        assert all(len(unpack(bytes(r["data"]))["key"]) for r in letters)
+        sent.append(len(letters))
+    assert sent[2] <= 7 * sent[1] and sent[1] <= 7 * sent[0]
+
+
+def test_repeated_rows_are_dealt_over_all_batches(spark):
+    from threadmill.llm.rounds import Rounds
+
+    rounds = Rounds(spark.createDataFrame([(1, "a b c")] * 2000, "doc_id long, text string").repartition(2), least=24)
+    got = rounds.parcels.groupBy("batch").count().collect()
+    assert len(got) == rounds.batches == 24

@@ -1,21 +1,28 @@
-"""Shared helpers of the text operators: Arrow slicing, word finding and vectorised polynomial hashes.
+"""Shared helpers of the text operators: Arrow slicing, word finding and vectorised hashes.
 
-All hashes are polynomial modulo 2**64. They only propose matches: every
+Hashes of spans are polynomial modulo 2**64 and only propose matches: every
 operator that acts on equality of texts compares the texts themselves.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
@@ -34,6 +41,11 @@ def schema_with(frame: DataFrame, names, more: str) -> StructType:
     return StructType([*frame.select(*names).schema.fields, *StructType.fromDDL(more).fields])
 
 
+def free_name(name: str, taken) -> str:
+    """The name, or one like it that is not taken."""
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if n not in taken)
+
+
 def set_aside(frame: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The frame with all but the needed columns in one struct, so that no name clashes with those an operator
     adds, and a function that gives a frame with these columns the first frame's columns back, and drops others.
@@ -47,6 +59,13 @@ def set_aside(frame: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Cal
     return packed, restore
 
 
+def give_back() -> None:
+    """Hands memory that is no longer used back to the system: workers live on, and what one step needed must not be held through the next."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def crc_part(modulus: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -63,10 +82,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1); kept up to 4 M entries for the worker's next batches."""
+    """base**0 .. base**(n-1); kept up to 4 M entries for the worker's next batches, a power of two so that they are seldom made anew."""
     kept = _powers.get(int(base))
     if kept is None or len(kept) < n:
-        size = max(n, 1 << 16)
+        size = 1 << max(16, int(n).bit_length())
         kept = np.full(size, base, U64)
         kept[0] = 1
         np.multiply.accumulate(kept, out=kept)
@@ -180,6 +199,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(span_hash(prefix_hashes(SYMBOL[data]), starts, ends))
 
 
+def numbered_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word of ``words(data, ..)``, equal for equal words only, and the distinct words by number."""
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[SOLID[data]])])
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def xxh64_of(distinct: pa.Array, seed: int = 0) -> np.ndarray:
+    """XXH64 of each of these words."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w, seed) for w in distinct.to_pylist()], U64)
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """For first with n+1 entries: the index of the row that holds each item."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

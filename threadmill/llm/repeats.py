@@ -9,6 +9,8 @@ anchor, where the operator's own index (suffix sort or suffix tree) compares
 the texts. Segments of an anchor that is very frequent are first split into
 their single windows, dealt by the hash of the whole window, so that a
 passage which a third of all documents hold is spread over all shards.
+Of the segments that hold the same symbols within a batch, symbol by symbol,
+only one is sent.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SYMBOL, U64, buffers, gram_hashes, ids_of, mixed, prefix_hashes, ranges, slices, span_hash, word_hashes, words
-from .rounds import Rounds, pack, shard_cuts, unpack
+from .common import SYMBOL, U64, buffers, gram_hashes, ids_of, mixed, numbered_words, prefix_hashes, ranges, slices, span_hash, words, xxh64_of
+from .rounds import Rounds, filled, gathered, pack, shard_cuts
 
 SLICE = 1 << 19  # bytes whose hash arrays are held at once
+COMPARED = 1 << 22  # symbols that are compared at once
 
 
 @dataclass(frozen=True)
@@ -73,20 +76,19 @@ class Batch:
         ids = ids_of(table.column("doc_id"))
         data, offsets = buffers(table.column("text"))
         self.ids, self.data, self.offsets = ids, data, offsets
-        self.parts: list[tuple[int, int, int]] = []  # byte range and first symbol of each slice
-        place, low, high, hashes, firsts, starts, ends = [], [], [], [], [np.zeros(1, np.int64)], [], []
+        self.parts: list[int] = []  # first symbol of each slice
+        place, low, high, hashes, firsts = [], [], [], [], [np.zeros(1, np.int64)]
+        if scheme.of_words:
+            found = [words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, SLICE)]
+            shifts = [offsets[a] for a, _ in slices(offsets, SLICE)]
+            self.starts, self.ends = (np.concatenate([np.zeros(0, np.int64), *(x[i] + shift for x, shift in zip(found, shifts, strict=True))]) for i in (0, 1))
+            self.number, distinct = numbered_words(data, self.starts, self.ends)
+            self.hash_of = xxh64_of(distinct)
         done = 0
-        for a, b in slices(offsets, SLICE):
-            bytes_, offs = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            if scheme.of_words:
-                s, e, first = words(bytes_, offs)
-                symbols = word_hashes(bytes_, s, e)
-                starts.append(s + offsets[a])
-                ends.append(e + offsets[a])
-            else:
-                symbols, first = SYMBOL[bytes_], offs
-            p, l, h, g = anchors(symbols, first, scheme)
-            self.parts.append((a, b, done))
+        for k, (a, b) in enumerate(slices(offsets, SLICE)):
+            first = found[k][2] if scheme.of_words else offsets[a : b + 1] - offsets[a]
+            p, l, h, g = anchors(self.symbols(done, done + int(first[-1])), first, scheme)
+            self.parts.append(done)
             place.append(p + done)
             low.append(l + done)
             high.append(h + done)
@@ -96,10 +98,11 @@ class Batch:
         join = lambda x, kind=np.int64: np.concatenate(x) if x else np.zeros(0, kind)
         self.place, self.low, self.high, self.hash = join(place), join(low), join(high), join(hashes, U64)
         self.first = np.concatenate(firsts)  # of each document's first symbol
-        if scheme.of_words:
-            self.starts, self.ends = join(starts), join(ends)
         self.unique, self.own, self.count = np.unique(self.hash, return_inverse=True, return_counts=True)
 
+    def symbols(self, low: int, high: int) -> np.ndarray:
+        return self.hash_of[self.number[low:high]] if self.scheme.of_words else SYMBOL[self.data[low:high]]
+
     def doc_of(self, symbol: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, symbol, "right") - 1
 
@@ -124,15 +127,11 @@ class Batch:
         self.lead = np.concatenate((self.place[plain] - self.low[plain], np.zeros(len(single), np.int64)))
         key = np.concatenate((self.hash[plain], np.zeros(len(single), U64)))
         content = np.zeros(len(self.start), U64)
-        for (a, b, done), (_, _, following) in zip(self.parts, [*self.parts[1:], (0, 0, int(self.first[-1]))], strict=True):
+        for done, following in zip(self.parts, [*self.parts[1:], int(self.first[-1])], strict=True):
             at = np.flatnonzero((self.start >= done) & (self.start < following))
             if not len(at):
                 continue
-            if self.scheme.of_words:
-                bytes_ = self.data[self.offsets[a] : self.offsets[b]]
-                symbols = word_hashes(bytes_, self.starts[done:following] - self.offsets[a], self.ends[done:following] - self.offsets[a])
-            else:
-                symbols = SYMBOL[self.data[self.offsets[a] : self.offsets[b]]]
+            symbols = self.symbols(done, following)
             low = self.start[at] - done
             content[at] = span_hash(prefix_hashes(symbols), low, low + self.windows[at] + width - 1)
         is_single = np.arange(len(key)) >= len(plain)
@@ -143,10 +142,31 @@ class Batch:
         new = np.ones(len(order), bool)
         k, c = key[order], content[order]
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        self.rep = order[new]  # sorted by key
-        self.rep_of = np.empty(len(order), np.int64)
-        self.rep_of[order] = np.cumsum(new) - 1
-        self.key = key
+        rep = order[new]  # sorted by key
+        rep_of = np.empty(len(order), np.int64)
+        rep_of[order] = np.cumsum(new) - 1
+        odd = self.unlike(rep[rep_of])
+        if len(odd):  # equal hashes of different texts: each stands for itself
+            rep_of[odd] = len(rep) + np.arange(len(odd))
+            rep = np.concatenate((rep, odd))
+            order = np.argsort(key[rep], kind="stable")
+            place = np.empty(len(rep), np.int64)
+            place[order] = np.arange(len(rep))
+            rep, rep_of = rep[order], place[rep_of]
+        self.rep, self.rep_of, self.key = rep, rep_of, key
+
+    def unlike(self, other: np.ndarray) -> np.ndarray:
+        """The segments that do not hold the same symbols as these others, compared themselves."""
+        size = self.windows + self.scheme.width - 1
+        same = (self.windows == self.windows[other]) & (self.lead == self.lead[other])
+        todo = np.flatnonzero(same & (other != np.arange(len(other))))
+        symbols = self.number if self.scheme.of_words else self.data
+        for a, b in slices(np.concatenate(([0], np.cumsum(size[todo]))), COMPARED):
+            one = todo[a:b]
+            differ = symbols[ranges(self.start[one], size[one])] != symbols[ranges(self.start[other[one]], size[one])]
+            heads = np.cumsum(size[one]) - size[one]
+            same[one[np.add.reduceat(differ, heads, dtype=np.int64) > 0]] = False
+        return np.flatnonzero(~same)
 
     def texts(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of these segments and their lengths; of words, all that stands between the first and the last."""
@@ -186,13 +206,11 @@ def repeated(docs: DataFrame, scheme: Scheme, resolve: Resolver, finish: Callabl
     rounds = Rounds(docs, batch_bytes)
     shards = rounds.shards
 
-    def ask_anchors(number, table, _):
+    def ask_anchors(table, _):
         b = Batch(table, scheme)
         two, count = b.two_docs(), np.minimum(b.count, 65535).astype(np.uint16)
-        cuts = shard_cuts(b.unique, shards)
-        for s in range(shards):
-            low, high = cuts[s], cuts[s + 1]
-            yield s, pack(hash=b.unique[low:high], two=np.packbits(two[low:high]), count=count[low:high])
+        for s, part in filled(shard_cuts(b.unique, shards)):
+            yield s, pack(hash=b.unique[part], two=np.packbits(two[part]), count=count[part])
 
     def answer_anchors(got):
         sizes = [len(x["hash"]) for _, x in got]
@@ -215,23 +233,18 @@ def repeated(docs: DataFrame, scheme: Scheme, resolve: Resolver, finish: Callabl
             at += n
         return out
 
-    def flags(b: Batch, got: list) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.diff(shard_cuts(b.unique, shards))
-        both = [[np.unpackbits(x[name], count=int(n)) for (_, x), n in zip(got, sizes, strict=True)] for name in ("shared", "hot")]
-        return tuple(np.concatenate(x).astype(bool) for x in both)
-
-    def ask_segments(number, table, got):
+    def with_segments(table, came):
         b = Batch(table, scheme)
-        shared, hot = flags(b, got)
-        b.segments(shared, hot)
-        key = b.key[b.rep]
-        cuts = shard_cuts(key, shards)
-        back = pack(shared=np.packbits(shared), hot=np.packbits(hot))  # goes round with the answers
-        for s in range(shards):
-            which = b.rep[cuts[s] : cuts[s + 1]]
+        cuts = shard_cuts(b.unique, shards)
+        b.segments(*(gathered(came.get(1, []), cuts, name, bool) for name in ("shared", "hot")))
+        return b
+
+    def ask_segments(table, came):
+        b = with_segments(table, came)
+        for s, part in filled(shard_cuts(b.key[b.rep], shards)):
+            which = b.rep[part]
             data, size = b.texts(which)
-            more = {"back": np.frombuffer(back, np.uint8)} if s == number % shards else {}
-            yield s, pack(key=b.key[which], windows=b.windows[which].astype(np.uint8), lead=b.lead[which].astype(np.uint8), doc=b.doc[which], size=size.astype(np.uint32), data=data, **more)
+            yield s, pack(key=b.key[which], windows=b.windows[which].astype(np.uint8), lead=b.lead[which].astype(np.uint8), doc=b.doc[which], size=size.astype(np.uint32), data=data)
 
     def answer_segments(got):
         whole = Segments(*(np.concatenate([x[c] for _, x in got]).astype(kind) for c, kind in (("key", U64), ("windows", np.int64), ("lead", np.int64), ("doc", np.int64), ("size", np.int64), ("data", np.uint8))))
@@ -252,19 +265,16 @@ def repeated(docs: DataFrame, scheme: Scheme, resolve: Resolver, finish: Callabl
         for _, x in got:
             own = mask[at : at + len(x["key"])]
             at += len(own)
-            some = np.flatnonzero(own)
-            out.append(pack(some=np.packbits(own != 0), mask=own[some], **({"back": x["back"]} if "back" in x else {})))
+            out.append(pack(some=np.packbits(own != 0), mask=own[own != 0]))
         return out
 
-    def end(table, got):
-        b = Batch(table, scheme)
-        back = unpack(next(x["back"] for _, x in got if "back" in x).tobytes())
-        n = len(b.unique)
-        b.segments(np.unpackbits(back["shared"], count=n).astype(bool), np.unpackbits(back["hot"], count=n).astype(bool))
-        sizes = np.diff(shard_cuts(b.key[b.rep], shards))
-        some = np.concatenate([np.unpackbits(x["some"], count=int(m)) for (_, x), m in zip(got, sizes, strict=True)]).astype(bool)
+    def end(table, came):
+        b = with_segments(table, came)
+        cuts = shard_cuts(b.key[b.rep], shards)
         mask = np.zeros(len(b.rep), U64)
-        mask[some] = np.concatenate([x["mask"] for _, x in got])
+        for s, x in came.get(2, []):
+            low, high = int(cuts[s]), int(cuts[s + 1])
+            mask[low:high][np.unpackbits(x["some"], count=high - low).astype(bool)] = x["mask"]
         every = (U64(1) << b.windows.astype(U64)) - U64(1)
         own = np.where(b.doc > b.doc[b.rep][b.rep_of], every, mask[b.rep_of])
         change = np.zeros(int(b.first[-1]) + 1, np.int32)
@@ -278,9 +288,9 @@ def repeated(docs: DataFrame, scheme: Scheme, resolve: Resolver, finish: Callabl
             np.add.at(change, at + scheme.width, -1)
         return finish(table, b, np.cumsum(change[:-1]) > 0)
 
-    first = rounds.answer(rounds.ask(ask_anchors), answer_anchors)
-    second = rounds.answer(rounds.ask(ask_segments, first), answer_segments)
-    return rounds.finish(end, second, schema)
+    first = rounds.answer(1, rounds.ask(ask_anchors), answer_anchors)
+    second = rounds.answer(2, rounds.ask(ask_segments, first), answer_segments)
+    return rounds.finish(end, schema, first, second)
 
 
 def runs_by_doc(covered: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

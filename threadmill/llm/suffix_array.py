@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SYMBOL, U64, mixed, prefix_hashes, ranges, schema_with, span_hash
+from .common import INVERSE, SYMBOL, U64, mixed, powers, prefix_hashes, ranges, schema_with, span_hash
 from .repeats import Scheme, Segments, repeated, runs_by_doc
 
 
@@ -23,19 +23,21 @@ class HashedText:
     def __init__(self, data: np.ndarray, width: int):
         self.data, self.width = data, width
         self.prefix = prefix_hashes(SYMBOL[data])
+        self.inverse = powers(INVERSE, len(self.prefix))
 
     def extension(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at p and q, by binary search over prefix hashes."""
-        low, high = np.zeros(len(p), np.int64), np.full(len(p), self.width)
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                return low
-            middle = (low[open_] + high[open_] + 1) // 2
-            a, b = p[open_], q[open_]
-            same = span_hash(self.prefix, a, a + middle) == span_hash(self.prefix, b, b + middle)
-            low[open_] = np.where(same, middle, low[open_])
-            high[open_] = np.where(same, high[open_], middle - 1)
+        prefix, inverse = self.prefix, self.inverse
+        own, other = prefix[p], prefix[q]
+        up, uq = inverse[p], inverse[q]
+        shared = np.zeros(len(p), np.int64)
+        step = 1 << (self.width.bit_length() - 1)
+        while step:
+            longer = np.minimum(shared + step, self.width)
+            same = (prefix[p + longer] - own) * up == (prefix[q + longer] - other) * uq
+            shared = np.where(same, longer, shared)
+            step >>= 1
+        return shared
 
     def less(self, p: np.ndarray, q: np.ndarray, or_equal: bool) -> np.ndarray:
         shared = self.extension(p, q)
@@ -126,7 +128,11 @@ def resolve(s: Segments, width: int) -> np.ndarray:
     array = text.sort(suffix, group)
     owner, j, suffix, group = owner[array], j[array], suffix[array], group[array]
     equal = (group[1:] == group[:-1]) & (text.extension(suffix[1:], suffix[:-1]) == width)
-    equal[equal] = text.equal(suffix[1:][equal], suffix[:-1][equal])
+    if not text.equal(suffix[1:][equal], suffix[:-1][equal]).all():
+        # different bytes of one hash have spoilt the order: sort by the bytes themselves
+        array = np.lexsort((*(s.data[suffix + k] for k in range(width - 1, -1, -1)), group))
+        owner, j, suffix, group = owner[array], j[array], suffix[array], group[array]
+        equal = (group[1:] == group[:-1]) & text.equal(suffix[1:], suffix[:-1])
     block = np.concatenate(([0], np.cumsum(~equal)))
     starts = np.flatnonzero(np.concatenate(([True], ~equal)))
     least = np.minimum.reduceat(s.doc[owner], starts)

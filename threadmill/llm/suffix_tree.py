@@ -14,26 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, ranges, schema_with, word_hashes, words
+from .common import U64, numbered_words, ranges, schema_with, words
 from .repeats import Scheme, Segments, repeated, runs_by_doc
 
 
-def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each word, equal for equal words only."""
-    if not len(starts):
-        return np.zeros(0, np.int64)
-    _, first, number = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    head, size = first[number], ends - starts
-    same = size == size[head]
-    if same.all():
-        same = data[ranges(starts, size)] == data[ranges(starts[head], size)]
-    if not same.all():  # two words with one hash
-        known: dict[bytes, int] = {}
-        raw = data.tobytes()
-        number = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-    return number
-
-
 def deep_nodes(symbols: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes (indices into ``at``) below internal nodes at ``depth``, and their node.
 
@@ -70,7 +54,7 @@ def resolve(s: Segments, width: int) -> np.ndarray:
     """Which windows of each segment also occur under the same key with a smaller doc."""
     offsets = np.concatenate(([0], np.cumsum(s.size)))
     starts, ends, first = words(s.data, offsets)
-    symbols = word_numbers(s.data, starts, ends)
+    symbols = numbered_words(s.data, starts, ends)[0]
     owner = np.repeat(np.arange(len(s.key)), s.windows)
     j = ranges(np.zeros(len(s.key), np.int64), s.windows)
     offset = s.lead[owner] - j  # the anchor's place in the window: equal windows have the same
