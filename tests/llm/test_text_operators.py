@@ -261,48 +261,48 @@ def test_bradley_terry_orders_pairs():
 # 10
 
 
-def kneser_ney_by_hand(rows, train):
+def kneser_ney_by_hand(rows, train, order):
     tokens = [[*WORD.findall(low(t)), "</s>"] for _, t in rows]
-    count, pairs = Counter(), Counter()
+    grams = lambda t, k: zip(*(([*["<s>"] * (order - 1), *t][order - k + j :]) for j in range(k)))  # noqa: E731  those of k tokens, in order of the last
+    count, levels = Counter(), {order: Counter()}
     for (i, _), t in zip(rows, tokens, strict=True):
         if train(i):
             count.update(t)
-            pairs.update(zip(["<s>", *t[:-1]], t, strict=True))
-    n, v, total = sum(count.values()), len(count), len(pairs)
-    context, before = defaultdict(lambda: [0, 0, 0, 0]), Counter()
-    for (u, w), k in pairs.items():
-        context[u][0] += k
-        context[u][min(k, 3)] += 1
-        before[w] += 1
+            levels[order].update(grams(t, order))
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    n, v, total = sum(count.values()), len(count), sum(levels[1].values())
     often = lambda values: np.array([sum(x == k for x in values) for k in (1, 2, 3, 4)] + [len(values)])
-    d2, d1 = kneser_ney.discounts(often(list(pairs.values()))), kneser_ney.discounts(often(list(before.values())))
-
-    def p1(w):
-        if not total:
-            return 1 / (v + 1)
-        rest = sum(d1[min(x, 3)] for x in before.values()) / total
-        return max(before[w] - d1[min(before[w], 3)], 0) / total + rest / (v + 1)
-
-    def p2(u, w):
-        if u not in context:
-            return p1(w)
-        c = context[u]
-        k = pairs[u, w]
-        return max(k - d2[min(k, 3)], 0) / c[0] + (d2[1] * c[1] + d2[2] * c[2] + d2[3] * c[3]) / c[0] * p1(w)
+    d = {k: kneser_ney.discounts(often(list(levels[k].values()))) for k in levels}
+    context = {k: defaultdict(lambda: [0, 0, 0, 0]) for k in levels}
+    for k in levels:
+        for g, c in levels[k].items():
+            context[k][g[:-1]][0] += c
+            context[k][g[:-1]][min(c, 3)] += 1
+
+    def p(g):
+        k = len(g)
+        lower = p(g[1:]) if k > 1 else 1 / (v + 1)
+        if g[:-1] not in context[k]:
+            return lower
+        c, m = context[k][g[:-1]], levels[k][g]
+        return max(m - d[k][min(m, 3)], 0) / c[0] + (d[k][1] * c[1] + d[k][2] * c[2] + d[k][3] * c[3]) / c[0] * lower
 
     out = []
     for (i, _), t in zip(rows, tokens, strict=True):
-        out.append((i, len(t), sum(count[w] > 0 for w in t), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p2(u, w)) for u, w in zip(["<s>", *t[:-1]], t, strict=True))))
-    assert abs(sum(p2("<s>", w) for w in count) + p2("<s>", "\x00unknown") - 1) < 1e-9
+        out.append((i, len(t), sum(count[w] > 0 for w in t), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(g)) for g in grams(t, order))))
+    start = ("<s>",) * (order - 1)
+    assert abs(sum(p((*start, w)) for w in count) + p((*start, "\x00unknown")) - 1) < 1e-9
     return out
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
 @pytest.mark.parametrize("none", [False, True])
-def test_scores_match_a_model_by_hand(docs, corpus, none):
+def test_scores_match_a_model_by_hand(docs, corpus, none, order):
     train = (lambda i: False) if none else (lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2)
     condition = F.lit(False) if none else F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    got = sorted(map(tuple, kneser_ney.score(docs, condition, batch_bytes=1 << 14).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[5]))
-    want = sorted(kneser_ney_by_hand([r[:2] for r in corpus], train), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[5]))
+    got = sorted(map(tuple, kneser_ney.score(docs, condition, order=order, batch_bytes=1 << 14).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[5]))
+    want = sorted(kneser_ney_by_hand([r[:2] for r in corpus], train, order), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[5]))
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:4] == w[:4] and g[4] == pytest.approx(w[4], rel=1e-9) and g[5] == pytest.approx(w[5], rel=1e-9)

@@ -1,91 +1,105 @@
-"""Operator 10, language-model scores by an interpolated modified Kneser-Ney bigram model.
-
-The n-grams are counted on the executors: every batch of documents sends the
-hashes of its distinct bigrams to shards, which merge them into sorted hash
-arrays in a memory-mapped file and look each batch's bigrams up there. Each
-bigram is owned by one batch, which turns it into the statistics of its two
-words; a second round merges those by word. The model is never gathered in one
-place: shards hold ranges of hashes and answer what the batches ask.
+"""Operator 10, language-model scores by an interpolated modified Kneser-Ney n-gram model.
+
+The n-grams are counted on the executors. For each order, from the highest
+down, every batch of documents sends its distinct n-grams as sorted hash
+arrays to shards by the hash of their context, so that all continuations of a
+context meet in one shard. A shard merges them into its part of the model, one
+sorted array of hashes with their counts, and looks every batch's n-grams up
+there: counts, and the statistics of their contexts. Each n-gram is owned by
+one batch, which counts it as one that stands before its last words; these
+counts are those of the next lower order. Words themselves are compared, not
+hashed. The model is never gathered in one place.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
-from .common import LOWER, U64, buffers, mixed, owners, schema_with, slices, word_hashes, words
-from .rounds import Rounds, pack, shard_cuts, unpack
+from .common import LOWER, U64, buffers, free_name, mixed, numbered_words, schema_with, slices, words, xxh64_of
+from .rounds import Rounds, filled, gathered, pack, shard_cuts
 
 END, START = U64(0x9B97F4A7C1500001), U64(0x2545F4914F6CDD1D)  # hashes of the two marks
 SLICE = 1 << 20
-WORD_STATS = ("seen", "total", "one", "two", "more", "before")
+CONTEXT = ("total", "one", "two", "more")
 
 
-class MappedTable:
-    """Sorted distinct hashes with a row of numbers each, in a memory-mapped file that goes with the object."""
+def narrow(values: np.ndarray) -> np.ndarray:
+    top = int(values.max()) if len(values) else 0
+    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
-    def __init__(self, hashes: np.ndarray, **numbers: np.ndarray):
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(order) else np.zeros(0, np.int64)
-        self._file = tempfile.TemporaryFile()
-        self.columns: dict[str, np.ndarray] = {}
-        self.hash = self._map(ordered[heads])
-        for name, values in numbers.items():
-            self.columns[name] = self._map(np.add.reduceat(values[order], heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64))
 
-    def _map(self, values: np.ndarray) -> np.ndarray:
-        if not len(values):
-            return values
-        at = self._file.seek(0, 2)
-        self._file.write(memoryview(np.ascontiguousarray(values)).cast("B"))
-        self._file.flush()
-        return np.memmap(self._file, values.dtype, "r", at, values.shape)
+class Grams:
+    """Distinct n-grams in order of their hashes: 48 bits of the context's and 32 of the last word's, the first 40 and 24 of them in ``key``, the others in ``extra``."""
 
-    def place(self, hashes: np.ndarray) -> np.ndarray:
-        """Of hashes that are all in the table."""
-        return np.searchsorted(self.hash, hashes)
+    def __init__(self, key: np.ndarray, extra: np.ndarray):
+        order = np.argsort(key)
+        k, e = key[order], extra[order]
+        if ((k[1:] == k[:-1]) & (e[1:] != e[:-1])).any():  # the key alone does not tell some apart
+            order = np.lexsort((extra, key))
+            k, e = key[order], extra[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
+        self.example = order[new]
+        self.of = np.empty(len(order), np.int64)  # of each row its n-gram
+        self.of[order] = np.cumsum(new) - 1
+        self.key, self.extra = key[self.example], extra[self.example]
 
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct contexts, in order, and each n-gram's."""
+        return np.unique(context_of(self.key, self.extra), return_inverse=True)
 
-def narrow(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.uint32) if not len(values) or int(values.max()) < 1 << 32 else values.astype(np.uint64)
+
+def high(key: np.ndarray) -> np.ndarray:
+    """The part of the context by which keys are dealt, so that no context is split."""
+    return key >> U64(24) << U64(24)
+
+
+def context_of(key: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    return high(key) | (extra.astype(U64) >> U64(8) << U64(16))
 
 
 class Tokens:
-    """A batch's texts as token hashes, each text's words and then one end; contexts begin with the start mark."""
+    """A batch's texts as tokens, each text's words (told apart by their bytes) and then one end."""
 
     def __init__(self, table: pa.Table, train: str):
         data, offsets = buffers(table.column("text"))
         self.learn = np.asarray(pc.fill_null(table.column(train), False).combine_chunks().to_numpy(zero_copy_only=False), bool)
-        hashes, counts = [], []
-        for a, b in slices(offsets, SLICE):
-            part = LOWER[data[offsets[a] : offsets[b]]]
-            starts, ends, first = words(part, offsets[a : b + 1] - offsets[a])
-            hashes.append(word_hashes(part, starts, ends))
-            counts.append(np.diff(first))
-        n = np.concatenate(counts) + 1
+        data = LOWER[data]
+        found = [(a, words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets, SLICE)]
+        starts, ends = (np.concatenate([x[i] + offsets[a] for a, x in found]) for i in (0, 1))
+        number, self.distinct = numbered_words(data, starts, ends)
+        n = np.concatenate([np.diff(x[2]) for _, x in found]) + 1
         self.first = np.concatenate(([0], np.cumsum(n)))
-        self.token = np.full(int(self.first[-1]), END, U64)
-        inner = np.ones(len(self.token), bool)
+        end = len(self.distinct)
+        self.word = np.full(int(self.first[-1]), end, np.int32)
+        inner = np.ones(len(self.word), bool)
         inner[self.first[1:] - 1] = False
-        self.token[inner] = np.concatenate(hashes)
-        context = np.empty_like(self.token)
-        context[1:] = self.token[:-1]
-        context[self.first[:-1]] = START
-        self.doc = owners(self.first)
-        self.words, own = np.unique(np.concatenate((self.token, [START])), return_inverse=True)
-        self.word, start = own[:-1], own[-1]
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        self.context[self.first[:-1]] = start
-        learned = self.learn[self.doc]
-        self.seen = np.bincount(self.word[learned], minlength=len(self.words))
-        self.bigrams, self.example, self.bigram = np.unique(mixed(context * U64(0xD1342543DE82EF95) + self.token), return_index=True, return_inverse=True)
-        self.count = np.bincount(self.bigram[learned], minlength=len(self.bigrams))
+        self.word[inner] = number
+        self.hash = np.concatenate((xxh64_of(self.distinct), [END, START]))
+        self.learned = np.repeat(self.learn, n)
+        self.place = np.arange(len(self.word)) - np.repeat(self.first[:-1], n)
+
+    def grams(self, k: int) -> Grams:
+        """The n-grams of k tokens that end in each token; before a text stand start marks."""
+        context = np.full(len(self.word), U64(k))
+        for back in range(1, k):
+            before = np.full(len(self.word), len(self.hash) - 1, np.int32)
+            if back < len(self.word):
+                before[back:] = self.word[:-back]
+            before[self.place < back] = len(self.hash) - 1
+            context = mixed(context * U64(0xD1342543DE82EF95) + self.hash[before])
+        last = mixed(self.hash[self.word] + U64(1))
+        extra = ((context >> U64(16)) & U64(0xFF)) << U64(8) | ((last >> U64(32)) & U64(0xFF))
+        return Grams(high(context) | (last >> U64(40)), extra.astype(np.uint16))
+
+    def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the distinct words and the end by hash, and these hashes; of equal ones the least word first."""
+        names = np.array([*self.distinct.to_pylist(), b""], object)
+        order = np.lexsort((np.argsort(np.argsort(names)), self.hash[:-1])) if len(np.unique(self.hash[:-1])) < len(names) else np.argsort(self.hash[:-1])
+        return order, self.hash[:-1][order]
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -103,101 +117,141 @@ def how_often(counts: np.ndarray) -> np.ndarray:
     return np.concatenate((np.bincount(np.minimum(counts, 5), minlength=6)[1:5], [np.count_nonzero(counts)])).astype(np.int64)
 
 
-def token_scores(bigram: np.ndarray, context: dict[str, np.ndarray], before: np.ndarray, of_bigrams: np.ndarray, of_words: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
-    """Probability of each token: the bigram's count, its context's statistics and the number of words before it, and the global ones."""
-    d1, d2 = discounts(of_words), discounts(of_bigrams)
-    low = np.full(len(before), 1 / (vocabulary + 1))
+def token_scores(levels: list[tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]], before: np.ndarray, of_words: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+    """Probability of each token, from the words up.
+
+    ``before``: how many n-grams' first words stand before the token's word;
+    ``levels``: for each higher order the n-gram's count, its context's
+    statistics, and how often counts are 1 to 4.
+    """
+    d = discounts(of_words)
+    p = np.full(len(before), 1 / (vocabulary + 1))
     if total:
         n1, n2, seen = float(of_words[0]), float(of_words[1]), float(of_words[4])
-        rest = (d1[1] * n1 + d1[2] * n2 + d1[3] * (seen - n1 - n2)) / total
-        low = np.maximum(before - d1[np.minimum(before, 3)], 0) / total + rest * low
-    mass = context["total"].astype(float)
-    known = mass > 0
-    mass[~known] = 1
-    rest = (d2[1] * context["one"] + d2[2] * context["two"] + d2[3] * context["more"]) / mass
-    return np.where(known, np.maximum(bigram - d2[np.minimum(bigram, 3)], 0) / mass + rest * low, low)
+        rest = (d[1] * n1 + d[2] * n2 + d[3] * (seen - n1 - n2)) / total
+        p = np.maximum(before - d[np.minimum(before, 3)], 0) / total + rest * p
+    for count, context, often in levels:
+        d = discounts(often)
+        mass = context["total"].astype(float)
+        known = mass > 0
+        mass[~known] = 1
+        rest = (d[1] * context["one"] + d[2] * context["two"] + d[3] * context["more"]) / mass
+        p = np.where(known, np.maximum(count - d[np.minimum(count, 3)], 0) / mass + rest * p, p)
+    return p
+
+
+def _told(letter: dict[str, np.ndarray], name: str, n: int) -> np.ndarray:
+    """Totals over the shards; zeros if no shard had anything to report."""
+    return letter[name] if len(letter[name]) else np.zeros(n, np.int64)
 
 
-def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 6 << 20) -> DataFrame:
+def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), order: int = 3, batch_bytes: int = 4 << 20) -> DataFrame:
     """The ``keep`` columns with n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Tokens are the words (ASCII white space between them, A-Z lower-cased) and
-    one end. The model learns from the rows where ``train`` holds (null: not)
-    and scores all rows; base_score is the sum over an add-one unigram model of
-    the same tokens. A null text counts as empty and has the end only. With no
-    training row every token has the probability of one unknown word. Repeated
-    rows are learned as often as they stand.
+    one end. The model of ``order`` tokens learns from the rows where ``train``
+    holds (null: not) and scores all rows; before each text stand order - 1
+    start marks. base_score is the sum over an add-one unigram model of the
+    same tokens. Word counts go by the words themselves, those of longer
+    n-grams by 80-bit hashes. A null text counts as empty and has the end only.
+    With no training row every token has the probability of one unknown word.
+    Repeated rows are learned and scored as often as they stand; an empty
+    table gives no rows.
     """
-    mark = next(n for n in ("train", *(f"train_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    mark = free_name("train", docs.columns)
     rounds = Rounds(docs.select(*dict.fromkeys([*keep, "doc_id", "text"]), train.alias(mark)), batch_bytes)
     shards = rounds.shards
     schema = schema_with(docs, keep, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    number = {k: order + 1 - k for k in range(1, order + 1)}  # of each order's round
 
-    def ask_bigrams(number, table, _):
-        t = Tokens(table, mark)
-        cuts = shard_cuts(t.bigrams, shards)
-        for s in range(shards):
-            part = slice(cuts[s], cuts[s + 1])
-            yield s, pack(hash=t.bigrams[part], count=narrow(t.count[part]))
-
-    def answer_bigrams(got):
-        sizes = [len(x["hash"]) for _, x in got]
-        model = MappedTable(np.concatenate([x["hash"] for _, x in got]), count=np.concatenate([x["count"] for _, x in got]).astype(np.int64))
-        total = model.columns["count"]
-        often = how_often(total)
-        owned = np.zeros(len(model.hash), bool)
-        out = []
-        for (_, x), _ in zip(got, sizes, strict=True):
-            at = model.place(x["hash"])
-            count = total[at]
-            mine = (count > 0) & ~owned[at]
-            owned[at] = True
-            out.append(pack(count=narrow(np.asarray(count)), mine=np.packbits(mine), often=often))
-        return out
-
-    def ask_words(number, table, got):
+    def standing_before(t: Tokens, k: int, came: dict) -> tuple[Grams, np.ndarray]:
+        """The n-grams of order k + 1, and of each whether this batch counts it for the next lower order."""
+        longer = t.grams(k + 1)
+        return longer, np.flatnonzero(gathered(came.get(number[k + 1], []), shard_cuts(high(longer.key), shards), "mine", bool))
+
+    def asker(k: int):
+        def ask(table, came):
+            t = Tokens(table, mark)
+            own = t.grams(k)
+            if k == order:
+                count = np.bincount(own.of[t.learned], minlength=len(own.key))
+            else:
+                longer, mine = standing_before(t, k, came)
+                count = np.bincount(own.of[longer.example[mine]], minlength=len(own.key))
+            for s, part in filled(shard_cuts(high(own.key), shards)):
+                yield s, pack(key=own.key[part], extra=own.extra[part], count=narrow(count[part]))
+
+        return ask
+
+    def answer_grams(got):
+        model = Grams(*(np.concatenate([x[c] for _, x in got]) for c in ("key", "extra")))
+        total = np.bincount(model.of, np.concatenate([x["count"] for _, x in got]).astype(np.int64), minlength=len(model.key)).astype(np.int64)
+        contexts, context = model.contexts()
+        stats = [np.bincount(context, w, minlength=len(contexts)).astype(np.int64) for w in (total, total == 1, total == 2, total > 2)]
+        owned = np.zeros(len(total), bool)
+        out, at = [], 0
+        for _, x in got:
+            own = model.of[at : at + len(x["key"])]
+            at += len(own)
+            mine = (total[own] > 0) & ~owned[own]
+            owned[own] = True
+            asked = np.searchsorted(contexts, np.unique(context_of(x["key"], x["extra"])))
+            out.append(pack(count=narrow(total[own]), mine=np.packbits(mine), **{c: narrow(v[asked]) for c, v in zip(CONTEXT, stats, strict=True)}))
+        return [*out, pack(often=how_often(total))]
+
+    def ask_words(table, came):
         t = Tokens(table, mark)
-        sizes = np.diff(shard_cuts(t.bigrams, shards))
-        total = np.concatenate([x["count"].astype(np.int64) for _, x in got])
-        mine = np.flatnonzero(np.concatenate([np.unpackbits(x["mine"], count=int(n)) for (_, x), n in zip(got, sizes, strict=True)]))
-        n, c = len(t.words), total[mine]
-        left, right = t.context[t.example[mine]], t.word[t.example[mine]]
-        stats = {
-            "seen": t.seen, "total": np.bincount(left, c, minlength=n).astype(np.int64), "one": np.bincount(left[c == 1], minlength=n), "two": np.bincount(left[c == 2], minlength=n),
-            "more": np.bincount(left[c > 2], minlength=n), "before": np.bincount(right, minlength=n),
-        }
-        back = np.frombuffer(pack(count=narrow(total), often=sum(x["often"] for _, x in got)), np.uint8)
-        cuts = shard_cuts(t.words, shards)
-        for s in range(shards):
-            part = slice(cuts[s], cuts[s + 1])
-            more = {"back": back} if s == number % shards else {}
-            yield s, pack(hash=t.words[part], **{k: narrow(stats[k][part]) for k in WORD_STATS}, **more)
+        seen = np.bincount(t.word[t.learned], minlength=len(t.hash) - 1)
+        longer, mine = standing_before(t, 1, came)
+        before = np.bincount(t.word[longer.example[mine]], minlength=len(t.hash) - 1)
+        place, hashes = t.vocabulary()
+        names = np.array([*t.distinct.to_pylist(), b""], object)[place]
+        for s, part in filled(shard_cuts(hashes, shards)):
+            some = names[part].tolist()
+            size = np.array([len(w) for w in some])
+            yield s, pack(name=np.frombuffer(b"".join(some), np.uint8), size=narrow(size), seen=narrow(seen[place][part]), before=narrow(before[place][part]))
 
     def answer_words(got):
-        model = MappedTable(np.concatenate([x["hash"] for _, x in got]), **{k: np.concatenate([x[k].astype(np.int64) for _, x in got]) for k in WORD_STATS})
-        seen, before = model.columns["seen"], model.columns["before"]
-        whole = np.array([seen.sum(), np.count_nonzero(seen), before.sum()], np.int64)
-        often = how_often(before)
-        out = []
-        for _, x in got:
-            at = model.place(x["hash"])
-            out.append(pack(**{k: narrow(np.asarray(model.columns[k][at])) for k in WORD_STATS}, whole=whole, often=often, **({"back": x["back"]} if "back" in x else {})))
-        return out
+        size, seen, before = (np.concatenate([x[c] for _, x in got]).astype(np.int64) for c in ("size", "seen", "before"))
+        name = np.concatenate([x["name"] for _, x in got])
+        flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size)))), pa.py_buffer(name)])
+        own = flat.dictionary_encode().indices.to_numpy()
+        seen, before = (np.bincount(own, x).astype(np.int64) for x in (seen, before))
+        ends = np.cumsum([len(x["size"]) for _, x in got])
+        out = [pack(seen=narrow(seen[part]), before=narrow(before[part])) for part in np.split(own, ends[:-1])]
+        return [*out, pack(whole=np.array([seen.sum(), np.count_nonzero(seen), before.sum()]), often=how_often(before))]
 
-    def end(table, got):
+    def end(table, came):
         t = Tokens(table, mark)
-        back = unpack(next(x["back"] for _, x in got if "back" in x).tobytes())
-        stats = {k: np.concatenate([x[k].astype(np.int64) for _, x in got]) for k in WORD_STATS}
-        n_train, vocabulary, total = (int(v) for v in sum(x["whole"] for _, x in got))
-        p = token_scores(back["count"].astype(np.int64)[t.bigram], {k: stats[k][t.context] for k in ("total", "one", "two", "more")}, stats["before"][t.word], back["often"], sum(x["often"] for _, x in got), total, vocabulary)
-        seen = stats["seen"][t.word]
+        place, hashes = t.vocabulary()
+        cuts = shard_cuts(hashes, shards)
+        seen, before = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        seen[place], before[place] = (gathered(came[number[1]], cuts, c) for c in ("seen", "before"))
+        (_, letter), = came[-number[1]]
+        n_train, vocabulary, total = (int(v) for v in _told(letter, "whole", 3))
+        levels = []
+        for k in range(2, order + 1):
+            own = t.grams(k)
+            cuts = shard_cuts(high(own.key), shards)
+            contexts, context = own.contexts()
+            context_cuts = shard_cuts(high(contexts), shards)
+            stats = {c: gathered(came[number[k]], context_cuts, c)[context][own.of] for c in CONTEXT}
+            levels.append((gathered(came[number[k]], cuts, "count")[own.of], stats, _told(came[-number[k]][0][1], "often", 5)))
+        p = token_scores(levels, before[t.word], _told(letter, "often", 5), total, vocabulary)
+        c = seen[t.word]
         by_doc = lambda x: np.add.reduceat(x, t.first[:-1])
-        base = by_doc(np.log10((seen + 1) / (n_train + vocabulary + 1)))
+        base = by_doc(np.log10((c + 1) / (n_train + vocabulary + 1)))
         return pa.table(
-            [*(table.column(c) for c in keep), pa.array(np.diff(t.first)), pa.array(by_doc((seen > 0).astype(np.int64))), pa.array(np.full(table.num_rows, n_train)), pa.array(base), pa.array(by_doc(np.log10(p)))],
+            [*(table.column(x) for x in keep), pa.array(np.diff(t.first)), pa.array(by_doc((c > 0).astype(np.int64))), pa.array(np.full(table.num_rows, n_train)), pa.array(base), pa.array(by_doc(np.log10(p)))],
             names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    first = rounds.answer(rounds.ask(ask_bigrams), answer_bigrams)
-    second = rounds.answer(rounds.ask(ask_words, first), answer_words)
-    return rounds.finish(end, second, schema)
+    post, last = [], []
+    for k in range(order, 0, -1):
+        asked = rounds.ask(asker(k) if k > 1 else ask_words, *last)
+        answered = rounds.answer(number[k], asked, answer_grams if k > 1 else answer_words)
+        last = [answered]
+        post += [answered, rounds.totals(number[k], answered, ("often",) if k > 1 else ("often", "whole"))]
+    return rounds.finish(end, schema, *post)
