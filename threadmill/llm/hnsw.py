@@ -5,6 +5,11 @@ shard is one task: equal vectors become one node, nodes are inserted in small
 groups by the usual layered beam search, and the graph is one row of flat
 neighbour arrays. Queries are packed into blocks, every block meets every
 shard once, and the shards' results are merged.
+
+Graphs are built and searched on vectors scaled by a power of two, in single
+precision where their sizes are near enough to each other and in double where
+not, so that no finite vector overflows or vanishes; scores are computed from
+the vectors as they are.
 """
 
 from __future__ import annotations
@@ -28,12 +33,34 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("...i,...i->...", d, d)
 
 
+def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of rows in double precision; differences are scaled, so that their squares neither overflow nor vanish."""
+    with np.errstate(over="ignore"):
+        d = np.abs(x.astype(np.float64) - y.astype(np.float64))
+    most = d.max(-1, initial=0.0)
+    plain = (most > 1e-140) & (most < 1e140)
+    scale = np.where(plain | (most == 0) | ~np.isfinite(most), 1.0, most)
+    with np.errstate(over="ignore"):
+        return np.sqrt(np.square(d / scale[..., None]).sum(-1)) * scale
+
+
+def comparable(*arrays: np.ndarray) -> list[np.ndarray]:
+    """Vectors by the rows, all divided by one power of two so that no component exceeds 1; single precision if no row is far smaller than the largest."""
+    sizes = np.concatenate([np.abs(a).max(1, initial=0.0).astype(np.float64) for a in arrays])
+    top = sizes.max(initial=0.0)
+    if not top:
+        return [a.astype(np.float32) for a in arrays]
+    kind = np.float32 if sizes[sizes > 0].min() > top * 2.0**-30 else np.float64
+    shift = -int(np.frexp(top)[1])
+    return [np.ldexp(a.astype(np.float64), shift).astype(kind) for a in arrays]
+
+
 def beam(x: np.ndarray, near: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of all queries in step. entry: (queries, e) distinct nodes. Returns ef nodes (-1: none) and squared distances, nearest first."""
     n_q, e = entry.shape
     seen = np.zeros((n_q, len(x)), bool)
     node = np.full((n_q, ef), -1, np.int64)
-    dist = np.full((n_q, ef), np.inf, np.float32)
+    dist = np.full((n_q, ef), np.inf, x.dtype)
     done = np.zeros((n_q, ef), bool)
     e = min(e, ef)
     node[:, :e] = entry[:, :e]
@@ -52,7 +79,7 @@ def beam(x: np.ndarray, near: np.ndarray, q: np.ndarray, entry: np.ndarray, ef:
         row, col = np.nonzero((around >= 0) & ~seen[active[:, None], around])
         found = around[row, col]
         seen[active[row], found] = True
-        far = np.full(around.shape, np.inf, np.float32)
+        far = np.full(around.shape, np.inf, x.dtype)
         far[row, col] = distances(x[found], q[active[row]])
         all_d = np.concatenate((dist[active], far), axis=1)
         best = np.argpartition(all_d, ef - 1, axis=1)[:, :ef]
@@ -72,7 +99,7 @@ def diverse(x: np.ndarray, cand: np.ndarray, dist: np.ndarray, m: int) -> np.nda
     valid = (cand >= 0) & np.isfinite(dist)
     taken = np.zeros((rows, c), bool)
     count = np.zeros(rows, np.int64)
-    close = np.full((rows, c), np.inf, np.float32)
+    close = np.full((rows, c), np.inf, x.dtype)
     for j in range(c):
         r = np.flatnonzero(valid[:, j] & (count < m) & (dist[:, j] < close[:, j]))
         taken[r, j] = True
@@ -187,7 +214,7 @@ def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "em
     return table.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).where(~bad & some).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.size(embedding).alias("dim")).distinct()
 
 
-def build_shards(vectors: DataFrame, shard_rows: int = 4096, least: int = 8, m: int = 12, ef: int = 64, k: int = 10) -> tuple[DataFrame, int]:
+def build_shards(vectors: DataFrame, shard_rows: int = 1 << 17, least: int = 8, m: int = 12, ef: int = 64, k: int = 10) -> tuple[DataFrame, int]:
     """One row per shard and dimension with its graph as flat arrays, and the number of shards."""
     shards = max(least, -(-vectors.count() // shard_rows))
     kind = np.float64 if "double" in vectors.schema["embedding"].dataType.simpleString() else np.float32
@@ -210,7 +237,7 @@ def build_shards(vectors: DataFrame, shard_rows: int = 4096, least: int = 8, m:
         own, ids = own[keep], ids[keep]
         first = np.searchsorted(own, np.arange(len(at) + 1))
         x = x[np.sort(at)]
-        graph = Graph.build(x.astype(np.float32), m, ef)
+        graph = Graph.build(comparable(x)[0], m, ef)
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "first": [first.astype(np.int64).tobytes()], "vectors": [x.tobytes()], "sizes": pa.array([[len(a) for a in graph.near]], pa.list_(pa.int32())), "near": [b"".join(a.tobytes() for a in graph.near)]})
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
@@ -218,12 +245,13 @@ def build_shards(vectors: DataFrame, shard_rows: int = 4096, least: int = 8, m:
     return dealt.repartition(2 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(run, SHARD), shards
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 4096, m: int = 12, ef_build: int = 64, ef_search: int = 160, block: int = 1024) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 1 << 17, m: int = 12, ef_build: int = 64, ef_search: int = 160, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance in double precision) of each query's k nearest found.
 
     Vectors as in ``valid_vectors``; only vectors of the query's dimension are
     candidates. A query's own id is no candidate. Ties go to the smaller
-    vec_id; fewer than k candidates give fewer rows; an empty table gives none.
+    vec_id; fewer than k candidates give fewer rows; an empty table gives none;
+    repeated rows count once. A distance beyond double precision is infinite.
     """
     ensure_checkpoint_dir(table.sparkSession)
     vectors = valid_vectors(table)
@@ -253,10 +281,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 4
                     near.append(flat[at : at + s * width].reshape(s, width))
                     at += s * width
                 q, q_ids = read("q", kind).reshape(-1, dim), read("q_ids", np.int64)
-                found = Graph(x.astype(np.float32), near).search(q.astype(np.float32), k + 1, ef_search)
+                own, asked = comparable(x, q)
+                found = Graph(own, near).search(asked, k + 1, ef_search)
                 i, j = np.nonzero(found >= 0)
                 node = found[i, j]
-                exact = np.sqrt(distances(x[node].astype(np.float64), q[i].astype(np.float64)))
+                exact = euclidean(x[node], q[i])
                 many = first[node + 1] - first[node]
                 i, exact = np.repeat(i, many), np.repeat(exact, many)
                 vec = ids[np.repeat(first[node] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
