@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -51,15 +52,19 @@ LAYOUT = re.compile(r"(?:with|without|has|no|hide|show)[-_ ][\w-]+")  # says wha
 GOOD_NAMES = frozenset("article content entry story post text body main".split())
 OPENERS = re.compile(r"(?:©|\(c\)\s|copyright\b|all rights reserved|share (?:this|on)\b|related (?:articles|posts)\b|read more\b|advertisement\b|we use cookies|sign up\b|subscribe\b|leave a (?:reply|comment)\b)", re.IGNORECASE)
 ADJACENT, SIBLING = 60, 30
+#: Shares of a page's prose from which what stands below an element is the page's own text: with its first heading, and without any on the page.
+OWN_SHARE, ALL_SHARE = 0.3, 0.8
 
 
 @dataclass
 class Element:
     tag: str
-    cost: int  # inherited by all blocks below
+    cost: int  # what speaks for content, inherited by all blocks below
     hidden: bool
     home: bool
     number: int
+    blame: int = 0  # what speaks against it by its own element, role and names
+    first: int = 0  # of the blocks below
 
 
 @dataclass
@@ -71,14 +76,57 @@ class Block:
     tag: str = ""
 
 
+class Stack:
+    """Open elements, with the places of each tag and of the blocks, so that no search walks the depth of a page."""
+
+    def __init__(self):
+        self.items = [Element("", 0, False, False, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+    @property
+    def top(self) -> Element:
+        return self.items[-1]
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.items))
+        if e.tag in BLOCK:
+            self.blocks.append(len(self.items))
+        self.items.append(e)
+
+    def pop(self) -> Element:
+        e = self.items.pop()
+        self.places[e.tag].pop()
+        if e.tag in BLOCK:
+            self.blocks.pop()
+        return e
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def outermost(self, tags, above: int) -> int:
+        """Place of the first open element of these tags above a place, 0 for none."""
+        found = [p[i] for t in tags if (p := self.places.get(t)) and (i := bisect_right(p, above)) < len(p)]
+        return min(found, default=0)
+
+    def block(self, back: int = 0) -> Element:
+        """The innermost block element, or the one ``back`` blocks around it; the outermost if there are fewer."""
+        return self.items[self.blocks[-1 - back]] if len(self.blocks) > back else self.items[self.blocks[0]] if self.blocks else self.items[0]
+
+
 @dataclass
 class Reader:
     """Splits a page into blocks; unclosed and stray tags are read as browsers do, as far as the blocks go."""
 
     blocks: list[Block] = field(default_factory=list)
+    blamed: list[tuple[int, int, int]] = field(default_factory=list)  # blocks from and to, and what speaks against them
 
     def read(self, page: str) -> list[Block]:
-        stack = [Element("", 0, False, False, 0)]
+        stack = Stack()
         parts: list[str] = []
         linked, count, at, end = 0, 0, 0, len(page)
 
@@ -87,22 +135,26 @@ class Reader:
             if parts:
                 text = " ".join(html.unescape("".join(parts)).split())
                 if text:
-                    top = next((e for e in reversed(stack) if e.tag in BLOCK), stack[0])
-                    self.blocks.append(Block(text, top.cost, self.parent_of(stack), min(linked, len(text)), top.tag))
+                    inner = stack.block()
+                    self.blocks.append(Block(text, inner.cost, stack.block(1).number, min(linked, len(text)), inner.tag))
             parts.clear()
             linked = 0
 
         def take(text):
             nonlocal linked
-            if text and not stack[-1].hidden:
+            if text and not stack.top.hidden:
                 parts.append(text)
-                if any(e.tag == "a" for e in stack[-3:]):
+                if any(e.tag == "a" for e in stack.items[-3:]):
                     linked += len(text.strip())
 
         def close_to(i):
-            if any(e.tag in BLOCK for e in stack[i:]):
+            """Ends all elements from place i on."""
+            if stack.blocks and stack.blocks[-1] >= i:
                 flush()
-            del stack[i:]
+            while len(stack) > i:
+                e = stack.pop()
+                if e.blame:
+                    self.blamed.append((e.first, len(self.blocks), e.blame))
 
         while at < end:
             low = page.find("<", at)
@@ -124,8 +176,7 @@ class Reader:
             if m[1]:
                 if tag == "br":
                     take(" ")
-                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-                if i:
+                if i := stack.last((tag,)):
                     close_to(i)
                 elif tag in BLOCK:
                     flush()
@@ -135,68 +186,88 @@ class Reader:
                 continue
             if tag in BLOCK:
                 flush()
-                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCK), 0)
-                if stack[i].tag == "p":
-                    del stack[i:]
+                if stack.block().tag == "p":
+                    close_to(stack.blocks[-1])
                 if tag in ENDS:
                     closes, stops = ENDS[tag]
-                    low = 0
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i].tag in stops:
-                            break
-                        if stack[i].tag in closes:
-                            low = i
-                    if low:
-                        del stack[low:]
-                elif tag in HEADINGS and stack[-1].tag in HEADINGS:
-                    stack.pop()
-                elif tag == "body":
-                    stack[:] = [e for e in stack if e.tag != "head"]
+                    if i := stack.outermost(closes, stack.last(stops)):
+                        close_to(i)
+                elif tag in HEADINGS and stack.top.tag in HEADINGS:
+                    close_to(len(stack) - 1)
+                elif tag == "body" and (i := stack.last(("head",))):
+                    close_to(i)
             if tag in VOID:
                 if tag in ("img", "input", "wbr", "embed"):
                     take("" if tag == "wbr" else " ")
                 continue
             count += 1
-            stack.append(self.element(tag, m[3], stack[-1], count))
+            e = self.element(tag, m[3], stack.top, count)
+            if e.blame and tag not in BLOCK:
+                flush()
+            e.first = len(self.blocks)
+            stack.push(e)
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
                 at = close.start() if close else end
         flush()
+        close_to(1)
+        self.spread_blame()
         return self.blocks
 
-    @staticmethod
-    def parent_of(stack: list[Element]) -> int:
-        """The element around the innermost block element."""
-        inner = [e.number for e in stack if e.tag in BLOCK][-2:]
-        return inner[0] if inner else 0
+    def spread_blame(self) -> None:
+        """Lays each element's blame on the blocks below, except where these are the page's own text.
+
+        Templates name wrappers after what stands beside the article, so names
+        and elements do not count against what holds a first heading and a
+        good part of the page's prose, or almost all of it.
+        """
+        n = len(self.blocks)
+        prose, heads, change = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for i, b in enumerate(self.blocks):
+            long = len(b.text) if 2 * b.linked < len(b.text) and b.tag not in ("li", "dt", "dd") else 0
+            prose[i + 1] = prose[i] + long
+            heads[i + 1] = heads[i] + (b.tag == "h1")
+        for low, high, blame in self.blamed:
+            own = prose[high] - prose[low]
+            if own and (heads[high] > heads[low] and own >= OWN_SHARE * prose[n] or own >= ALL_SHARE * prose[n] and not heads[n]):
+                continue
+            change[low] += blame
+            change[high] -= blame
+        total = 0
+        for i, b in enumerate(self.blocks):
+            total += change[i]
+            b.cost += total
 
     @staticmethod
     def element(tag: str, attributes: str, above: Element, number: int) -> Element:
-        cost, hidden, home = above.cost, above.hidden or tag in HIDDEN, above.home
+        cost, hidden, home, blame = above.cost, above.hidden or tag in HIDDEN, above.home, 0
         if tag in HOME and not home:
             cost += HOME[tag]
             home = True
         elif tag in ELEMENT:
-            cost += ELEMENT[tag] // 2 if tag == "header" and home else ELEMENT[tag]
+            blame += ELEMENT[tag] // 2 if tag == "header" and home else ELEMENT[tag]
         if attributes and len(attributes) > 1:
-            names: set[str] = set()
+            names: list[list[str]] = []
             for name, a, b, c in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), (a or b or c).lower()
                 if name in ("class", "id"):
-                    names.update(NAMES.findall(LAYOUT.sub("", value)))
+                    names += [x for v in LAYOUT.sub("", value).split() if (x := NAMES.findall(v))]
                 elif name == "role":
-                    cost += ROLE.get(value.strip(), 0)
+                    role = ROLE.get(value.strip(), 0)
+                    cost, blame = cost + max(role, 0), blame + min(role, 0)
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                     hidden = True
             if names and tag not in ("html", "body"):
-                if names & BAD_NAMES or any(n.startswith(BAD_STARTS) for n in names):
-                    cost -= 1000
-                elif "header" in names and not home:
-                    cost -= 700
-                elif names & GOOD_NAMES and tag in ("div", "section", "td") and not home:
+                every = {x for v in names for x in v}
+                bad = [v for v in names if BAD_NAMES.intersection(v) or any(x.startswith(BAD_STARTS) for x in v)]
+                if bad and (tag not in HOME or len(bad) == len(names)):  # an article goes by names only if all of them say so
+                    blame -= 1000
+                elif "header" in every and not home:
+                    blame -= 700
+                elif every & GOOD_NAMES and tag in ("div", "section", "td") and not home:
                     cost += 200
-                    home = names >= {"content"} or home
-        return Element(tag, cost, hidden, home, number)
+                    home = "content" in every or home
+        return Element(tag, cost, hidden, home, number, blame)
 
 
 def block_cost(b: Block) -> int:
@@ -325,7 +396,13 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The ``keep`` columns of each page with text and n_chars (code points of text); a null page gives an empty text."""
+    """The ``keep`` columns of each page with text and n_chars (code points of text).
+
+    A null or empty page, and one without any article, gives an empty text.
+    One row for each row, repeated ones and equal ids too; an empty table gives
+    none. Pages of any length and depth are read whole, in time in proportion
+    to their length.
+    """
     schema = schema_with(pages, keep, "text string, n_chars long")
 
     def run(batches):
