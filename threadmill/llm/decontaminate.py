@@ -4,13 +4,15 @@ A hash set of the benchmark's normalised word windows is broadcast, every
 training text is scanned window by window, and each hit of the hash set is
 compared word by word before it counts. The set that is broadcast has a
 bound: a larger benchmark is split into blocks of ``max_windows`` windows
-that are scanned one after the other and whose hits are united, so nothing
-is dropped.
+that are scanned one after the other; each gives the hits of the texts that
+have any, by a digest of the text, and their union is joined to the documents
+at the end, so nothing is dropped and no text is written.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -18,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, U64, doc_slices, gram_hashes, owners, schema_with, set_aside, word_hashes, words
-from .components import ensure_checkpoint_dir
+from .common import ALNUM, LOWER, U64, doc_slices, free_name, gram_hashes, owners, schema_with, set_aside, word_hashes, words
+from .components import written
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -34,6 +36,17 @@ def item_windows(text: str | None, width: int) -> list[bytes]:
     return [b" ".join(found[i : i + width]) for i in range(max(1, len(found) - width + 1))]
 
 
+_made: dict[str, WindowSet] = {}
+
+
+def window_set(name: str, windows: dict[bytes, list[str]]) -> WindowSet:
+    """The set of these windows, made once in a worker; only the last one is kept."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = WindowSet(windows)
+    return _made[name]
+
+
 class WindowSet:
     """Windows by length in words: sorted hashes, a bit filter over their low bits, and the windows with their items."""
 
@@ -75,64 +88,86 @@ class WindowSet:
 
 
 def _blocks(benchmark: DataFrame, width: int, max_windows: int):
-    """Dictionaries window -> items of at most ``max_windows`` windows (or of one item's), read item by item."""
-    block: dict[bytes, list[str]] = defaultdict(list)
+    """Dictionaries window -> items of at most ``max_windows`` windows, counted once for each item that has them (or of one item's), read item by item."""
+    block: dict[bytes, dict[str, None]] = defaultdict(dict)
+    size = 0
+    plain = lambda block: {w: list(items) for w, items in block.items()}
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         if row[0] is None:
             continue
         found = set(item_windows(row[1], width))
-        if block and len(block) + len(found) > max_windows:
-            yield dict(block)
-            block = defaultdict(list)
+        if size and size + len(found) > max_windows:
+            yield plain(block)
+            block, size = defaultdict(dict), 0
+        size += len(found)
         for window in found:
-            if row[0] not in block[window]:
-                block[window].append(row[0])
-    yield dict(block)
+            block[window][row[0]] = None
+    yield plain(block)
 
 
-def _scan(frame: DataFrame, carried: list[str], block: dict[bytes, list[str]], schema, make) -> DataFrame:
-    """make(rows, bytes, offsets, n_words, hit, span, items) gives the batch to return; hits of earlier blocks, which the frame holds after the carried columns, are joined in."""
-    shared = frame.sparkSession.sparkContext.broadcast(block)
-    again = len(frame.columns) > len(carried)
+def _scanned(known: WindowSet, data: np.ndarray, offsets: np.ndarray):
+    """For each document of a slice: its number of words, the hit word ranges, the same as byte ranges, and the items."""
+    first, starts, ends, at = known.hits(data, offsets)
+    by_doc = defaultdict(list)
+    for i, n, items in at:
+        by_doc[int(np.searchsorted(first, i, "right")) - 1].append((i, n, items))
+    hit, span, found = [], [], []
+    for d in range(len(offsets) - 1):
+        base, own = int(offsets[d]), by_doc.get(d, ())
+        hit.append(merged([[i - int(first[d]), i + n - int(first[d])] for i, n, _ in own]))
+        span.append(merged([[int(starts[i]) - base, int(ends[i + n - 1]) - base] for i, n, _ in own]))
+        found.append(sorted({x for _, _, items in own for x in items}))
+    return np.diff(first), hit, span, found
+
+
+def _scan(frame: DataFrame, block: dict[bytes, list[str]], schema, make) -> DataFrame:
+    """make(rows, bytes, offsets, n_words, hit, span, items) gives the batch to return."""
+    shared, name = frame.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches):
-        known = WindowSet(shared.value)
+        known = window_set(name, shared.value)
         for rows, data, offsets in doc_slices(batches):
-            first, starts, ends, at = known.hits(data, offsets)
-            by_doc = defaultdict(list)
-            for i, n, items in at:
-                by_doc[int(np.searchsorted(first, i, "right")) - 1].append((i, n, items))
-            before = [rows.column(len(carried) + k).to_pylist() for k in (1, 2, 3)] if again else [[[]] * rows.num_rows] * 3
-            hit, span, found = [], [], []
-            for d in range(rows.num_rows):
-                base, own = int(offsets[d]), by_doc.get(d, ())
-                hit.append(merged([[i - int(first[d]), i + n - int(first[d])] for i, n, _ in own] + before[0][d]))
-                span.append(merged([[int(starts[i]) - base, int(ends[i + n - 1]) - base] for i, n, _ in own] + before[1][d]))
-                found.append(sorted({x for _, _, items in own for x in items} | set(before[2][d])))
-            yield make(rows, data, offsets, np.diff(first), hit, span, found)
+            yield make(rows, data, offsets, *_scanned(known, data, offsets))
 
     return frame.mapInArrow(run, schema)
 
 
-def _facts(names: list[str]):
-    pairs = pa.list_(pa.list_(pa.int64()))
+_PAIRS = pa.list_(pa.list_(pa.int64()))
 
+
+def _facts(names: list[str]):
     def make(rows, data, offsets, n_words, hit, span, found):
-        arrays = [rows.column(c) for c in names] + [pa.array(n_words, pa.int64()), pa.array(hit, pairs), pa.array(span, pairs), pa.array(found, pa.list_(pa.string()))]
+        arrays = [rows.column(c) for c in names] + [pa.array(n_words, pa.int64()), pa.array(hit, _PAIRS), pa.array(span, _PAIRS), pa.array(found, pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "hit", "span", "items"])
 
     return make
 
 
 def _scan_all(docs: DataFrame, benchmark: DataFrame, carried: list[str], width: int, max_windows: int, schema, make) -> DataFrame:
-    """The last block's scan makes the result; those before it are written, so that no more than one block is in memory."""
-    out, waiting = docs.select(*carried), None
+    """One block is one pass over the documents; several are one pass each, and a join of what they found."""
+    frame, found, waiting = docs.select(*carried), None, None
+    texts = docs.where("text IS NOT NULL").select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text")
+    some = lambda *x: _facts(["digest"])(*x).filter(pa.array([bool(h) for h in x[4]], pa.bool_()))
     for block in _blocks(benchmark, width, max_windows):
         if waiting is not None:
-            ensure_checkpoint_dir(docs.sparkSession)
-            out = _scan(out, carried, waiting, schema_with(docs, carried, HITS), _facts(carried)).checkpoint()
+            own = written(_scan(texts, waiting, "digest string, " + HITS, some))
+            found = own if found is None else found.unionByName(own)
         waiting = block
-    return _scan(out, carried, waiting, schema, make)
+    if found is None:
+        return _scan(frame, waiting, schema, make)
+    found = found.unionByName(written(_scan(texts, waiting, "digest string, " + HITS, some)))
+    united = found.groupBy("digest").agg(F.flatten(F.collect_set("hit")).alias("hit"), F.flatten(F.collect_set("span")).alias("span"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))  # a row for each block at most, once equal texts are set aside
+    key = free_name("digest", carried)
+    told = frame.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), F.sha2(F.col("text").cast("binary"), 256).alias(key)).join(united.withColumnRenamed("digest", key), key, "left").select("row.*", F.struct("hit", "span", "items").alias(key))
+
+    def run(batches):
+        for rows, data, offsets in doc_slices(batches):
+            known = rows.column(key)
+            hit, span, items = ([x or [] for x in known.field(k).to_pylist()] for k in range(3))
+            starts = words(data, offsets, ALNUM)[2]
+            yield make(rows, data, offsets, np.diff(starts), [merged(x) for x in hit], [merged(x) for x in span], items)
+
+    return told.mapInArrow(run, schema)
 
 
 def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_windows: int = 2_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -143,7 +178,8 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_wind
     n_words, hit (array of [from, to) word ranges, merged), span (the same as
     byte ranges of the text) and items (distinct, sorted as strings). Null
     texts have no words; items that are null, empty or without an id are
-    ignored; equal items all count.
+    ignored; equal items all count. One row for each row, repeated ones too;
+    an empty table gives none, and an empty benchmark no hits.
     """
     names = list(keep)
     return _scan_all(docs, benchmark, list(dict.fromkeys([*names, "text"])), width, max_windows, schema_with(docs, names, HITS), _facts(names))
