@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, doc_slices, hash_share, mixed, schema_with, slices
+from .common import U64, doc_slices, give_back, hash_share, mixed, schema_with, slices
 
 BITS = 12
 SIZE = 1 << BITS
@@ -117,21 +117,31 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([np.zeros(0, np.uint8), *out]), np.concatenate(([0], np.cumsum(sizes))), np.array(owner, np.int64)
 
 
-def fit(docs: DataFrame, train: Column, per_language: int = 1500, clusters: int = 4, slack: float = 1.0, seed: int = 4) -> Centroids | None:
+def _nearest(vectors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    return (vectors @ matrix.T).max(1) if len(matrix) else np.zeros(len(vectors), np.float32)
+
+
+def fit(docs: DataFrame, train: Column, per_language: int = 1500, clusters: int = 4, slack: float = 1.0, seed: int = 4, max_languages: int = 1000) -> Centroids | None:
     """Learns from the rows where ``train`` holds and lang is not null; None if there are none.
 
     Document frequencies are over all those rows. ``per_language`` bounds the
     sample (by a hash of doc_id) that the centroids are fitted on; a language
     with fewer rows gives all. A text is rejected below ``slack`` times the
     cosine that all but a thousandth of its language's held-out pieces of its
-    class of length reach: each half of the sample is measured by centroids of
-    the other half. A class of fewer than 1,000 pieces, too few to show a
-    thousandth, is judged with those of the next shorter classes.
+    class of length reach: each half of the sample is measured, on the
+    executors, by centroids of the other half. A class of fewer than 1,000
+    pieces, too few to show a thousandth, is judged with those of the next
+    shorter classes. Null and empty texts teach nothing; repeated rows count
+    as often as they stand. More than ``max_languages`` different labels are
+    an error: the model is broadcast, and they bound it.
     """
+    spark = docs.sparkSession
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
     if not per:
         return None
+    if len(per) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
 
     def frequencies(batches):
         total, n = np.zeros(SIZE, np.int64), 0
@@ -139,81 +149,97 @@ def fit(docs: DataFrame, train: Column, per_language: int = 1500, clusters: int
             total += (gram_counts(data, offsets) > 0).sum(0)
             n += some.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, SIZE)), pa.array(np.concatenate(([n], total)))], names=["gram", "n"])
+        give_back()
 
     df = np.zeros(SIZE + 1)
     for r in rows.select("text").mapInArrow(frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         df[r["gram"] + 1] = r["n"]
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 0.1).astype(np.float32)
 
+    def halves(data, offsets):
+        return np.array([zlib.crc32(data[a:b].tobytes()) & 1 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int8)
+
     def sample(batches):
         for some, data, offsets in doc_slices(batches, rows=ROWS):
-            half = np.array([zlib.crc32(data[a:b].tobytes()) & 1 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int8)
-            part, bounds, owner = pieces(data, offsets)
-            todo = [(data, offsets, np.arange(some.num_rows), True)]
-            todo += [(part[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], owner[a:b], False) for a, b in slices(bounds, 1 << 20, ROWS)]
-            for own, ends, row, whole in todo:
-                counts = gram_counts(own, ends)
-                at = [np.flatnonzero(c) for c in counts]
-                columns = [some.column("lang").take(pa.array(row)), pa.array(half[row]), pa.array([whole] * len(row), pa.bool_()), pa.array([i.tolist() for i in at], pa.list_(pa.int16())), pa.array([c[i].tolist() for c, i in zip(counts, at, strict=True)], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "half", "whole", "at", "n"])
+            counts = gram_counts(data, offsets)
+            at = [np.flatnonzero(c) for c in counts]
+            raw = [pa.array([x.tobytes() for x in column], pa.binary()) for column in ([a.astype(np.uint16) for a in at], [c[a].astype(np.uint32) for c, a in zip(counts, at, strict=True)])]
+            yield pa.RecordBatch.from_arrays([some.column("lang"), pa.array(halves(data, offsets)), *raw], names=["lang", "half", "at", "n"])
+        give_back()
 
     share = F.create_map(*(x for lang, n in per.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))))
     picked = rows.where(hash_share("doc_id", seed) < share[F.col("lang")]).select("lang", "text")
-    table = picked.mapInArrow(sample, "lang string, half byte, whole boolean, at array<smallint>, n array<int>").toArrow()
-    langs = np.array(table.column("lang").to_pylist(), object)
-    half, whole = (table.column(c).to_numpy() for c in ("half", "whole"))
+    table = picked.mapInArrow(sample, "lang string, half byte, at binary, n binary").toArrow()
+    langs, half = np.array(table.column("lang").to_pylist(), object), table.column("half").to_numpy()
+    at, n = (table.column(c).combine_chunks() for c in ("at", "n"))
     model = Centroids([], np.zeros((0, SIZE), np.float32), idf, np.zeros((0, len(LADDER))))
-    at, n = table.column("at").combine_chunks(), table.column("n").combine_chunks()
-
-    def vectors(rows):
-        counts = np.zeros((len(rows), SIZE), np.float32)
-        for i, r in enumerate(rows.tolist()):
-            counts[i, np.asarray(at[r].values, np.int64)] = np.asarray(n[r].values)
-        return model.vectors(counts), counts.sum(1)
 
-    def floor_of(own, c):
-        """Floors by class of length, from pieces that the centroids were not fitted on."""
-        got = [[] for _ in LADDER]
-        for h in (0, 1):
-            x = vectors(own[whole[own] & (half[own] != h)])[0]
-            x = x[x.any(1)]
-            far = _clusters(x, clusters) if len(x) else c
-            rows = own[~whole[own] & (half[own] == h)]
-            for low in range(0, len(rows), 1024):
-                x, grams = vectors(rows[low : low + 1024])
-                for score, k in zip((x @ far.T).max(1).tolist(), length_class(grams).tolist(), strict=True):
-                    if k >= 0:
-                        got[k].append(score)
-        floor = []
-        for k in range(len(got)):
-            pool, low = list(got[k]), k
-            while len(pool) < 1000 and low:
-                low -= 1
-                pool += got[low]
-            floor.append(slack * float(np.quantile(pool, 0.001)) if pool else 0.0)
-        return floor
+    def vectors(own):
+        x = np.zeros((len(own), SIZE), np.float32)
+        for i, r in enumerate(own.tolist()):
+            x[i, np.frombuffer(at[r].as_py(), np.uint16)] = np.frombuffer(n[r].as_py(), np.uint32)
+        x = model.vectors(x)
+        return x[x.any(1)]
 
-    parts, floors = [], []
+    parts, known, by_half = [], [], {}
     for lang in sorted(per):
         own = np.flatnonzero(langs == lang)
-        x = vectors(own[whole[own]])[0]
-        x = x[x.any(1)]
+        x = vectors(own)
         if not len(x):
             continue
         c = _clusters(x, clusters)
         parts.append(c)
-        model.languages += [lang] * len(c)
-        floors += [floor_of(own, c)] * len(c)
+        known.append(lang)
+        for h in (0, 1):
+            x = vectors(own[half[own] != h])
+            by_half[lang, h] = _clusters(x, clusters) if len(x) else c
     if not parts:
         return None
-    model.matrix, model.floor = np.concatenate(parts).astype(np.float32), np.array(floors)
+    model.languages = [lang for lang, c in zip(known, parts, strict=True) for _ in c]
+    model.matrix = np.concatenate(parts).astype(np.float32)
+    shared = spark.sparkContext.broadcast((idf, by_half))
+
+    def measure(batches):
+        """Of each piece its language, class of length and cosine with the centroids of the other half."""
+        idf_, centroids = shared.value
+        scale = Centroids([], np.zeros((0, SIZE), np.float32), idf_, np.zeros((0, 0)))
+        for some, data, offsets in doc_slices(batches, rows=ROWS):
+            which, names = halves(data, offsets), some.column("lang").to_pylist()
+            part, bounds, owner = pieces(data, offsets)
+            for a, b in slices(bounds, 1 << 20, ROWS):
+                counts = gram_counts(part[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+                x, own = scale.vectors(counts), owner[a:b]
+                cosine = np.zeros(b - a, np.float32)
+                for key in {(names[d], int(which[d])) for d in own.tolist()}:
+                    here = np.array([(names[d], int(which[d])) == key for d in own.tolist()])
+                    cosine[here] = _nearest(x[here], centroids.get(key, np.zeros((0, SIZE), np.float32)))
+                yield pa.RecordBatch.from_arrays([some.column("lang").take(pa.array(own)), pa.array(length_class(counts.sum(1)).astype(np.int32)), pa.array(cosine.astype(float))], names=["lang", "k", "cosine"])
+        give_back()
+
+    measured = picked.mapInArrow(measure, "lang string, k int, cosine double").toArrow()  # at most one number for each class of each text in the sample
+    m_lang, m_k, m_cosine = np.array(measured.column("lang").to_pylist(), object), measured.column("k").to_numpy(), measured.column("cosine").to_numpy()
+
+    def floor_of(lang):
+        got = [m_cosine[(m_lang == lang) & (m_k == k)] for k in range(len(LADDER))]
+        floor = []
+        for k in range(len(got)):
+            pool, low = got[k], k
+            while len(pool) < 1000 and low:
+                low -= 1
+                pool = np.concatenate((pool, got[low]))
+            floor.append(slack * float(np.quantile(pool, 0.001)) if len(pool) else 0.0)
+        return floor
+
+    floors = {lang: floor_of(lang) for lang in known}
+    model.floor = np.array([floors[lang] for lang in model.languages])
     return model
 
 
 def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with lang_pred, score (cosine, 0 to 1) and rejected.
 
-    A text that is null or has no letter, and every text under a model without
+    One row for each row, repeated ones too; an empty table gives none. A text
+    that is null or has no letter, and every text under a model without
     languages, gives ``und``, score 0, and is rejected. A text that is too far
     from all centroids keeps the nearest one's language and is rejected, unless
     it has fewer than about 16 letters: too few to judge by distance. Ties go to the language that sorts first.
@@ -237,5 +263,6 @@ def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("
                 size = length_class(counts.sum(1))
                 out = ~letters | ((score < known.floor[best, np.maximum(size, 0)]) & (size >= 0))
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=[*keep, "lang_pred", "score", "rejected"])
+        give_back()
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
