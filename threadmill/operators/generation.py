@@ -159,13 +159,15 @@ FIELDS = {
 GENERATED = ", ".join(f"{n} {t}" for n, t in FIELDS.items())
 
 
-def generate(threads: DataFrame, provider: Provider, strategy: str, calls: Calls = Calls(), partitions: int | None = None) -> DataFrame:
+def generate(threads: DataFrame, provider: Provider, strategy: str, calls: Calls = Calls(), partitions: int | None = None, in_flight: int | None = None) -> DataFrame:
     """One row for each thread (id, title, selftext, n_comments; optional roles, mix) with its replies.
 
     dg asks once for all replies and may get fewer; sag asks for each on its
     own; sagii asks in order, showing the replies before. Threads of one
     partition run side by side, up to ``calls.concurrency`` calls at once. A
     thread that fails as a whole has status "failed" and its error.
+    ``in_flight`` bounds the calls of the whole run: the threads are dealt into
+    that many partitions at most, and their pools share the number.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
@@ -173,6 +175,9 @@ def generate(threads: DataFrame, provider: Provider, strategy: str, calls: Calls
         F.col("id"), F.col("title"), F.col("selftext"), F.col("n_comments").cast("bigint").alias("n_comments"),
         (F.col("roles") if "roles" in threads.columns else F.lit(None).cast("array<string>")).alias("roles"), (F.col("mix") if "mix" in threads.columns else F.lit(None).cast("string")).alias("mix"),
     )
+    if in_flight:
+        partitions = max(1, min(partitions or in_flight, in_flight))
+        calls = replace(calls, concurrency=max(1, in_flight // partitions))
     if partitions:
         rows = rows.repartition(partitions)
 

@@ -116,7 +116,8 @@ class LongWindowZst(DataSource):
     """Lines of .zst files with windows beyond those Spark's own codec reads: format("zst_lines").load(path or glob).
 
     One partition for each file, as a compressed frame cannot be split; files
-    are streamed, never held. Paths are of a file system that workers mount.
+    are streamed, never held, and lines leave in Arrow batches. A path with a
+    scheme is opened by pyarrow's file systems, any other as a local one.
     """
 
     @classmethod
@@ -130,28 +131,65 @@ class LongWindowZst(DataSource):
         return _ZstReader(self.options["path"])
 
 
+CHUNK = 8 << 20  # bytes of text in one Arrow batch
+
+
+def _file_system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class _ZstReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self):
-        import glob
-        import os
+        import fnmatch
 
-        found = sorted(glob.glob(os.path.join(self.path, "**", "*.zst"), recursive=True) if os.path.isdir(self.path) else glob.glob(self.path))
-        return [InputPartition(f) for f in found] or [InputPartition(None)]
+        from pyarrow import fs
 
-    def read(self, partition):
-        import io
-        import os
+        system, path = _file_system(self.path)
+        scheme = self.path[: self.path.index("://") + 3] if "://" in self.path else ""
+        info = system.get_file_info(path)
+        if info.type == fs.FileType.File:
+            found = [path]
+        else:
+            folder = path if info.type == fs.FileType.Directory else path.rpartition("/")[0] or "."
+            every = system.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
+            found = sorted(x.path for x in every if x.type == fs.FileType.File and (x.path.endswith(".zst") if folder == path else fnmatch.fnmatch(x.path, path)))
+        return [InputPartition(f if f.startswith(scheme) else scheme + f) for f in found] or [InputPartition(None)]
 
+    def read(self, partition):
+        import pyarrow as pa
+        import pyarrow.compute as pc
         import zstandard
 
         if partition.value is None:
             return
-        with open(partition.value, "rb") as f, zstandard.ZstdDecompressor(max_window_size=2**31).stream_reader(f, read_across_frames=True) as stream:
-            for i, line in enumerate(io.TextIOWrapper(stream, encoding="utf-8", newline="\n")):
-                yield line.rstrip("\n"), os.path.basename(partition.value), i
+        system, path = _file_system(partition.value)
+        name, number = path.rpartition("/")[2], 0
+
+        def batch(text):
+            """The lines of a text, which ends with a line's end or is the last."""
+            nonlocal number
+            lines = pc.list_flatten(pc.split_pattern(pa.array([text], pa.large_binary()).cast(pa.large_string()), "\n"))
+            lines = lines.slice(0, len(lines) - text.endswith(b"\n")).cast(pa.string())
+            out = pa.RecordBatch.from_arrays([lines, pa.array([name] * len(lines), pa.string()), pa.array(range(number, number + len(lines)), pa.int64())], names=["value", "file_name", "line_number"])
+            number += len(lines)
+            return out
+
+        with system.open_input_stream(path, compression=None) as f, zstandard.ZstdDecompressor(max_window_size=2**31).stream_reader(f, read_across_frames=True) as stream:
+            rest: list[bytes] = []
+            while part := stream.read(CHUNK):
+                cut = part.rfind(b"\n") + 1
+                if cut:
+                    yield batch(b"".join([*rest, part[:cut]]))
+                    rest = [part[cut:]]
+                else:
+                    rest.append(part)
+            if last := b"".join(rest):
+                yield batch(last)
 
 
 def read_long_window(spark: SparkSession, path: str) -> DataFrame:
