@@ -213,6 +213,18 @@ def xxh64_of(distinct: pa.Array, seed: int = 0) -> np.ndarray:
     return np.array([digest(w, seed) for w in distinct.to_pylist()], U64)
 
 
+LONG = 32
+
+
+def safe_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, distinct: pa.Array, number: np.ndarray) -> np.ndarray:
+    """A hash of each distinct word: polynomial for short words, among which no two are equal by their form, XXH64 for those of more than LONG bytes."""
+    _, first = np.unique(number, return_index=True)
+    out = word_hashes(data, starts[first], ends[first])
+    long = np.flatnonzero((ends - starts)[first] > LONG)
+    out[long] = xxh64_of(distinct.take(pa.array(long)))
+    return out
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """For first with n+1 entries: the index of the row that holds each item."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

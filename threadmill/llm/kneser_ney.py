@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
-from .common import LOWER, U64, buffers, free_name, mixed, numbered_words, schema_with, slices, words, xxh64_of
+from .common import LOWER, U64, buffers, free_name, mixed, numbered_words, safe_hashes, schema_with, slices, words
 from .rounds import Rounds, filled, gathered, pack, shard_cuts
 
 END, START = U64(0x9B97F4A7C1500001), U64(0x2545F4914F6CDD1D)  # hashes of the two marks
@@ -32,39 +32,34 @@ def narrow(values: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """Distinct n-grams in order of their hashes: 48 bits of the context's and 32 of the last word's, the first 40 and 24 of them in ``key``, the others in ``extra``."""
-
-    def __init__(self, key: np.ndarray, extra: np.ndarray):
-        order = np.argsort(key)
-        k, e = key[order], extra[order]
-        if ((k[1:] == k[:-1]) & (e[1:] != e[:-1])).any():  # the key alone does not tell some apart
-            order = np.lexsort((extra, key))
-            k, e = key[order], extra[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
-        self.example = order[new]
-        self.of = np.empty(len(order), np.int64)  # of each row its n-gram
-        self.of[order] = np.cumsum(new) - 1
-        self.key, self.extra = key[self.example], extra[self.example]
+    """Distinct n-grams in order of their hashes, the context's bits before those of the last word."""
+
+    def __init__(self, key: np.ndarray, context: int):
+        self.key, self.example, self.of = np.unique(key, return_index=True, return_inverse=True)
+        self.context = context
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct contexts, in order, and each n-gram's."""
-        return np.unique(context_of(self.key, self.extra), return_inverse=True)
+        return np.unique(cut_to(self.key, self.context), return_inverse=True)
 
 
-def high(key: np.ndarray) -> np.ndarray:
-    """The part of the context by which keys are dealt, so that no context is split."""
-    return key >> U64(24) << U64(24)
+def cut_to(key: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of each key; keys are dealt by those of the context, so that none is split."""
+    return key >> U64(64 - bits) << U64(64 - bits)
 
 
-def context_of(key: np.ndarray, extra: np.ndarray) -> np.ndarray:
-    return high(key) | (extra.astype(U64) >> U64(8) << U64(16))
+def layout(k: int, size: int) -> tuple[int, int]:
+    """Bits of the context and of the last word in the 64-bit hash of an n-gram of k tokens, for an input of so many bytes: a larger input has more contexts to tell apart."""
+    context = min(max(size, 1).bit_length() + 6, 42) if k == 2 else min(max(size, 1).bit_length() + 10, 46)
+    context = max(context, 36 if k == 2 else 40)
+    return context, 64 - context
 
 
 class Tokens:
     """A batch's texts as tokens, each text's words (told apart by their bytes) and then one end."""
 
-    def __init__(self, table: pa.Table, train: str):
+    def __init__(self, table: pa.Table, train: str, bits: dict[int, tuple[int, int]]):
+        self.bits = bits
         data, offsets = buffers(table.column("text"))
         self.learn = np.asarray(pc.fill_null(table.column(train), False).combine_chunks().to_numpy(zero_copy_only=False), bool)
         data = LOWER[data]
@@ -78,7 +73,7 @@ class Tokens:
         inner = np.ones(len(self.word), bool)
         inner[self.first[1:] - 1] = False
         self.word[inner] = number
-        self.hash = np.concatenate((xxh64_of(self.distinct), [END, START]))
+        self.hash = np.concatenate((safe_hashes(data, starts, ends, self.distinct, number), [END, START]))
         self.learned = np.repeat(self.learn, n)
         self.place = np.arange(len(self.word)) - np.repeat(self.first[:-1], n)
 
@@ -92,8 +87,8 @@ class Tokens:
             before[self.place < back] = len(self.hash) - 1
             context = mixed(context * U64(0xD1342543DE82EF95) + self.hash[before])
         last = mixed(self.hash[self.word] + U64(1))
-        extra = ((context >> U64(16)) & U64(0xFF)) << U64(8) | ((last >> U64(32)) & U64(0xFF))
-        return Grams(high(context) | (last >> U64(40)), extra.astype(np.uint16))
+        bits, of_word = self.bits[k]
+        return Grams(cut_to(context, bits) | (last >> U64(64 - of_word) << U64(64 - bits - of_word)), bits)
 
     def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
         """The order of the distinct words and the end by hash, and these hashes; of equal ones the least word first."""
@@ -145,7 +140,7 @@ def _told(letter: dict[str, np.ndarray], name: str, n: int) -> np.ndarray:
     return letter[name] if len(letter[name]) else np.zeros(n, np.int64)
 
 
-def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), order: int = 3, batch_bytes: int = 4 << 20) -> DataFrame:
+def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), order: int = 3, batch_bytes: int = 6 << 20) -> DataFrame:
     """The ``keep`` columns with n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Tokens are the words (ASCII white space between them, A-Z lower-cased) and
@@ -153,7 +148,7 @@ def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), o
     holds (null: not) and scores all rows; before each text stand order - 1
     start marks. base_score is the sum over an add-one unigram model of the
     same tokens. Word counts go by the words themselves, those of longer
-    n-grams by 80-bit hashes. A null text counts as empty and has the end only.
+    n-grams by 64-bit hashes (``layout``). A null text counts as empty and has the end only.
     With no training row every token has the probability of one unknown word.
     Repeated rows are learned and scored as often as they stand; an empty
     table gives no rows.
@@ -164,29 +159,33 @@ def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), o
     rounds = Rounds(docs.select(*dict.fromkeys([*keep, "doc_id", "text"]), train.alias(mark)), batch_bytes)
     shards = rounds.shards
     schema = schema_with(docs, keep, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    bits = {k: layout(k, rounds.bytes) for k in range(2, order + 1)}
     number = {k: order + 1 - k for k in range(1, order + 1)}  # of each order's round
 
     def standing_before(t: Tokens, k: int, came: dict) -> tuple[Grams, np.ndarray]:
         """The n-grams of order k + 1, and of each whether this batch counts it for the next lower order."""
         longer = t.grams(k + 1)
-        return longer, np.flatnonzero(gathered(came.get(number[k + 1], []), shard_cuts(high(longer.key), shards), "mine", bool))
+        return longer, np.flatnonzero(gathered(came.get(number[k + 1], []), shard_cuts(cut_to(longer.key, longer.context), shards), "mine", bool))
 
     def asker(k: int):
         def ask(table, came):
-            t = Tokens(table, mark)
+            t = Tokens(table, mark, bits)
             own = t.grams(k)
             if k == order:
                 count = np.bincount(own.of[t.learned], minlength=len(own.key))
             else:
                 longer, mine = standing_before(t, k, came)
                 count = np.bincount(own.of[longer.example[mine]], minlength=len(own.key))
-            for s, part in filled(shard_cuts(high(own.key), shards)):
-                yield s, pack(key=own.key[part], extra=own.extra[part], count=narrow(count[part]))
+            for s, part in filled(shard_cuts(cut_to(own.key, own.context), shards)):
+                yield s, pack(key=own.key[part], count=narrow(count[part]))
 
         return ask
 
-    def answer_grams(got):
-        model = Grams(*(np.concatenate([x[c] for _, x in got]) for c in ("key", "extra")))
+    def answerer(k: int):
+        return lambda got: answer_grams(got, bits[k][0])
+
+    def answer_grams(got, context_bits):
+        model = Grams(np.concatenate([x["key"] for _, x in got]), context_bits)
         total = np.bincount(model.of, np.concatenate([x["count"] for _, x in got]).astype(np.int64), minlength=len(model.key)).astype(np.int64)
         contexts, context = model.contexts()
         stats = [np.bincount(context, w, minlength=len(contexts)).astype(np.int64) for w in (total, total == 1, total == 2, total > 2)]
@@ -197,12 +196,12 @@ def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), o
             at += len(own)
             mine = (total[own] > 0) & ~owned[own]
             owned[own] = True
-            asked = np.searchsorted(contexts, np.unique(context_of(x["key"], x["extra"])))
+            asked = np.searchsorted(contexts, np.unique(cut_to(x["key"], context_bits)))
             out.append(pack(count=narrow(total[own]), mine=np.packbits(mine), **{c: narrow(v[asked]) for c, v in zip(CONTEXT, stats, strict=True)}))
         return [*out, pack(often=how_often(total))]
 
     def ask_words(table, came):
-        t = Tokens(table, mark)
+        t = Tokens(table, mark, bits)
         seen = np.bincount(t.word[t.learned], minlength=len(t.hash) - 1)
         longer, mine = standing_before(t, 1, came)
         before = np.bincount(t.word[longer.example[mine]], minlength=len(t.hash) - 1)
@@ -224,7 +223,7 @@ def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), o
         return [*out, pack(whole=np.array([seen.sum(), np.count_nonzero(seen), before.sum()]), often=how_often(before))]
 
     def end(table, came):
-        t = Tokens(table, mark)
+        t = Tokens(table, mark, bits)
         place, hashes = t.vocabulary()
         cuts = shard_cuts(hashes, shards)
         seen, before = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
@@ -234,9 +233,9 @@ def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), o
         levels = []
         for k in range(2, order + 1):
             own = t.grams(k)
-            cuts = shard_cuts(high(own.key), shards)
+            cuts = shard_cuts(cut_to(own.key, own.context), shards)
             contexts, context = own.contexts()
-            context_cuts = shard_cuts(high(contexts), shards)
+            context_cuts = shard_cuts(contexts, shards)
             stats = {c: gathered(came[number[k]], context_cuts, c)[context][own.of] for c in CONTEXT}
             levels.append((gathered(came[number[k]], cuts, "count")[own.of], stats, _told(came[-number[k]][0][1], "often", 5)))
         p = token_scores(levels, before[t.word], _told(letter, "often", 5), total, vocabulary)
@@ -251,7 +250,7 @@ def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), o
     post, last = [], []
     for k in range(order, 0, -1):
         asked = rounds.ask(asker(k) if k > 1 else ask_words, *last)
-        answered = rounds.answer(number[k], asked, answer_grams if k > 1 else answer_words)
+        answered = rounds.answer(number[k], asked, answerer(k) if k > 1 else answer_words)
         last = [answered]
         post += [answered, rounds.totals(number[k], answered, ("often",) if k > 1 else ("often", "whole"))]
     return rounds.finish(end, schema, *post)

@@ -70,7 +70,7 @@ def pack_rows(parts: list[pa.RecordBatch]) -> bytes:
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     raw = sink.getvalue()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def unpack_rows(blob: bytes) -> pa.Table:
@@ -112,6 +112,7 @@ class Rounds:
 
     def __init__(self, docs: DataFrame, batch_bytes: int = 2 << 20, least: int = 24, reference: int = REFERENCE):
         total, self.rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+        self.bytes = total
         size = max(batch_bytes, min(MOST, int(batch_bytes * math.sqrt(total / reference))))
         self.batches = batches = max(least, -(-total // size))
         self.shards = max(16, self.batches // 4)
