@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 ROWS = 200_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder: the one that is set, or that named in spark.checkpoint.dir.
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder named in spark.checkpoint.dir; only where that is unset (local tests) a temporary one."""
+    Without either a local session takes a folder under its own working
+    directory for Spark's files; on a cluster that is an error, as no machine's
+    own folder will do.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.local.dir', '/tmp')}/checkpoint-{uuid.uuid4().hex}")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(frame: DataFrame, *parts: str) -> DataFrame:
+    """The rows, written as Parquet (in folders by ``parts``) under the checkpoint folder and read again.
+
+    The written rows no longer need the shuffles that made them, so these give
+    their disk back at once.
+    """
+    spark = frame.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (frame.write.partitionBy(*parts) if parts else frame.write).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def _star(edges: DataFrame, large: bool, files: int) -> DataFrame:

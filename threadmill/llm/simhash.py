@@ -15,16 +15,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, NO_ID, SOLID, U64, doc_slices, mixed, schema_with, set_aside, words
-from .components import components, ensure_checkpoint_dir
+from .common import BASE, LOWER, SOLID, U64, buffers, doc_slices, gram_hashes, hash_share, ids_of, mixed, numbered_words, ranges, schema_with, set_aside, slices, words, xxh64_of
+from .components import components, ensure_checkpoint_dir, written
+from .rounds import Rounds, filled, gathered, pack, shard_cuts
 
 _SPACED = LOWER.copy()
 _SPACED[~SOLID] = 0x20
 PAIRWISE = 24  # groups up to this size are compared all at once
-NODE_BITS = 22  # of a node's digest, that tell which texts may be in a candidate pair
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +197,29 @@ def near_duplicate_digest(docs: DataFrame, shingle: int = 4, distance: int = 4)
     return near_duplicate_groups(docs, shingle, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Groups by a similarity of shingle sets: an exact join by prefixes, without fingerprints.
+# Groups by a similarity of shingle sets: links by fingerprints first, then an exact join by prefixes for those they miss.
+
+
+def set_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every shingle in order, made from XXH64 of its words, and how many each document has."""
+    data = LOWER[data]
+    starts, ends, first = words(data, offsets)
+    n_words = np.diff(first)
+    n = np.where(n_words >= shingle, n_words - shingle + 1, (n_words > 0).astype(np.int64))
+    if not n.sum():
+        return np.zeros(0, U64), n
+    number, distinct = numbered_words(data, starts, ends)
+    symbols = xxh64_of(distinct)[number]
+    grams = gram_hashes(symbols, shingle)
+    low = ranges(first[:-1], n)
+    out = np.zeros(len(low), U64)
+    whole = np.repeat(n_words >= shingle, n)
+    out[whole] = grams[low[whole]]
+    before = np.cumsum(n) - n
+    for d in np.flatnonzero((n_words < shingle) & (n_words > 0)).tolist():  # the whole text is one shingle
+        part = symbols[first[d] : first[d + 1]]
+        out[before[d]] = gram_hashes(part, len(part))[0] + U64(len(part))
+    return out, n
 
 
 def shingle_sets(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,9 +238,20 @@ def set_digests(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
+def pack_set(ascending: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash, byte by byte place, so that the like ones stand together."""
+    return np.ascontiguousarray((ascending >> U64(24)).view(np.uint8).reshape(-1, 8)[:, 4::-1].T).tobytes()
+
+
+def unpack_set(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, 4::-1] = np.frombuffer(raw, np.uint8).reshape(5, -1).T
+    return out.view(U64)[:, 0]
+
+
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """Jaccard similarity of two ascending sets; 1 if both are empty."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    both = len(np.intersect1d(x, y))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
@@ -247,183 +280,291 @@ def prefixes(sets: np.ndarray, first: np.ndarray, common: tuple[np.ndarray, np.n
     return sets[order][take], owner[take], place[take]
 
 
-def _possible(n_a, p_a, n_b, p_b, similarity: float):
-    """Whether sets of these sizes whose first common hash is at these places can be similar enough."""
-    overlap = _at_least(similarity / (1 + similarity) * (n_a + n_b))
-    return np.minimum(n_a - p_a, n_b - p_b) >= overlap
+def narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint16) if not len(values) or int(values.max()) < 1 << 16 else values.astype(np.uint32)
 
 
-def possible_pairs(keys: np.ndarray, n: np.ndarray, place: np.ndarray, same: np.ndarray, similarity: float, first_round: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (indices) of rows under a key that can be similar enough; rows of equal ``same`` are known to be linked.
+def has_partner(key: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, reach: int = 64) -> np.ndarray:
+    """Which entries share their key with one of whose set they can be similar enough: never false for such a pair.
 
-    The first round gives all pairs of small groups, and in large ones each
-    row's pair with the last that it can be paired with in order of size; it
-    only saves work. The second gives all others whose rows are not linked yet.
+    Common shingles are at most as many as follow the first one in either set.
+    Beyond ``reach`` entries in order of size only the sizes are looked at.
     """
-    order = np.lexsort((place, n, keys))
-    keys, n, place, same = keys[order], n[order], place[order], same[order]
-    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sizes = np.diff(np.concatenate((heads, [len(keys)])))
-    group = np.repeat(np.arange(len(heads)), sizes)
-    small = np.repeat(sizes <= PAIRWISE, sizes)
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if first_round:
-        for step in range(1, min(PAIRWISE, len(keys))):
-            at = np.flatnonzero((group[step:] == group[:-step]) & small[:-step])
-            if not len(at):
-                break
-            at = at[_possible(n[at], place[at], n[at + step], place[at + step], similarity) & (same[at] != same[at + step])]
-            out_a.append(at)
-            out_b.append(at + step)
-    for h in np.flatnonzero(sizes > PAIRWISE).tolist():
-        low, high = int(heads[h]), int(heads[h] + sizes[h])
-        for i in range(low + 1, high):
-            start = max(low, int(low + np.searchsorted(n[low:i], _at_least(similarity * n[i]))))
-            ok = np.flatnonzero(_possible(n[start:i], place[start:i], n[i], place[i], similarity) & (same[start:i] != same[i])) + start
-            if first_round:
-                ok = ok[-1:]
-            out_a.append(ok)
-            out_b.append(np.full(len(ok), i))
-    return order[np.concatenate(out_a)], order[np.concatenate(out_b)]
+    order = np.lexsort((place, size, key))
+    k, n, p = key[order], size[order], place[order]
+    out = np.zeros(len(k), bool)
+    left = np.arange(len(k))
+    for step in range(1, reach + 1):
+        left = left[left + step < len(k)]
+        near = left + step
+        same = (k[left] == k[near]) & (n[left] >= _at_least(similarity * n[near]))
+        left, near = left[same], near[same]
+        if not len(left):
+            break
+        ok = np.minimum(n[left] - p[left], n[near] - p[near]) >= _at_least(similarity / (1 + similarity) * (n[left] + n[near]))
+        if step == reach:
+            ok[:] = True
+        out[left[ok]] = True
+        out[near[ok]] = True
+    got = np.empty(len(k), bool)
+    got[order] = out
+    return got
+
+
+MARKS = tuple(f"m{k}" for k in range(1, 9))
+
+
+def slot_marks(sets: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Of each set which of 512 equal ranges hold a hash, as eight numbers of 64 bits."""
+    n = len(first) - 1
+    marks = np.zeros((n, 64 * len(MARKS)), np.uint8)
+    marks[np.repeat(np.arange(n), np.diff(first)), (sets >> U64(55)).astype(np.int64)] = 1
+    both = np.packbits(marks, axis=1).view(np.int64).reshape(n, len(MARKS))
+    return [both[:, k] for k in range(len(MARKS))]
+
+
+def spreads(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Of each set how many of its hashes fall into each of as many equal ranges (a power of two) as it has hashes; the first byte tells the numbers' width."""
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        bits = max(6, (b - a - 1).bit_length())
+        count = np.bincount((sets[a:b] >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        out.append(b"\1" + count.astype(np.uint8).tobytes() if count.max() < 256 else b"\4" + count.astype(np.uint32).tobytes())
+    return out
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sample: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of each row with root, the same for rows that links of at least ``similarity`` connect.
+def may_be_similar(x: bytes, y: bytes, similarity: float) -> bool:
+    """False only where the sets of these spreads have too little in common: in a range at most the smaller number."""
+    x, y = (np.frombuffer(v, np.uint8 if v[0] == 1 else np.uint32, offset=1).astype(np.int64) for v in (x, y))
+    if len(x) > len(y):
+        x, y = y, x
+    both = int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
+    return both >= similarity * (int(x.sum()) + int(y.sum()) - both) - 1e-9
 
-    A link is a Jaccard similarity of the sets of shingles (64-bit hashes) of
-    that much, exact for sets of any size. Texts of equal sets are one node.
-    Candidates share a shingle of both prefixes (``prefixes``) at places that
-    allow the similarity; no link is lost, whatever the size of a group.
-    Large groups take two rounds: pairs that the first one links, directly or
-    not, are not compared again. ``sample`` texts tell the frequent shingles,
-    which stand last in the prefixes' order; they bear on speed only.
-    """
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    schema = schema_with(docs, keep, "node binary")
 
-    def mark(batches):
-        for rows, data, offsets in doc_slices(batches):
-            nodes = set_digests(*shingle_sets(*shingle_hashes(data, offsets, shingle)))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(nodes, pa.binary())], names=[*keep, "node"])
+def frequent_shingles(texts: DataFrame, share: float, shingle: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` shingles (ascending) that occur in three or more of a sample of the texts, the most frequent ones, and their counts."""
 
     def hashes_only(batches):
         for _, data, offsets in doc_slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(*shingle_hashes(data, offsets, shingle))[0].view(np.int64))], names=["h"])
-
-    marked = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(mark, schema).checkpoint()
-    share = sample / max(marked.count(), 1)
-    texts = docs.select("text").where(F.col("text").isNotNull())
-    some = texts.where(F.xxhash64("text", F.lit(6)) / F.lit(2.0**64) + F.lit(0.5) < share).mapInArrow(hashes_only, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    top = some.where("n > 2").orderBy(F.desc("n"), "h").limit(200_000).toArrow()
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(*set_hashes(data, offsets, shingle))[0].view(np.int64))], names=["h"])
+
+    some = texts.where(hash_share("text", 6) < share).mapInArrow(hashes_only, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").checkpoint()
+    left, least = most, 3
+    for row in some.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect():  # no more rows than texts in the sample
+        left -= row["c"]
+        if left < 0:
+            least = row["n"] + 1
+            break
+    top = some.where(F.col("n") >= least).toArrow()
     known, counts = top.column("h").to_numpy().view(U64), top.column("n").to_numpy()
     order = np.argsort(known)
-    common = spark.sparkContext.broadcast((known[order], counts[order]))
-
-    def spread(batches):
-        seen: set = set()
-        for _, data, offsets in doc_slices(batches):
-            sets, first = shingle_sets(*shingle_hashes(data, offsets, shingle))
-            nodes = set_digests(sets, first)
-            fresh = np.array([not (x in seen or seen.add(x)) for x in nodes], bool)  # a node once a task
-            node = np.frombuffer(b"".join(nodes), np.int64).reshape(-1, 2)
-            key, owner, place = prefixes(sets, first, common.value, similarity)
-            key, owner, place = key[fresh[owner]], owner[fresh[owner]], place[fresh[owner]]
-            columns = [key.view(np.int64), node[owner, 0], node[owner, 1], np.diff(first)[owner].astype(np.int32), place.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "hi", "lo", "n", "place"])
-
-    def shared(batches):
-        """Of the rows under each key those of different nodes, where there are two at least."""
-        got = [[b.column(c).to_numpy() for c in ("key", "hi", "lo", "n", "place")] for b in batches]
-        if not got:
-            return
-        key, hi, lo, n, place = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((lo, hi, key))
-        key, hi, lo = key[order], hi[order], lo[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-        order, key = order[new], key[new]
-        node = np.stack((hi[new], lo[new]), axis=1)
-        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.concatenate((heads, [len(key)])))
-        size = np.repeat(sizes, sizes)
-        for at in np.array_split(np.flatnonzero(size > 1), 1 + len(key) // 65_536):
-            column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(node[at].tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), column, pa.array(n[order[at]]), pa.array(place[order[at]]), pa.array(size[at] > PAIRWISE)], names=["key", "node", "n", "place", "crowded"])
-
-    def linker(first_round):
-        def link(batches):
-            got = [(*(b.column(c).to_numpy() for c in ("key", "n", "place", "same")), np.frombuffer(b"".join(b.column("node").to_pylist()), np.dtype((np.void, 16)))) for b in batches]
-            if not got:
-                return
-            key, n, place, same, node = (np.concatenate(x) for x in zip(*got, strict=True))
-            a, b = possible_pairs(key, n.astype(np.int64), place.astype(np.int64), same, similarity, first_round)
-            _, which = np.unique(node, return_inverse=True)
-            a, b = np.minimum(which[a], which[b]), np.maximum(which[a], which[b])
-            at = np.empty(len(node), np.int64)
-            at[which] = np.arange(len(node))
-            pairs = np.unique(a * len(node) + b)
-            for some in np.array_split(pairs, 1 + len(pairs) // 65_536):
-                ends = [pa.array(node[at[x]].tolist(), pa.binary()) for x in (some // len(node), some % len(node))]
-                yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-        return link
-
-    def whole(batches):
-        for rows, data, offsets in doc_slices(batches):
-            sets, first = shingle_sets(*shingle_hashes(data, offsets, shingle))
-            raw = sets.tobytes()
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())], names=["node", "hashes"])
-
-    def verify(batches):
-        for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("set_a", "set_b"))
-            ok = [jaccard(np.frombuffer(p, U64), np.frombuffer(q, U64)) >= similarity - 1e-9 for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    def verified(pairs):
-        involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        # texts whose bit is not set cannot be involved and need not be dealt out; the join decides on the rest
-        place = F.conv(F.substring(F.hex("node"), 1, 7), 16, 10).cast("long").bitwiseAND((1 << NODE_BITS) - 1)
-        marks = involved.select(place.alias("bit")).distinct().toArrow().column("bit").to_numpy()
-        bits = np.zeros(1 << NODE_BITS, bool)
-        bits[marks] = True
-        wanted = spark.sparkContext.broadcast(np.packbits(bits))
-
-        def with_node(batches):
-            seen: set = set()
-            chosen = np.unpackbits(wanted.value).astype(bool)
-            for rows, data, offsets in doc_slices(batches):
-                nodes = set_digests(*shingle_sets(*shingle_hashes(data, offsets, shingle)))
-                fresh = pa.array([bool(chosen[int.from_bytes(x[:4], "big") >> 4 & (1 << NODE_BITS) - 1]) and not (x in seen or seen.add(x)) for x in nodes], pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), rows.column("text")], names=["node", "text"]).filter(fresh)
-
-        held = texts.mapInArrow(with_node, "node binary, text string").join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        sets = held.mapInArrow(whole, "node binary, hashes binary").checkpoint()
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
-        return both.mapInArrow(verify, "a binary, b binary").checkpoint()
-
-    edge = "a binary, b binary"
-    keyed = texts.mapInArrow(spread, "key long, hi long, lo long, n int, place int").repartition("key")
-    rows = keyed.mapInArrow(shared, "key long, node binary, n int, place int, crowded boolean").checkpoint()
-    links = verified(rows.withColumn("same", F.xxhash64("node")).repartition("key").mapInArrow(linker(True), edge).distinct().checkpoint())
-    roots = components(links)
-    crowded = rows.where("crowded")
-    if not crowded.isEmpty():
-        known_roots = crowded.join(roots, "node", "left").withColumn("same", F.xxhash64(F.coalesce("root", "node")))
-        more = verified(known_roots.repartition("key").mapInArrow(linker(False), edge).distinct().checkpoint())
-        roots = components(links.unionByName(more))
-    return marked.join(roots, "node", "left").select(*keep, F.coalesce("root", "node").alias("root"))
+    return known[order], counts[order]
+
+
+class _Nodes:
+    """The texts of a batch as shingle sets; texts of equal sets are one node, told by a digest."""
+
+    def __init__(self, table: pa.Table, shingle: int):
+        data, offsets = buffers(table.column("text"))
+        sets, sizes, digests = [], [], []
+        for a, b in slices(offsets, 1 << 20):
+            own, first = shingle_sets(*set_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle))
+            sets.append(own)
+            sizes.append(np.diff(first))
+            digests += set_digests(own, first)
+        self.doc = ids_of(table.column("doc_id"))
+        raw = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(U64)
+        self.text = [xxhash.xxh3_128_digest(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        order = np.lexsort((np.array(self.text, "S16"), self.doc, raw[:, 1], raw[:, 0]))
+        ordered = raw[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (ordered[1:] != ordered[:-1]).any(1)
+        self.row = order[new]  # of each node, in order of the digests, the row of the least doc
+        self.node = np.empty(len(order), np.int64)
+        self.node[order] = np.cumsum(new) - 1  # of each row
+        self.high, self.low = raw[self.row, 0], raw[self.row, 1]
+        self.digest = [digests[r] for r in self.row.tolist()]
+        self._sets = np.concatenate([np.zeros(0, U64), *sets])
+        self._first = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))))
+
+    def sets(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of these nodes, one after the other, and their offsets."""
+        begin, size = self._first[self.row[nodes]], np.diff(self._first)[self.row[nodes]]
+        return self._sets[ranges(begin, size)], np.concatenate(([0], np.cumsum(size)))
+
+
+#: what 0: a node of a batch with its least doc and that text's digest; 1: a node under a key that another node has too; 2: a node with such keys, its fingerprint (key), its set and how this spreads over slots.
+PARTS = f"what int, batch int, key long, node binary, n int, place int, {', '.join(f'{m} long' for m in MARKS)}, doc long, spread binary, data binary"
+_PARTS_ARROW = pa.schema([("what", pa.int32()), ("batch", pa.int32()), ("key", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("place", pa.int32()), *((m, pa.int64()) for m in MARKS), ("doc", pa.int64()), ("spread", pa.binary()), ("data", pa.binary())])
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sample: int = 10_000, keep: tuple[str, ...] = ("doc_id",), distance: int = 4, batch_bytes: int = 4 << 20) -> DataFrame:
+    """The ``keep`` columns of each row with root, the same for rows that links of at least ``similarity`` connect, and stays, true for one row of each root: that of the least doc_id (null last).
+
+    A link is a Jaccard similarity of the sets of shingles (hashes, compared by
+    40 bits) of that much, over whole sets of any size. Texts of equal sets are one node.
+    Nodes are linked in three steps, each candidate being verified by the
+    whole sets, and a step sees only what those before it left apart:
+
+    1. fingerprints within ``distance`` bits, by pigeonhole blocks;
+    2. nodes that share a shingle of both prefixes (``prefixes``, a condition
+       that no pair at ``similarity`` can miss) with the least node under it,
+       first with one of these for each node, then with the others;
+    3. under each such shingle, the nodes outside the largest group of linked
+       ones with all others.
+
+    No link is lost, whatever the size of a group. ``sample`` texts tell the
+    frequent shingles, which stand last in the prefixes' order; they bear on
+    speed only. Null texts and texts without words have the empty set, and are
+    one node; repeated rows are rows of one node; an empty table gives none.
+    """
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    frame = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
+    rounds = Rounds(frame, batch_bytes)
+    shards = rounds.shards
+    common = spark.sparkContext.broadcast(frequent_shingles(frame.select("text").where("text IS NOT NULL"), sample / max(rounds.rows, 1), shingle))
+
+    def ask_owners(table, _):
+        b = _Nodes(table, shingle)
+        for s, part in filled(shard_cuts(b.high, shards)):
+            yield s, pack(high=b.high[part], low=b.low[part])
+
+    def answer_owners(got):
+        """A node is owned by the first batch that has it."""
+        high, low = (np.concatenate([x[c] for _, x in got]) for c in ("high", "low"))
+        order = np.lexsort((np.arange(len(high)), low, high))
+        own = np.ones(len(high), bool)
+        own[order[1:]] = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+        ends = np.cumsum([len(x["high"]) for _, x in got])
+        return [pack(own=np.packbits(part)) for part in np.split(own, ends[:-1])]
+
+    def keys_of(table, came):
+        """The batch, its own nodes, and their prefixes' (key, node, size of its set, place), sorted."""
+        b = _Nodes(table, shingle)
+        own = np.flatnonzero(gathered(came.get(1, []), shard_cuts(b.high, shards), "own", bool))
+        sets, first = b.sets(own)
+        key, owner, place = prefixes(sets, first, common.value, similarity)
+        size = np.diff(first)[owner]
+        order = np.lexsort((owner, size, key))
+        return b, own, key[order], owner[order], size[order], place[order]
+
+    def ask_keys(table, came):
+        *_, key, _, size, place = keys_of(table, came)
+        for s, part in filled(shard_cuts(key, shards)):
+            yield s, pack(key=key[part], size=narrow(size[part]), place=narrow(place[part]))
+
+    def answer_keys(got):
+        key, size, place = (np.concatenate([x[c].astype(kind) for _, x in got]) for c, kind in (("key", U64), ("size", np.int64), ("place", np.int64)))
+        shared = has_partner(key, size, place, similarity)
+        ends = np.cumsum([len(x["key"]) for _, x in got])
+        return [pack(shared=np.packbits(part)) for part in np.split(shared, ends[:-1])]
+
+    def parts_of(number, table, came):
+        b, own, key, owner, size, place = keys_of(table, came)
+        cuts = shard_cuts(key, shards)
+        some = np.flatnonzero(gathered(came.get(2, []), cuts, "shared", bool))
+        key, owner, size, place = key[some], owner[some], size[some], place[some]
+        involved = np.unique(owner)
+        sets, first = b.sets(own[involved])
+        fp = fingerprint_arrays(sets, np.diff(first))[:, 0]
+        marks = [np.concatenate((np.zeros(len(b.row), np.int64), x[np.searchsorted(involved, owner)], np.zeros(len(involved), np.int64))) for x in slot_marks(sets, first)]
+        spread, packed = spreads(sets, first), [pack_set(sets[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+        n, m, k = len(b.row), len(key), len(involved)
+        names = np.array(b.digest, object)
+        none = lambda count, kind: pa.nulls(count, kind)
+        columns = {
+            "what": np.repeat(np.arange(3, dtype=np.int32), (n, m, k)), "batch": np.full(n + m + k, number, np.int32), "key": np.concatenate((np.zeros(n, U64), key, fp)).view(np.int64),
+            "node": pa.array(np.concatenate((names, names[own[owner]], names[own[involved]])).tolist(), pa.binary()), "n": np.concatenate((np.zeros(n), size, np.diff(first))).astype(np.int32),
+            "place": np.concatenate((np.zeros(n), place, np.zeros(k))).astype(np.int32), **dict(zip(MARKS, marks, strict=True)), "doc": np.concatenate((b.doc[b.row], np.zeros(m + k, np.int64))),
+            "spread": pa.chunked_array([none(n + m, pa.binary()), pa.array(spread, pa.binary())]), "data": pa.chunked_array([pa.array([b.text[r] for r in b.row.tolist()], pa.binary()), none(m, pa.binary()), pa.array(packed, pa.binary())]),
+        }
+        return pa.table({c: columns[c] for c in _PARTS_ARROW.names}, schema=_PARTS_ARROW)
+
+    first = rounds.answer(1, rounds.ask(ask_owners), answer_owners)
+    second = rounds.answer(2, rounds.ask(ask_keys, first), answer_keys)
+    parts = written(rounds.rows_of(parts_of, PARTS, first, second), "what")
+    nodes, rows = parts.where("what = 0").select("batch", "node", "doc", "data"), parts.where("what = 1").select("key", "node", F.struct("n", "place", *MARKS).alias("v"))
+    sets = parts.where("what = 2").select("node", F.col("key").alias("fp"), "spread", "data")
+
+    def test(enough):
+        def run(batches):
+            for batch in batches:
+                ok = [enough(p, q) for p, q in zip(*(batch.column(c).to_pylist() for c in ("x", "y")), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        return run
+
+    def tested(pairs: DataFrame, column: str, enough) -> DataFrame:
+        """The pairs whose nodes' ``column`` passes; only nodes of pairs are dealt out."""
+        some = sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+        both = pairs.join(some.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(test(enough), "a binary, b binary"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """By the most that the sets can have in common, then by the sets themselves."""
+        return tested(tested(written(pairs), "spread", lambda x, y: may_be_similar(x, y, similarity)), "data", lambda x, y: jaccard(unpack_set(x), unpack_set(y)) >= similarity - 1e-9)
+
+    def possible(a: str, b: str):
+        """Whether two sets can be similar enough, if this is the first shingle in order that they share, and by the ranges of hashes that only one of them has any in."""
+        x, y = ({c: F.col(f"{v}.{c}") for c in ("n", "place", *MARKS)} for v in (a, b))
+        shared = F.ceil(F.lit(similarity / (1 + similarity)) * (x["n"] + y["n"]) - 1e-9)
+        own = lambda p, q: sum(F.bit_count(p[m].bitwiseAND(F.bitwise_not(q[m]))) for m in MARKS)
+        return (F.least(x["n"] - x["place"], y["n"] - y["place"]) >= shared) & (F.least(x["n"] - own(x, y), y["n"] - own(y, x)) >= shared)
+
+    def with_root(frame: DataFrame, roots: DataFrame) -> DataFrame:
+        return frame.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    # 1: the least node of a fingerprint stands for all that have it
+    stands = sets.groupBy("fp").agg(F.min("node").alias("head"))
+    equal = sets.join(stands, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    close = close_links(stands.select("fp"), distance)
+    ends = stands.select(F.col("fp").alias("a"), F.col("head").alias("head_a")), stands.select(F.col("fp").alias("b"), F.col("head").alias("head_b"))
+    near = close.distinct().join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    links = verified(equal.unionByName(near))
+    # 2: the least node under a key: of all that a node has, the least one first, then those that it is still apart from
+    for once in (True, False):
+        known = with_root(rows, components(links))
+        least = known.groupBy("key").agg(F.min(F.struct("node", "root", "v")).alias("c"))
+        star = known.join(least, "key").where((F.col("root") != F.col("c.root")) & possible("v", "c.v")).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+        links = links.unionByName(verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if once else star.distinct()))
+    # 3: those outside a key's largest group, with all others
+    known = written(with_root(rows, components(links)))
+    most = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    apart = known.join(most, "key").where("root <> most").select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "v", "root")))
+    crossed = known.join(apart, "key").where((F.col("root") != F.col("root_b")) & possible("v", "v_b"))
+    pairs = crossed.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+    roots = components(links.unionByName(verified(pairs)))
+    # every batch learns its nodes' roots, and which of them stay
+    named = written(with_root(nodes, roots))
+    stay = named.groupBy("root").agg(F.min(F.struct("doc", "batch", "node")).alias("s")).select(F.col("s.batch").alias("batch"), F.col("s.node").alias("node"), F.lit(True).alias("stays"))
+    told = named.join(stay, ["batch", "node"], "left").select("batch", "node", "root", F.coalesce("stays", F.lit(False)).alias("stays"))
+
+    def tell(table):
+        node, root = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8) for c in ("node", "root"))
+        return pack(node=node, root=root, stays=np.array(table.column("stays").to_pylist(), np.uint8))
+
+    schema = schema_with(docs, keep, "root binary, stays boolean")
+
+    def end(table, came):
+        b = _Nodes(table, shingle)
+        (_, x), = came[3]
+        cut = lambda a: [a[16 * i : 16 * i + 16].tobytes() for i in range(len(a) // 16)]
+        known = dict(zip(cut(x["node"]), zip(cut(x["root"]), x["stays"].tolist(), strict=True), strict=True))
+        root = [known[d][0] for d in b.digest]
+        stays = np.zeros(table.num_rows, bool)
+        stays[b.row] = [bool(known[d][1]) for d in b.digest]
+        return pa.table([*(table.column(c) for c in keep), pa.array([root[k] for k in b.node.tolist()], pa.binary()), pa.array(stays)], names=[*keep, "root", "stays"])
+
+    return rounds.finish(end, schema, rounds.letters(3, told, tell))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of ``similar_groups``: that of the smallest doc_id (null last), once if it is repeated.
 
-    Rows keep all their columns, whatever their names.
+    Rows keep all their columns, whatever their names. Texts without words,
+    null texts included, are one group.
     """
     packed, restore = set_aside(docs, ("doc_id", "text"))
-    keyed = packed.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = similar_groups(keyed, shingle, similarity, keep=("_doc", "_key"))
-    stay = groups.groupBy("root").agg(F.min(F.struct("_doc", "_key")).alias("s")).select("s._doc", "s._key")
-    turn = F.row_number().over(Window.partitionBy("_doc", "_key").orderBy(F.lit(0)))
-    return restore(keyed.join(stay, ["_doc", "_key"]).withColumn("_turn", turn).where("_turn = 1"))
+    return restore(similar_groups(packed, shingle, similarity, keep=tuple(packed.columns)).where("stays"))
