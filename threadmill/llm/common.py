@@ -218,7 +218,8 @@ LONG = 32
 
 def safe_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, distinct: pa.Array, number: np.ndarray) -> np.ndarray:
     """A hash of each distinct word: polynomial for short words, among which no two are equal by their form, XXH64 for those of more than LONG bytes."""
-    _, first = np.unique(number, return_index=True)
+    first = np.empty(len(distinct), np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
     out = word_hashes(data, starts[first], ends[first])
     long = np.flatnonzero((ends - starts)[first] > LONG)
     out[long] = xxh64_of(distinct.take(pa.array(long)))

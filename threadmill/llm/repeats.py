@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SYMBOL, U64, buffers, gram_hashes, ids_of, mixed, numbered_words, prefix_hashes, ranges, slices, span_hash, words, xxh64_of
+from .common import SYMBOL, U64, buffers, gram_hashes, ids_of, mixed, numbered_words, prefix_hashes, ranges, safe_hashes, slices, span_hash, words
 from .rounds import Rounds, filled, gathered, pack, shard_cuts
 
 SLICE = 1 << 19  # bytes whose hash arrays are held at once
@@ -83,7 +83,7 @@ class Batch:
             shifts = [offsets[a] for a, _ in slices(offsets, SLICE)]
             self.starts, self.ends = (np.concatenate([np.zeros(0, np.int64), *(x[i] + shift for x, shift in zip(found, shifts, strict=True))]) for i in (0, 1))
             self.number, distinct = numbered_words(data, self.starts, self.ends)
-            self.hash_of = xxh64_of(distinct)
+            self.hash_of = safe_hashes(data, self.starts, self.ends, distinct, self.number)
         done = 0
         for k, (a, b) in enumerate(slices(offsets, SLICE)):
             first = found[k][2] if scheme.of_words else offsets[a : b + 1] - offsets[a]

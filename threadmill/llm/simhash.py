@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, SOLID, U64, buffers, doc_slices, gram_hashes, hash_share, ids_of, mixed, numbered_words, ranges, schema_with, set_aside, slices, words, xxh64_of
+from .common import BASE, LOWER, SOLID, U64, buffers, doc_slices, gram_hashes, hash_share, ids_of, mixed, numbered_words, ranges, safe_hashes, schema_with, set_aside, slices, words
 from .components import components, ensure_checkpoint_dir, written
 from .rounds import Rounds, filled, gathered, pack, shard_cuts
 
@@ -201,7 +201,7 @@ def near_duplicate_digest(docs: DataFrame, shingle: int = 4, distance: int = 4)
 
 
 def set_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every shingle in order, made from XXH64 of its words, and how many each document has."""
+    """A 64-bit hash of every shingle in order, made from hashes of its words, and how many each document has."""
     data = LOWER[data]
     starts, ends, first = words(data, offsets)
     n_words = np.diff(first)
@@ -209,7 +209,7 @@ def set_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.
     if not n.sum():
         return np.zeros(0, U64), n
     number, distinct = numbered_words(data, starts, ends)
-    symbols = xxh64_of(distinct)[number]
+    symbols = safe_hashes(data, starts, ends, distinct, number)[number]
     grams = gram_hashes(symbols, shingle)
     low = ranges(first[:-1], n)
     out = np.zeros(len(low), U64)
