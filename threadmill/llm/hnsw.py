@@ -214,7 +214,7 @@ def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "em
     return table.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).where(~bad & some).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.size(embedding).alias("dim")).distinct()
 
 
-def build_shards(vectors: DataFrame, shard_rows: int = 1 << 17, least: int = 8, m: int = 12, ef: int = 64, k: int = 10) -> tuple[DataFrame, int]:
+def build_shards(vectors: DataFrame, shard_rows: int = 1 << 15, least: int = 8, m: int = 16, ef: int = 96, k: int = 10) -> tuple[DataFrame, int]:
     """One row per shard and dimension with its graph as flat arrays, and the number of shards."""
     shards = max(least, -(-vectors.count() // shard_rows))
     kind = np.float64 if "double" in vectors.schema["embedding"].dataType.simpleString() else np.float32
@@ -245,7 +245,7 @@ def build_shards(vectors: DataFrame, shard_rows: int = 1 << 17, least: int = 8,
     return dealt.repartition(2 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(run, SHARD), shards
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 1 << 17, m: int = 12, ef_build: int = 64, ef_search: int = 160, block: int = 4096) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 1 << 15, m: int = 16, ef_build: int = 96, ef_search: int = 400, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance in double precision) of each query's k nearest found.
 
     Vectors as in ``valid_vectors``; only vectors of the query's dimension are
