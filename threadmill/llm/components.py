@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 ROWS = 200_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -27,20 +28,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def written(frame: DataFrame, *parts: str) -> DataFrame:
+def written(frame: DataFrame, *parts: str, records: int = 10_000) -> DataFrame:
     """The rows, written as Parquet (in folders by ``parts``) under the checkpoint folder and read again.
 
     The written rows no longer need the shuffles that made them, so these give
-    their disk back at once.
+    their disk back at once. ``records`` bounds the rows that Python gets at
+    once, for rows of many kilobytes.
     """
     spark = frame.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true", BATCH: str(records)}
+    before = {name: spark.conf.get(name, default) for name, default in ((CLEANUP, "false"), (BATCH, "10000"))}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         (frame.write.partitionBy(*parts) if parts else frame.write).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -500,7 +500,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
         """The pairs whose nodes' ``column`` passes; only nodes of pairs are dealt out."""
         some = sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
         both = pairs.join(some.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
-        return written(both.select("a", "b", "x", "y").mapInArrow(test(enough), "a binary, b binary"))
+        return written(both.select("a", "b", "x", "y").mapInArrow(test(enough), "a binary, b binary"), records=256)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """By the most that the sets can have in common, then by the sets themselves."""
