@@ -28,7 +28,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def written(frame: DataFrame, *parts: str, records: int = 10_000) -> DataFrame:
+def written(frame: DataFrame, *parts: str, records: int = 2_000) -> DataFrame:
     """The rows, written as Parquet (in folders by ``parts``) under the checkpoint folder and read again.
 
     The written rows no longer need the shuffles that made them, so these give

@@ -33,7 +33,7 @@ MAIL_ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("data", p
 #: kind 0 is a parcel of documents, k > 0 an answer of round k by shard ``peer``, -k what all batches are told of round k.
 POST = "batch int, kind int, peer int, data binary"
 POST_ARROW = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("peer", pa.int32()), ("data", pa.binary())])
-HELD = 16 << 20  # bytes of rows that a task deals at once
+HELD = 8 << 20  # bytes of rows that a task deals at once
 REFERENCE = 1 << 30  # input from which batches grow
 MOST = 128 << 20  # the largest size that batches grow to
 TURN = 0x9E3779B97F4A7C15  # where the next copy of a row goes

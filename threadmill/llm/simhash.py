@@ -409,8 +409,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
 
     1. fingerprints within ``distance`` bits, by pigeonhole blocks;
     2. nodes that share a shingle of both prefixes (``prefixes``, a condition
-       that no pair at ``similarity`` can miss) with the least node under it,
-       first with one of these for each node, then with the others;
+       that no pair at ``similarity`` can miss) with the least node under it;
     3. under each such shingle, the nodes outside the largest group of linked
        ones with all others.
 
@@ -523,12 +522,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     ends = stands.select(F.col("fp").alias("a"), F.col("head").alias("head_a")), stands.select(F.col("fp").alias("b"), F.col("head").alias("head_b"))
     near = close.distinct().join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     links = verified(equal.unionByName(near))
-    # 2: the least node under a key: of all that a node has, the least one first, then those that it is still apart from
-    for once in (True, False):
-        known = with_root(rows, components(links))
-        least = known.groupBy("key").agg(F.min(F.struct("node", "root", "v")).alias("c"))
-        star = known.join(least, "key").where((F.col("root") != F.col("c.root")) & possible("v", "c.v")).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
-        links = links.unionByName(verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if once else star.distinct()))
+    # 2: the least node under a key
+    known = with_root(rows, components(links))
+    least = known.groupBy("key").agg(F.min(F.struct("node", "root", "v")).alias("c"))
+    star = known.join(least, "key").where((F.col("root") != F.col("c.root")) & possible("v", "c.v"))
+    links = links.unionByName(verified(star.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()))
     # 3: those outside a key's largest group, with all others
     known = written(with_root(rows, components(links)))
     most = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
