@@ -229,7 +229,9 @@ def load(path: str) -> str:
 def encode_decode_digest(docs: DataFrame, definition: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens and the SHA-256 of the ids (little-endian 32-bit) and of the decoded text.
 
-    A null text counts as empty. The definition (a few MB, fixed by the
+    A null text counts as empty: no ids, and the digest of nothing. Repeated
+    rows and equal ids give a row each, an empty table none; texts of any
+    length are encoded whole. The definition (a few MB, fixed by the
     vocabulary) is broadcast once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(definition)
@@ -245,7 +247,11 @@ def encode_decode_digest(docs: DataFrame, definition: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, definition: str) -> DataFrame:
-    """The rows of ``docs`` with a column ids (array of int): the encoding of each text, empty for null."""
+    """The rows of ``docs`` with a column ids (array of int): the encoding of each text, empty for null and empty ones.
+
+    All rows and other columns stay as they are, repeated rows too; a column
+    that was called ids is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(definition)
     rest = [c for c in docs.columns if c != "ids"]
     schema = schema_with(docs, rest, "ids array<int>")

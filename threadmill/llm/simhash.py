@@ -179,8 +179,9 @@ def close_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fp and component_id of each row: the smallest doc_id among all that links of ``distance`` bits reach.
 
-    Texts without words have fingerprint 0 and are linked like any other;
-    repeated rows and ids keep their rows; a component that holds null ids only
+    Null and empty texts have no words, as have texts of white space only;
+    texts without words have fingerprint 0 and are linked like any other;
+    an empty table gives no rows; repeated rows and ids keep their rows; a component that holds null ids only
     has a null component_id.
     """
     ensure_checkpoint_dir(docs.sparkSession)
