@@ -2,9 +2,9 @@
 
 A text becomes the TF-IDF vector of its hashed byte 2- and 3-grams (letters
 lower-cased, all else a space), of unit length. Each language has several
-centroids from spherical k-means over a bounded sample of labelled texts; a
-text takes the language of the centroid of highest cosine, and is rejected if
-even that is too far away. Document frequencies come from all training rows.
+centroids from spherical k-means; a text takes the language of the centroid of
+highest cosine, and is rejected if even that is too far away. Document
+frequencies, centroids and floors come from all training rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import U64, doc_slices, give_back, hash_share, mixed, schema_with,
 BITS = 12
 SIZE = 1 << BITS
 UNKNOWN = "und"
+UNIT = 1 << 15  # parts of one in a vector that is summed: sums of ROWS rows are exact in single precision
+BLOCK = 64  # sums in a row of a table
 ROWS = 256  # rows whose dense vectors are held at once
 #: Classes of length, each up to the next: about so many letters, half the number of grams. Shorter texts are not judged by distance.
 LADDER = 2 ** np.arange(4, 14)
@@ -76,67 +78,134 @@ class Centroids:
     floor: np.ndarray  # centroids x classes of length: the cosine below which a text is rejected
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts.astype(np.float32)) * self.idf
+        x = np.log(counts.astype(np.float32) + 1) * self.idf
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         return x / np.where(norm > 0, norm, 1)[:, None]
 
 
-def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; starts with the mean direction's farthest points, so that it is the same every time."""
-    unit = lambda c: c / np.maximum(np.linalg.norm(c, axis=-1, keepdims=True), 1e-12)
-    start = [int(np.argmax(x @ unit(x.mean(0))))]
-    nearest = x @ x[start[0]]
-    for _ in range(min(k, len(x)) - 1):
-        start.append(int(np.argmin(nearest)))
-        nearest = np.maximum(nearest, x @ x[start[-1]])
-    c = x[start]
-    for _ in range(rounds):
-        own = np.argmax(x @ c.T, axis=1)
-        c = unit(np.stack([x[own == i].mean(0) if (own == i).any() else c[i] for i in range(len(c))]))
-    return c
-
-
 def length_class(grams: np.ndarray) -> np.ndarray:
     """The class in LADDER of texts with so many grams; -1 for those too short to judge."""
     return np.searchsorted(LADDER, grams / 2, "right") - 1
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From each text one piece for each class of length that it reaches, of a length and at a place that look random: bytes, offsets, owners."""
+    """Each text cut from end to end by halves, into a piece of each shorter class of length than its own and two of the shortest, and whole: bytes, offsets, owners.
+
+    Texts longer than all classes are cut in equal parts first.
+    """
     out, owner = [], []
     for d, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        draw = np.random.default_rng([high - low, int(data[low:high].sum())])
-        for size in LADDER.tolist():
-            if high - low < size:
-                break
-            n = int(draw.integers(size, min(2 * size, high - low) + 1))
-            at = low + int(draw.integers(0, high - low - n + 1))
-            out.append(data[at : at + n])
-            owner.append(d)
+        if high - low < LADDER[0]:
+            continue
+        turned = zlib.crc32(data[low:high].tobytes()) >> 1 & 1  # whether the shorter pieces come last
+        parts = (high - low) // int(2 * LADDER[-1]) + 1
+        ends = [low + (high - low) * i // parts for i in range(parts + 1)]
+        before = len(out)
+        for a, b in zip(ends, ends[1:]):
+            top = int(np.searchsorted(LADDER, b - a, "right")) - 1
+            cuts = [0, *((b - a) >> k for k in range(top, -1, -1))] if top else []
+            cuts = [b - x for x in reversed(cuts)] if turned else [a + x for x in cuts]
+            out += [data[x:y] for x, y in zip(cuts, cuts[1:])]
+        out.append(data[low:high])
+        owner += [d] * (len(out) - before)
     sizes = np.array([len(x) for x in out], np.int64)
-    return np.concatenate([np.zeros(0, np.uint8), *out]), np.concatenate(([0], np.cumsum(sizes))), np.array(owner, np.int64)
+    return np.concatenate([np.zeros(0, np.uint8), *out]), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.array(owner, np.int64)
+
 
+def _halves(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return np.array([zlib.crc32(data[a:b].tobytes()) & 1 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int64)
 
-def _nearest(vectors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    return (vectors @ matrix.T).max(1) if len(matrix) else np.zeros(len(vectors), np.float32)
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-12)
 
-def fit(docs: DataFrame, train: Column, per_language: int = 1500, clusters: int = 4, slack: float = 1.0, seed: int = 4, max_languages: int = 1000) -> Centroids | None:
-    """Learns from the rows where ``train`` holds and lang is not null; None if there are none.
 
-    Document frequencies are over all those rows. ``per_language`` bounds the
-    sample (by a hash of doc_id) that the centroids are fitted on; a language
-    with fewer rows gives all. A text is rejected below ``slack`` times the
-    cosine that all but a thousandth of its language's held-out pieces of its
-    class of length reach: each half of the sample is measured, on the
-    executors, by centroids of the other half. A class of fewer than 1,000
-    pieces, too few to show a thousandth, is judged with those of the next
-    shorter classes. Null and empty texts teach nothing; repeated rows count
-    as often as they stand. More than ``max_languages`` different labels are
-    an error: the model is broadcast, and they bound it.
+def _group_sums(rows: DataFrame, idf: np.ndarray, state: dict) -> dict:
+    """For each (language, half) the sums of its vectors by group; a vector's group is the highest of its products with ``state``'s directions, less their offsets.
+
+    Vectors are taken in whole parts of 1 / UNIT, so that sums are the same in any order. A group without rows sums to zero.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((idf, state))
+    names = ["lang", "half", "c", "block", *(f"s{k}" for k in range(BLOCK))]
+
+    def run(batches):
+        idf_, directions = shared.value
+        scale, total = Centroids([], np.zeros((0, SIZE), np.float32), idf_, np.zeros((0, 0))), {}
+        for some, data, offsets in doc_slices(batches, rows=ROWS):
+            x = scale.vectors(gram_counts(data, offsets))
+            for key, own in _by_key(some.column("lang").to_pylist(), _halves(data, offsets)).items():
+                if directions is None:
+                    group, k = np.zeros(len(own), np.int64), 1
+                elif key in directions:
+                    towards, less = directions[key]
+                    group, k = np.argmax(x[own] @ towards.T - less, axis=1), len(towards)
+                else:
+                    continue
+                here = (group == np.arange(k)[:, None]).astype(np.float32) @ np.rint(x[own] * UNIT)
+                total[key] = total.get(key, 0) + here.astype(np.int64)
+        for (lang, half), sums in total.items():
+            c, block = (v.ravel() for v in np.mgrid[: len(sums), : SIZE // BLOCK])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(np.full(len(c), half)), pa.array(c), pa.array(block), *(pa.array(v) for v in sums.reshape(-1, BLOCK).T.copy())], names=names)
+        give_back()
+
+    summed = rows.mapInArrow(run, "lang string, " + ", ".join(f"{n} long" for n in names[1:])).groupBy(*names[:4]).agg(*(F.sum(n).alias(n) for n in names[4:])).toArrow()
+    out: dict = {}
+    if summed.num_rows:
+        values = np.stack([summed.column(n).to_numpy() for n in names[4:]], axis=1)
+        half, c, block = (summed.column(n).to_numpy() for n in names[1:4])
+        for lang, h, c_, b, v in zip(summed.column("lang").to_pylist(), half.tolist(), c.tolist(), block.tolist(), values, strict=True):
+            out.setdefault((lang, h), {}).setdefault(c_, np.zeros((SIZE // BLOCK, BLOCK)))[b] = v
+    return {key: {c_: v.ravel() for c_, v in groups.items() if v.any()} for key, groups in out.items()}
+
+
+def _by_key(names: list, halves: np.ndarray) -> dict[tuple[str, int], np.ndarray]:
+    """The rows of each (language, half)."""
+    out: dict = {}
+    for i, key in enumerate(zip(names, halves.tolist(), strict=True)):
+        out.setdefault(key, []).append(i)
+    return {key: np.array(own) for key, own in out.items()}
+
+
+def _spherical_means(rows: DataFrame, idf: np.ndarray, clusters: int, rounds: int, seed: int) -> dict:
+    """Centroids of each (language, half) from all its rows: groups by fixed random directions from the mean, then rounds of k-means."""
+    mean = {key: _unit(groups[0]) for key, groups in _group_sums(rows, idf, None).items() if groups}
+    random = np.random.default_rng(seed).normal(size=(clusters, SIZE)).astype(np.float32)
+    state = {key: (random, random @ m.astype(np.float32)) for key, m in sorted(mean.items())}
+    centroids: dict = {}
+    for _ in range(rounds + 1):
+        if not state:
+            break
+        found, moved = _group_sums(rows, idf, state), 0.0
+        for key in state:
+            old = centroids.get(key)
+            size = len(old) if old is not None else clusters
+            new = np.stack([_unit(found[key][c]) if c in found[key] else old[c] for c in range(size) if c in found[key] or old is not None])
+            moved = max(moved, 1.0 if old is None else 1 - float((old * new).sum(1).min()))
+            centroids[key] = new
+        if moved < 1e-5:
+            break
+        state = {key: (c.astype(np.float32), np.zeros(len(c), np.float32)) for key, c in centroids.items()}
+    return {key: c.astype(np.float32) for key, c in centroids.items()}
+
+
+def fit(docs: DataFrame, train: Column, per_language: int | None = None, clusters: int = 4, slack: float = 1.0, seed: int = 4, max_languages: int = 1000, rounds: int = 4) -> Centroids | None:
+    """Learns from all rows where ``train`` holds and lang is not null; None if there are none.
+
+    Each half of a language's rows (by a hash of the text) gives ``clusters``
+    centroids by ``rounds`` rounds of spherical k-means on the executors; the
+    model holds those of both. A text is rejected below ``slack`` times the
+    cosine that all but a thousandth of its language's pieces of its class of
+    length reach, each half measured by the centroids of the other. Pieces are
+    the texts whole, and once more cut from end to end by halves. A class of fewer than 1,000 pieces, too few to show a
+    thousandth, is judged with those of the next shorter classes. Null and
+    empty texts teach nothing; repeated rows count as often as they stand.
+    More than ``max_languages`` different labels are an error: the model is
+    broadcast, and they bound it. A caller who wants less than the whole may
+    give ``per_language``, about so many rows a language for all but the
+    document frequencies; none is left out unless asked.
     """
     spark = docs.sparkSession
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
     if not per:
         return None
@@ -155,84 +224,56 @@ def fit(docs: DataFrame, train: Column, per_language: int = 1500, clusters: int
     for r in rows.select("text").mapInArrow(frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         df[r["gram"] + 1] = r["n"]
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 0.1).astype(np.float32)
-
-    def halves(data, offsets):
-        return np.array([zlib.crc32(data[a:b].tobytes()) & 1 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int8)
-
-    def sample(batches):
-        for some, data, offsets in doc_slices(batches, rows=ROWS):
-            counts = gram_counts(data, offsets)
-            at = [np.flatnonzero(c) for c in counts]
-            raw = [pa.array([x.tobytes() for x in column], pa.binary()) for column in ([a.astype(np.uint16) for a in at], [c[a].astype(np.uint32) for c, a in zip(counts, at, strict=True)])]
-            yield pa.RecordBatch.from_arrays([some.column("lang"), pa.array(halves(data, offsets)), *raw], names=["lang", "half", "at", "n"])
-        give_back()
-
-    share = F.create_map(*(x for lang, n in per.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))))
-    picked = rows.where(hash_share("doc_id", seed) < share[F.col("lang")]).select("lang", "text")
-    table = picked.mapInArrow(sample, "lang string, half byte, at binary, n binary").toArrow()
-    langs, half = np.array(table.column("lang").to_pylist(), object), table.column("half").to_numpy()
-    at, n = (table.column(c).combine_chunks() for c in ("at", "n"))
-    model = Centroids([], np.zeros((0, SIZE), np.float32), idf, np.zeros((0, len(LADDER))))
-
-    def vectors(own):
-        x = np.zeros((len(own), SIZE), np.float32)
-        for i, r in enumerate(own.tolist()):
-            x[i, np.frombuffer(at[r].as_py(), np.uint16)] = np.frombuffer(n[r].as_py(), np.uint32)
-        x = model.vectors(x)
-        return x[x.any(1)]
-
-    parts, known, by_half = [], [], {}
-    for lang in sorted(per):
-        own = np.flatnonzero(langs == lang)
-        x = vectors(own)
-        if not len(x):
-            continue
-        c = _clusters(x, clusters)
-        parts.append(c)
-        known.append(lang)
-        for h in (0, 1):
-            x = vectors(own[half[own] != h])
-            by_half[lang, h] = _clusters(x, clusters) if len(x) else c
-    if not parts:
+    if per_language is not None:
+        share = F.create_map(*(x for lang, n in per.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))))
+        rows = rows.where(hash_share("doc_id", seed) < share[F.col("lang")])
+    rows = rows.select("lang", "text")
+    centroids = _spherical_means(rows, idf, clusters, rounds, seed)
+    if not centroids:
         return None
-    model.languages = [lang for lang, c in zip(known, parts, strict=True) for _ in c]
-    model.matrix = np.concatenate(parts).astype(np.float32)
-    shared = spark.sparkContext.broadcast((idf, by_half))
+    shared = spark.sparkContext.broadcast((idf, centroids))
 
     def measure(batches):
-        """Of each piece its language, class of length and cosine with the centroids of the other half."""
-        idf_, centroids = shared.value
-        scale = Centroids([], np.zeros((0, SIZE), np.float32), idf_, np.zeros((0, 0)))
+        """How many pieces of each language and class of length have which cosine, in whole 65,536ths, with the centroids of the other half."""
+        idf_, known = shared.value
+        scale, total = Centroids([], np.zeros((0, SIZE), np.float32), idf_, np.zeros((0, 0))), {}
         for some, data, offsets in doc_slices(batches, rows=ROWS):
-            which, names = halves(data, offsets), some.column("lang").to_pylist()
+            names, which = some.column("lang").to_pylist(), _halves(data, offsets)
             part, bounds, owner = pieces(data, offsets)
             for a, b in slices(bounds, 1 << 20, ROWS):
                 counts = gram_counts(part[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-                x, own = scale.vectors(counts), owner[a:b]
-                cosine = np.zeros(b - a, np.float32)
-                for key in {(names[d], int(which[d])) for d in own.tolist()}:
-                    here = np.array([(names[d], int(which[d])) == key for d in own.tolist()])
-                    cosine[here] = _nearest(x[here], centroids.get(key, np.zeros((0, SIZE), np.float32)))
-                yield pa.RecordBatch.from_arrays([some.column("lang").take(pa.array(own)), pa.array(length_class(counts.sum(1)).astype(np.int32)), pa.array(cosine.astype(float))], names=["lang", "k", "cosine"])
+                x, size = scale.vectors(counts), length_class(counts.sum(1))
+                for (lang, half), own in _by_key([names[d] for d in owner[a:b].tolist()], which[owner[a:b]]).items():
+                    matrix = known.get((lang, 1 - half), known.get((lang, half)))
+                    if matrix is not None:
+                        steps = np.clip((x[own] @ matrix.T).max(1) * 65536, 0, 65536).astype(np.int64)
+                        code, n = np.unique(size[own][size[own] >= 0] << 20 | steps[size[own] >= 0], return_counts=True)
+                        for key, more in zip(code.tolist(), n.tolist(), strict=True):
+                            total[lang, key] = total.get((lang, key), 0) + more
+        codes = np.array([key for _, key in total], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in total], pa.string()), pa.array(codes >> 20), pa.array(codes & 0xFFFFF), pa.array(list(total.values()), pa.int64())], names=["lang", "k", "cosine", "n"])
         give_back()
 
-    measured = picked.mapInArrow(measure, "lang string, k int, cosine double").toArrow()  # at most one number for each class of each text in the sample
-    m_lang, m_k, m_cosine = np.array(measured.column("lang").to_pylist(), object), measured.column("k").to_numpy(), measured.column("cosine").to_numpy()
-
-    def floor_of(lang):
-        got = [m_cosine[(m_lang == lang) & (m_k == k)] for k in range(len(LADDER))]
+    def floors(table: pa.Table) -> pa.Table:
+        k, cosine, n = (table.column(c).to_numpy() for c in ("k", "cosine", "n"))
         floor = []
-        for k in range(len(got)):
-            pool, low = got[k], k
-            while len(pool) < 1000 and low:
+        for top in range(len(LADDER)):
+            low = top
+            while n[(k >= low) & (k <= top)].sum() < 1000 and low:
                 low -= 1
-                pool = np.concatenate((pool, got[low]))
-            floor.append(slack * float(np.quantile(pool, 0.001)) if len(pool) else 0.0)
-        return floor
-
-    floors = {lang: floor_of(lang) for lang in known}
-    model.floor = np.array([floors[lang] for lang in model.languages])
-    return model
+            own = np.flatnonzero((k >= low) & (k <= top))
+            own = own[np.argsort(cosine[own])]
+            until = np.cumsum(n[own])
+            place = 0.001 * (until[-1] - 1) if len(own) else 0.0
+            a, b = (cosine[own][np.searchsorted(until, x, "right")] if len(own) else 0 for x in (int(place), int(np.ceil(place))))
+            floor.append(slack * float(a + (b - a) * (place - int(place))) / 65536)
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "floor": [floor]}, schema=pa.schema([("lang", pa.string()), ("floor", pa.list_(pa.float64()))]))
+
+    measured = rows.mapInArrow(measure, "lang string, k long, cosine long, n long").groupBy("lang", "k", "cosine").agg(F.sum("n").alias("n"))
+    floor_of = {r["lang"]: r["floor"] for r in measured.groupBy("lang").applyInArrow(floors, "lang string, floor array<double>").collect()}
+    order = sorted(centroids)
+    languages = [lang for lang, half in order for _ in centroids[lang, half]]
+    return Centroids(languages, np.concatenate([centroids[key] for key in order]), idf, np.array([floor_of.get(lang, [0.0] * len(LADDER)) for lang in languages]))
 
 
 def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
