@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
-from .common import doc_slices, schema_with
+from .common import KEPT, doc_slices, forget_tables, give_back, schema_with
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 MAX_ENTRIES = 150_000  # words of each of two generations, and fragments
@@ -210,14 +210,16 @@ def _lower(text: str) -> str:
 
 
 _made: dict[str, ForcedBoundaryBpe] = {}
+KEPT.append(_made)
 
 
 def tokenizer_of(definition: str) -> ForcedBoundaryBpe:
     """One encoder per worker and definition."""
     key = hashlib.sha256(definition.encode()).hexdigest()
     if key not in _made:
-        _made.clear()
+        forget_tables()  # a step that begins here needs none of an earlier one's
         _made[key] = ForcedBoundaryBpe(definition)
+        give_back()
     return _made[key]
 
 
@@ -264,6 +266,7 @@ def encode(docs: DataFrame, definition: str) -> DataFrame:
             packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, packed], names=[*rest, "ids"])
         bpe.forget()
+        give_back()
 
     return docs.select(*rest).mapInArrow(run, schema)
 

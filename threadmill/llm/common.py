@@ -30,6 +30,8 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: larger than any other
 
 _powers: dict[int, np.ndarray] = {}
+#: Tables that a worker keeps from batch to batch.
+KEPT: list[dict] = [_powers]
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
@@ -66,6 +68,13 @@ def give_back() -> None:
         _trim(0)
 
 
+def forget_tables() -> None:
+    """Drops what earlier steps kept in this worker for their next batches; whoever needs a table again makes it anew."""
+    for table in KEPT:
+        table.clear()
+    give_back()
+
+
 def crc_part(modulus: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, U64, doc_slices, free_name, gram_hashes, owners, schema_with, set_aside, word_hashes, words
+from .common import ALNUM, KEPT, LOWER, U64, doc_slices, free_name, gram_hashes, owners, schema_with, set_aside, word_hashes, words
 from .components import written
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -37,6 +37,7 @@ def item_windows(text: str | None, width: int) -> list[bytes]:
 
 
 _made: dict[str, WindowSet] = {}
+KEPT.append(_made)
 
 
 def window_set(name: str, windows: dict[bytes, list[str]]) -> WindowSet:
