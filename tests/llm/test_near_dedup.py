@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from threadmill.llm import simhash
 
 
@@ -88,3 +90,12 @@ def test_repeats_do_not_hide_a_link(spark):
     body, line = draw(rng, 200), draw(rng, 8)
     rows = [(1, " ".join(body + line)), (2, " ".join(body + line * 10)), (3, " ".join(draw(rng, 200)))]
     assert kept(spark, rows) == survivors(rows) == [1, 3]
+
+
+def test_pairs_meet_under_their_first_key_only():
+    """Entries know the keys before them in their owner's order, so that a pair is left out wherever it shares an earlier one."""
+    key, owner, place = np.array([7, 5, 9, 5, 9, 7], np.uint64), np.array([0, 0, 0, 1, 1, 1]), np.array([4, 0, 2, 1, 3, 8])
+    one, two, three = (x.to_pylist() for x in simhash.keys_before(key, owner, place))
+    assert one == [9, None, 5, None, 5, 9] and two == [5, None, None, None, None, 5] and three == [None] * 6
+    assert [x.to_pylist() for x in simhash.keys_before(key[:0], owner[:0], place[:0])] == [[], [], []]
+    assert simhash.keys_before(key[:1], owner[:1], place[:1])[2].to_pylist() == [None]

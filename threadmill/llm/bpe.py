@@ -53,10 +53,12 @@ class ForcedBoundaryBpe:
     by rank with the suffix glued to a word's last byte; special tokens are
     recognised in the raw text. The merges inside a fragment are the
     library's; one model knows the suffix (a word's last fragment), the other
-    does not (the fragments before it).
+    does not (the fragments before it). Without ``texts`` no decoded texts are
+    kept, which halves the tables, and ``digests`` cannot be asked for.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, texts: bool = True):
+        self.decodes = texts
         spec = json.loads(definition)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -114,7 +116,7 @@ class ForcedBoundaryBpe:
         inner, last, id_bytes, pieces = self.inner.tokenize, self.last.tokenize, self.id_bytes, self.pieces
         for f in set(some).difference(known):
             ids = [t.id for t in (inner(f[:-1]) if f[-1] == " " else last(f))]
-            known[f] = b"".join([id_bytes[i] for i in ids]), " ".join([pieces[i] for i in ids])
+            known[f] = b"".join([id_bytes[i] for i in ids]), " ".join([pieces[i] for i in ids]) if self.decodes else ""
         return [known[f] for f in some]
 
     def normalise(self, text: str) -> str:
@@ -152,10 +154,13 @@ class ForcedBoundaryBpe:
         missing = set().union(*found).difference(ids)
         again = [s for s in missing if s in self.old_ids]
         ids.update((s, self.old_ids[s]) for s in again)
-        texts.update((s, self.old_texts[s]) for s in again)
+        if self.decodes:
+            texts.update((s, self.old_texts[s]) for s in again)
         missing.difference_update(again)
         for s in [s for s in missing if s.__class__ is int]:  # special tokens
-            ids[s], texts[s] = self.id_bytes[s], self.pieces[s]
+            ids[s] = self.id_bytes[s]
+            if self.decodes:
+                texts[s] = self.pieces[s]
             missing.remove(s)
         if not missing:
             return
@@ -163,12 +168,11 @@ class ForcedBoundaryBpe:
         flat, counts = self.fragments_of(some)
         done, at = self.encode_fragments(flat), 0
         for s, n in zip(some, counts, strict=True):
-            if n == 1:
-                ids[s], texts[s] = done[at]
-            else:
-                parts = done[at : at + n]
-                ids[s], texts[s] = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
+            parts = done[at : at + n]
             at += n
+            ids[s] = parts[0][0] if n == 1 else b"".join([p[0] for p in parts])
+            if self.decodes:
+                texts[s] = parts[0][1] if n == 1 else " ".join([p[1] for p in parts if p[1]])
 
     def forget(self) -> None:
         """Empties the tables; workers live on after a task, and other operators need the memory."""
@@ -213,12 +217,12 @@ _made: dict[str, ForcedBoundaryBpe] = {}
 KEPT.append(_made)
 
 
-def tokenizer_of(definition: str) -> ForcedBoundaryBpe:
-    """One encoder per worker and definition."""
-    key = hashlib.sha256(definition.encode()).hexdigest()
+def tokenizer_of(definition: str, texts: bool = True) -> ForcedBoundaryBpe:
+    """One encoder per worker, definition and need of decoded texts."""
+    key = f"{hashlib.sha256(definition.encode()).hexdigest()} {texts}"
     if key not in _made:
         forget_tables()  # a step that begins here needs none of an earlier one's
-        _made[key] = ForcedBoundaryBpe(definition)
+        _made[key] = ForcedBoundaryBpe(definition, texts)
         give_back()
     return _made[key]
 
@@ -259,7 +263,7 @@ def encode(docs: DataFrame, definition: str) -> DataFrame:
     schema = schema_with(docs, rest, "ids array<int>")
 
     def run(batches):
-        bpe = tokenizer_of(shared.value)
+        bpe = tokenizer_of(shared.value, texts=False)
         for batch, _, _ in doc_slices(batches):
             ids = bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)

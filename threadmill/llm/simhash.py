@@ -10,7 +10,9 @@ its size. Every link is verified by its Hamming distance.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, SOLID, U64, buffers, doc_slices, gram_hashes, hash_share, ids_of, mixed, numbered_words, ranges, safe_hashes, schema_with, set_aside, slices, words
+from .common import BASE, LOWER, SOLID, U64, buffers, doc_slices, give_back, gram_hashes, hash_share, ids_of, mixed, numbered_words, ranges, safe_hashes, schema_with, set_aside, slices, words
 from .components import components, ensure_checkpoint_dir, written
 from .rounds import Rounds, filled, gathered, pack, shard_cuts
 
@@ -313,6 +315,20 @@ def has_partner(key: np.ndarray, size: np.ndarray, place: np.ndarray, similarity
 
 
 MARKS = tuple(f"m{k}" for k in range(1, 9))
+BEFORE = ("b1", "b2", "b3")
+
+
+def keys_before(key: np.ndarray, owner: np.ndarray, place: np.ndarray, reach: int = len(BEFORE)) -> list[pa.Array]:
+    """Of each entry the keys that stand one, two .. places before it among its owner's entries; null where there is none."""
+    order = np.lexsort((place, owner))
+    out = []
+    for back in range(1, reach + 1):
+        none, value = np.ones(len(key), bool), np.zeros(len(key), np.int64)
+        later, earlier = order[back:], order[:-back]
+        none[later] = owner[later] != owner[earlier]
+        value[later] = key[earlier].view(np.int64)
+        out.append(pa.array(value, mask=none))
+    return out
 
 
 def slot_marks(sets: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -349,6 +365,7 @@ def frequent_shingles(texts: DataFrame, share: float, shingle: int, most: int =
     def hashes_only(batches):
         for _, data, offsets in doc_slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(*set_hashes(data, offsets, shingle))[0].view(np.int64))], names=["h"])
+        give_back()
 
     some = texts.where(hash_share("text", 6) < share).mapInArrow(hashes_only, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").checkpoint()
     left, least = most, 3
@@ -395,9 +412,9 @@ class _Nodes:
         return self._sets[ranges(begin, size)], np.concatenate(([0], np.cumsum(size)))
 
 
-#: what 0: a node of a batch with its least doc and that text's digest; 1: a node under a key that another node has too; 2: a node with such keys, its fingerprint (key), its set and how this spreads over slots.
-PARTS = f"what int, batch int, key long, node binary, n int, place int, {', '.join(f'{m} long' for m in MARKS)}, doc long, spread binary, data binary"
-_PARTS_ARROW = pa.schema([("what", pa.int32()), ("batch", pa.int32()), ("key", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("place", pa.int32()), *((m, pa.int64()) for m in MARKS), ("doc", pa.int64()), ("spread", pa.binary()), ("data", pa.binary())])
+#: what 0: a node of a batch with its least doc and that text's digest; 1: a node under a key that another node has too, and its keys before; 2: a node with such keys, its fingerprint (key), its set, the ranges that this is in and how it spreads over slots.
+PARTS = f"what int, batch int, key long, node binary, n int, place int, {', '.join(f'{m} long' for m in BEFORE + MARKS)}, doc long, spread binary, data binary"
+_PARTS_ARROW = pa.schema([("what", pa.int32()), ("batch", pa.int32()), ("key", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("place", pa.int32()), *((m, pa.int64()) for m in BEFORE + MARKS), ("doc", pa.int64()), ("spread", pa.binary()), ("data", pa.binary())])
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sample: int = 10_000, keep: tuple[str, ...] = ("doc_id",), distance: int = 4, batch_bytes: int = 4 << 20) -> DataFrame:
@@ -414,6 +431,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     3. under each such shingle, the nodes outside the largest group of linked
        ones with all others.
 
+    A pair that shares several such shingles needs to meet under the first one
+    only: a shingle goes whose nodes all have the same one just before it, and
+    under the others a pair is left out that shares one of the ``BEFORE``.
     No link is lost, whatever the size of a group. ``sample`` texts tell the
     frequent shingles, which stand last in the prefixes' order; they bear on
     speed only. Null texts and texts without words have the empty set, and are
@@ -469,7 +489,6 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
         involved = np.unique(owner)
         sets, first = b.sets(own[involved])
         fp = fingerprint_arrays(sets, np.diff(first))[:, 0]
-        marks = [np.concatenate((np.zeros(len(b.row), np.int64), x[np.searchsorted(involved, owner)], np.zeros(len(involved), np.int64))) for x in slot_marks(sets, first)]
         spread, packed = spreads(sets, first), [pack_set(sets[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
         n, m, k = len(b.row), len(key), len(involved)
         names = np.array(b.digest, object)
@@ -477,7 +496,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
         columns = {
             "what": np.repeat(np.arange(3, dtype=np.int32), (n, m, k)), "batch": np.full(n + m + k, number, np.int32), "key": np.concatenate((np.zeros(n, U64), key, fp)).view(np.int64),
             "node": pa.array(np.concatenate((names, names[own[owner]], names[own[involved]])).tolist(), pa.binary()), "n": np.concatenate((np.zeros(n), size, np.diff(first))).astype(np.int32),
-            "place": np.concatenate((np.zeros(n), place, np.zeros(k))).astype(np.int32), **dict(zip(MARKS, marks, strict=True)), "doc": np.concatenate((b.doc[b.row], np.zeros(m + k, np.int64))),
+            "place": np.concatenate((np.zeros(n), place, np.zeros(k))).astype(np.int32), **{c: pa.chunked_array([none(n, pa.int64()), x, none(k, pa.int64())]) for c, x in zip(BEFORE, keys_before(key, owner, place), strict=True)},
+            **{c: pa.chunked_array([none(n + m, pa.int64()), pa.array(x)]) for c, x in zip(MARKS, slot_marks(sets, first), strict=True)}, "doc": np.concatenate((b.doc[b.row], np.zeros(m + k, np.int64))),
             "spread": pa.chunked_array([none(n + m, pa.binary()), pa.array(spread, pa.binary())]), "data": pa.chunked_array([pa.array([b.text[r] for r in b.row.tolist()], pa.binary()), none(m, pa.binary()), pa.array(packed, pa.binary())]),
         }
         return pa.table({c: columns[c] for c in _PARTS_ARROW.names}, schema=_PARTS_ARROW)
@@ -485,14 +505,20 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     first = rounds.answer(1, rounds.ask(ask_owners), answer_owners)
     second = rounds.answer(2, rounds.ask(ask_keys, first), answer_keys)
     parts = written(rounds.rows_of(parts_of, PARTS, first, second), "what")
-    nodes, rows = parts.where("what = 0").select("batch", "node", "doc", "data"), parts.where("what = 1").select("key", "node", F.struct("n", "place", *MARKS).alias("v"))
+    nodes, every = parts.where("what = 0").select("batch", "node", "doc", "data"), parts.where("what = 1").select("key", "node", "n", "place", *BEFORE)
     sets = parts.where("what = 2").select("node", F.col("key").alias("fp"), "spread", "data")
+    # whoever meets under a key that all its nodes have the same key before meets under that one
+    alike = (F.count("*") == F.count(BEFORE[0])) & (F.min(BEFORE[0]) == F.max(BEFORE[0]))
+    needed = every.groupBy("key").agg(F.coalesce(alike, F.lit(False)).alias("alike")).where("NOT alike").select("key")
+    marked = every.join(needed, "key", "left_semi").join(parts.where("what = 2").select("node", *MARKS), "node")
+    rows = written(marked.select("key", "node", F.struct("n", "place", *MARKS).alias("v"), F.struct(*BEFORE).alias("before")))
 
     def test(enough):
         def run(batches):
             for batch in batches:
                 ok = [enough(p, q) for p, q in zip(*(batch.column(c).to_pylist() for c in ("x", "y")), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            give_back()
 
         return run
 
@@ -513,6 +539,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
         own = lambda p, q: sum(F.bit_count(p[m].bitwiseAND(F.bitwise_not(q[m]))) for m in MARKS)
         return (F.least(x["n"] - x["place"], y["n"] - y["place"]) >= shared) & (F.least(x["n"] - own(x, y), y["n"] - own(y, x)) >= shared)
 
+    def met(a: str, b: str):
+        """Whether a pair certainly shares an earlier key."""
+        return F.coalesce(reduce(or_, (F.col(f"{a}.{x}") == F.col(f"{b}.{y}") for x in BEFORE for y in BEFORE)), F.lit(False))
+
     def with_root(frame: DataFrame, roots: DataFrame) -> DataFrame:
         return frame.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -524,15 +554,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     near = close.distinct().join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     links = verified(equal.unionByName(near))
     # 2: the least node under a key
-    known = with_root(rows, components(links))
+    known = with_root(rows.drop("before"), components(links))
     least = known.groupBy("key").agg(F.min(F.struct("node", "root", "v")).alias("c"))
     star = known.join(least, "key").where((F.col("root") != F.col("c.root")) & possible("v", "c.v"))
     links = links.unionByName(verified(star.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()))
     # 3: those outside a key's largest group, with all others
     known = written(with_root(rows, components(links)))
     most = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    apart = known.join(most, "key").where("root <> most").select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "v", "root")))
-    crossed = known.join(apart, "key").where((F.col("root") != F.col("root_b")) & possible("v", "v_b"))
+    apart = known.join(most, "key").where("root <> most").select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "v", "before", "root")))
+    crossed = known.join(apart, "key").where((F.col("root") != F.col("root_b")) & possible("v", "v_b") & ~met("before", "before_b"))
     pairs = crossed.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
     roots = components(links.unionByName(verified(pairs)))
     # every batch learns its nodes' roots, and which of them stay
