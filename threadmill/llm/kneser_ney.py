@@ -13,17 +13,19 @@ hashed. The model is never gathered in one place.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
-from .common import LOWER, U64, buffers, free_name, mixed, numbered_words, safe_hashes, schema_with, slices, words
+from .common import LONG, LOWER, U64, buffers, free_name, mixed, numbered_words, schema_with, slices, word_hashes, words, xxh64_of
 from .rounds import Rounds, filled, gathered, pack, shard_cuts
 
 END, START = U64(0x9B97F4A7C1500001), U64(0x2545F4914F6CDD1D)  # hashes of the two marks
 SLICE = 1 << 20
-CONTEXT = ("total", "one", "two", "more")
+CONTEXT = ("over", "one", "two", "more")  # how many n-grams of a context are counted once, twice and more often, and the sum of what these are counted over three
 
 
 def narrow(values: np.ndarray) -> np.ndarray:
@@ -35,9 +37,25 @@ class Grams:
     """Distinct n-grams in order of their hashes, the context's bits before those of the last word."""
 
     def __init__(self, key: np.ndarray, context: int):
-        self.key, self.example, self.of = np.unique(key, return_index=True, return_inverse=True)
+        self.order = np.argsort(key)
+        ordered = key[self.order]
+        self.new = np.ones(len(key), bool)
+        self.new[1:] = ordered[1:] != ordered[:-1]
+        self.key = ordered[self.new]
+        self.example = np.minimum.reduceat(self.order, np.flatnonzero(self.new)) if len(key) else self.order  # the first of each
         self.context = context
 
+    @cached_property
+    def of(self) -> np.ndarray:
+        """Of each n-gram that was given its place among the distinct ones."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.new) - 1
+        return out
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """The sum of the weights of those that were given, for each distinct one."""
+        return np.add.reduceat(weight[self.order].astype(np.int64), np.flatnonzero(self.new)) if len(self.key) else np.zeros(0, np.int64)
+
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct contexts, in order, and each n-gram's."""
         return np.unique(cut_to(self.key, self.context), return_inverse=True)
@@ -48,6 +66,27 @@ def cut_to(key: np.ndarray, bits: int) -> np.ndarray:
     return key >> U64(64 - bits) << U64(64 - bits)
 
 
+def pack_grams(key: np.ndarray, context: int, **more: np.ndarray) -> bytes:
+    """Distinct n-grams in order of their hashes, each context once, as the steps from one context, and from one last word of a context, to the next."""
+    last = key & U64((1 << 64 - context) - 1)
+    head = key >> U64(64 - context)
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = head[1:] != head[:-1]
+    step = last.copy()
+    step[1:] -= np.where(fresh[1:], U64(0), last[:-1])
+    return pack(head=narrow(np.diff(head[fresh], prepend=U64(0))), fresh=np.packbits(fresh), step=narrow(step), **more)
+
+
+def unpacked_grams(letter: dict[str, np.ndarray], context: int) -> np.ndarray:
+    """The n-grams of ``pack_grams``."""
+    fresh = np.unpackbits(letter["fresh"], count=len(letter["step"])).astype(bool)
+    run = np.cumsum(fresh) - 1
+    last = np.cumsum(letter["step"], dtype=U64)
+    begin = np.flatnonzero(fresh)
+    before = last[begin] - letter["step"][begin].astype(U64)
+    return np.cumsum(letter["head"], dtype=U64)[run] << U64(64 - context) | (last - before[run])
+
+
 def layout(k: int, size: int) -> tuple[int, int]:
     """Bits of the context and of the last word in the 64-bit hash of an n-gram of k tokens, for an input of so many bytes: a larger input has more contexts to tell apart."""
     context = min(max(size, 1).bit_length() + 6, 42) if k == 2 else min(max(size, 1).bit_length() + 10, 46)
@@ -55,6 +94,15 @@ def layout(k: int, size: int) -> tuple[int, int]:
     return context, 64 - context
 
 
+def distinct_hashes(distinct: pa.Array) -> np.ndarray:
+    """``safe_hashes`` of distinct words, from their own bytes alone."""
+    data, offsets = buffers(distinct)
+    out = word_hashes(data, offsets[:-1], offsets[1:])
+    long = np.flatnonzero(np.diff(offsets) > LONG)
+    out[long] = xxh64_of(distinct.take(pa.array(long)))
+    return out
+
+
 class Tokens:
     """A batch's texts as tokens, each text's words (told apart by their bytes) and then one end."""
 
@@ -73,7 +121,7 @@ class Tokens:
         inner = np.ones(len(self.word), bool)
         inner[self.first[1:] - 1] = False
         self.word[inner] = number
-        self.hash = np.concatenate((safe_hashes(data, starts, ends, self.distinct, number), [END, START]))
+        self.hash = np.concatenate((distinct_hashes(self.distinct), [END, START]))
         self.learned = np.repeat(self.learn, n)
         self.place = np.arange(len(self.word)) - np.repeat(self.first[:-1], n)
 
@@ -92,9 +140,12 @@ class Tokens:
 
     def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
         """The order of the distinct words and the end by hash, and these hashes; of equal ones the least word first."""
-        names = np.array([*self.distinct.to_pylist(), b""], object)
-        order = np.lexsort((np.argsort(np.argsort(names)), self.hash[:-1])) if len(np.unique(self.hash[:-1])) < len(names) else np.argsort(self.hash[:-1])
-        return order, self.hash[:-1][order]
+        order = np.argsort(self.hash[:-1])
+        hashes = self.hash[:-1][order]
+        if (hashes[1:] == hashes[:-1]).any():
+            names = np.array([*self.distinct.to_pylist(), b""], object)
+            order = np.lexsort((np.argsort(np.argsort(names)), self.hash[:-1]))
+        return order, hashes
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -172,12 +223,14 @@ def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), o
             t = Tokens(table, mark, bits)
             own = t.grams(k)
             if k == order:
-                count = np.bincount(own.of[t.learned], minlength=len(own.key))
+                count = own.counts(t.learned)
             else:
                 longer, mine = standing_before(t, k, came)
-                count = np.bincount(own.of[longer.example[mine]], minlength=len(own.key))
+                counted = np.zeros(len(t.word), bool)
+                counted[longer.example[mine]] = True
+                count = own.counts(counted)
             for s, part in filled(shard_cuts(cut_to(own.key, own.context), shards)):
-                yield s, pack(key=own.key[part], count=narrow(count[part]))
+                yield s, pack_grams(own.key[part], own.context, count=narrow(count[part]))
 
         return ask
 
@@ -185,18 +238,19 @@ def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), o
         return lambda got: answer_grams(got, bits[k][0])
 
     def answer_grams(got, context_bits):
-        model = Grams(np.concatenate([x["key"] for _, x in got]), context_bits)
-        total = np.bincount(model.of, np.concatenate([x["count"] for _, x in got]).astype(np.int64), minlength=len(model.key)).astype(np.int64)
+        keys = [unpacked_grams(x, context_bits) for _, x in got]
+        model = Grams(np.concatenate(keys), context_bits)
+        total = model.counts(np.concatenate([x["count"] for _, x in got]))
         contexts, context = model.contexts()
-        stats = [np.bincount(context, w, minlength=len(contexts)).astype(np.int64) for w in (total, total == 1, total == 2, total > 2)]
+        stats = [np.bincount(context, w, minlength=len(contexts)).astype(np.int64) for w in (np.maximum(total - 3, 0), total == 1, total == 2, total > 2)]
         owned = np.zeros(len(total), bool)
         out, at = [], 0
-        for _, x in got:
-            own = model.of[at : at + len(x["key"])]
+        for key in keys:
+            own = model.of[at : at + len(key)]
             at += len(own)
             mine = (total[own] > 0) & ~owned[own]
             owned[own] = True
-            asked = np.searchsorted(contexts, np.unique(cut_to(x["key"], context_bits)))
+            asked = np.searchsorted(contexts, np.unique(cut_to(key, context_bits)))
             out.append(pack(count=narrow(total[own]), mine=np.packbits(mine), **{c: narrow(v[asked]) for c, v in zip(CONTEXT, stats, strict=True)}))
         return [*out, pack(often=how_often(total))]
 
@@ -206,11 +260,11 @@ def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), o
         longer, mine = standing_before(t, 1, came)
         before = np.bincount(t.word[longer.example[mine]], minlength=len(t.hash) - 1)
         place, hashes = t.vocabulary()
-        names = np.array([*t.distinct.to_pylist(), b""], object)[place]
+        named = pa.concat_arrays([t.distinct.cast(pa.large_binary()), pa.array([b""], pa.large_binary())])
+        data, offsets = buffers(named.take(pa.array(place)))
         for s, part in filled(shard_cuts(hashes, shards)):
-            some = names[part].tolist()
-            size = np.array([len(w) for w in some])
-            yield s, pack(name=np.frombuffer(b"".join(some), np.uint8), size=narrow(size), seen=narrow(seen[place][part]), before=narrow(before[place][part]))
+            name = data[offsets[part.start] : offsets[part.stop]]
+            yield s, pack(name=name, size=narrow(np.diff(offsets[part.start : part.stop + 1])), seen=narrow(seen[place][part]), before=narrow(before[place][part]))
 
     def answer_words(got):
         size, seen, before = (np.concatenate([x[c] for _, x in got]).astype(np.int64) for c in ("size", "seen", "before"))
@@ -236,7 +290,9 @@ def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), o
             cuts = shard_cuts(cut_to(own.key, own.context), shards)
             contexts, context = own.contexts()
             context_cuts = shard_cuts(contexts, shards)
-            stats = {c: gathered(came[number[k]], context_cuts, c)[context][own.of] for c in CONTEXT}
+            stats = {c: gathered(came[number[k]], context_cuts, c) for c in CONTEXT}
+            stats["total"] = stats.pop("over") + stats["one"] + 2 * stats["two"] + 3 * stats["more"]
+            stats = {c: x[context][own.of] for c, x in stats.items()}
             levels.append((gathered(came[number[k]], cuts, "count")[own.of], stats, _told(came[-number[k]][0][1], "often", 5)))
         p = token_scores(levels, before[t.word], _told(letter, "often", 5), total, vocabulary)
         c = seen[t.word]
