@@ -1,5 +1,6 @@
 """Ingest, corpus building and eligibility on hand-written rows."""
 
+import base64
 import gzip
 import json
 
@@ -209,6 +210,29 @@ def test_generated_files_and_manifest(spark, tmp_path):
     assert [tuple(r) for r in ndjson.read_manifest(spark, str(tmp_path / "status.json")).collect()] == [("in", "out", True, 10, 1, 3), ("i2", "o2", False, 0, 0, 0)]
 
 
+def test_files_by_size_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    """No task holds all lines: each file is a folder of parts, and sizes are those of the folders."""
+    from threadmill import record_queries
+
+    texts = {i: None if i % 9 == 0 else "" if i % 7 == 0 else "é" * (i * 37 % 101) for i in range(1, 81)}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(record_queries, "fresh_folder", lambda spark: str(tmp_path / "out"))
+    got = sorted(map(tuple, record_queries.files_by_size(spark, str(tmp_path)).select("turn", "name", "bytes").collect()))
+    sizes = {f"k{k}": sum(len(base64.b64encode(t.encode())) + 1 for i, t in texts.items() if t is not None and i % 5 == k) for k in range(5)}
+    assert got == [(turn, name, sizes[name]) for turn, name in enumerate(sorted(sizes, key=lambda n: (-sizes[n], n)), 1)]
+    assert min(len(list((tmp_path / "out" / f"k={name}").glob("part-*"))) for name in sizes) > 1
+
+
+def test_folders_largest_first(spark, tmp_path):
+    """Equal folders go by name whatever their files are called; hidden files do not count."""
+    for name, length in (("b/z", 2), ("b/a", 1), ("a/y", 3), ("c/x", 4), ("c/_SUCCESS", 9), ("d/.x.crc", 9)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * length)
+    rows = lambda **how: [(r["path"].removeprefix(f"file:{tmp_path}/"), r["bytes"], r["turn"]) for r in ndjson.largest_first(spark, str(tmp_path), **how).orderBy("turn").collect()]
+    assert rows(folders=True) == [("c", 4, 1), ("a", 3, 2), ("b", 3, 3)]
+    assert rows() == [("c/x", 4, 1), ("a/y", 3, 2), ("b/z", 2, 3), ("b/a", 1, 4)]
+
+
 def test_counts_in_flight(spark):
     from pyspark.sql import Observation
 

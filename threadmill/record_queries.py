@@ -331,11 +331,12 @@ def scan_progress(spark, sf):
 
 
 def files_by_size(spark, sf):
+    """Every task writes its own lines, so that a name's file is a folder of as many parts as tasks had lines for it."""
     path = fresh_folder(spark)
     rows = _table(spark, sf, "documents").select("text", F.concat(F.lit("k"), (F.col("doc_id") % 5).cast("string")).alias("k")).where("text IS NOT NULL")
-    rows.select(F.base64(F.encode("text", "utf-8")).alias("value"), "k").select(F.regexp_replace("value", r"\s", "").alias("value"), "k").repartition(1).write.partitionBy("k").text(path)
-    listed = ndjson.largest_first(spark, path)
-    return listed.select(F.regexp_extract("path", "/k=([^/]+)/", 1).alias("name"), "bytes", "turn")
+    rows.select(F.base64(F.encode("text", "utf-8")).alias("value"), "k").select(F.regexp_replace("value", r"\s", "").alias("value"), "k").write.partitionBy("k").text(path)
+    listed = ndjson.largest_first(spark, path, folders=True)
+    return listed.select(F.regexp_extract("path", "/k=([^/]+)$", 1).alias("name"), "bytes", "turn")
 
 
 # prompts and answers

@@ -92,11 +92,16 @@ def read_shard(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     return rows.withColumnRenamed("value", "raw")
 
 
-def largest_first(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and turn of the files below a folder, largest first, equal ones by name; a scan orders its splits by size itself, this is for schedulers outside."""
+def largest_first(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """path, bytes and turn of the files below a folder, largest first, equal ones by name; a scan orders its splits by size itself, this is for schedulers outside.
+
+    With ``folders`` these are folders of files, as Spark writes them.
+    """
     hidden = F.col("path").rlike(r"/[._][^/]*$")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~hidden).select("path", F.col("length").alias("bytes"))
-    return files.withColumn("turn", F.row_number().over(Window.orderBy(F.desc("bytes"), "path")).cast("bigint"))  # a listing, as long as the number of files
+    if folders:
+        files = files.groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("path")).agg(F.sum("bytes").alias("bytes"))
+    return files.withColumn("turn", F.row_number().over(Window.orderBy(F.desc("bytes"), "path")).cast("bigint"))  # a listing, as long as the number of files or folders
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
