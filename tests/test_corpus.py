@@ -223,6 +223,22 @@ def test_files_by_size_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
     assert min(len(list((tmp_path / "out" / f"k={name}").glob("part-*"))) for name in sizes) > 1
 
 
+def test_generated_files_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    from threadmill import record_queries
+
+    rows = [(c, t, "assistant" if t else "user", f"text {c} {t}") for c in range(60) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(record_queries, "fresh_folder", lambda spark: str(tmp_path / "out"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, record_queries.generated_files(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    model, strategy = ("gemini", "openai", "grok"), ("dg", "sag", "sagii")
+    assert got == sorted((str(c), model[c % 3], strategy[i], n) for c in range(60) for i, n in ((0, 1), (1, 2), (2, 1)))
+    assert min(len(list(d.glob("part-*"))) for d in (tmp_path / "out").iterdir()) > 1 and len(list((tmp_path / "out").iterdir())) == 9
+
+
 def test_folders_largest_first(spark, tmp_path):
     """Equal folders go by name whatever their files are called; hidden files do not count."""
     for name, length in (("b/z", 2), ("b/a", 1), ("a/y", 3), ("c/x", 4), ("c/_SUCCESS", 9), ("d/.x.crc", 9)):

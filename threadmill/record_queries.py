@@ -298,14 +298,14 @@ def compressed_copy(spark, sf):
 
 
 def generated_files(spark, sf):
-    """Sets in files named after model and strategy, some of whose records lack both."""
+    """Sets in files named after model and strategy, some of whose records lack both; every task writes its own part of a file."""
     path = fresh_folder(spark)
     made = _sets(spark, sf)
     for m in analysis.MODELS:
         for s in analysis.STRATEGIES:
             own = made.where((F.col("model") == m) & (F.col("strategy") == s))
             bare = own.withColumn("model", F.when(F.col("submission_id").cast("bigint") % 2 == 0, F.col("model"))).withColumn("strategy", F.when(F.col("model").isNotNull(), F.col("strategy")))
-            bare.coalesce(1).write.json(f"{path}/{m}_{s}.jsonl")
+            bare.write.json(f"{path}/{m}_{s}.jsonl")
     rows = ndjson.read_generated_files(spark, path, schemas.GENERATED, folders=True)
     return rows.select("submission_id", "model", "strategy", F.size("comments").cast("bigint").alias("n"))
 
